@@ -28,8 +28,8 @@ from .common import BROADCAST_IDS, documents, materialize
 WORD = re.compile(r"\w+")
 #: Features of the model: those with the largest z-scores, at most so many.
 FEATURES = 50_000
-#: Least z-score and occurrences of a feature, and the weight of the prior in words.
-LEAST_Z, LEAST_COUNT, PRIOR_WORDS = 3.0, 4, 500.0
+#: Least z-score and toxic texts of a feature, and the weight of the prior as a share of all counts.
+LEAST_Z, LEAST_COUNT, PRIOR_SHARE = 2.5, 4, 0.1
 #: A segment counts if fewer than so many as good are expected by chance in the text.
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
@@ -54,10 +54,6 @@ class ToxicityModel:
         return 0.0
 
 
-def features(word: str) -> list[str]:
-    return [f"={word}", *([f"6{word[:6]}"] if len(word) >= 6 else []), *([f"4{word[:4]}"] if len(word) >= 4 else [])]
-
-
 def segments(hits: list[tuple[int, float]], base: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) in linear time.
 
@@ -115,16 +111,18 @@ class _Scanner:
 
 
 def _count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of either class in which a feature occurs: a word said twice in one text is no second witness."""
     for batch in batches:
-        by = (Counter(), Counter())
+        by = tuple({"=": Counter(), "6": Counter(), "4": Counter()} for _ in range(2))
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by[bool(toxic)].update(WORD.findall((text or "").lower()))
-        for toxic, words in enumerate(by):
-            out: Counter = Counter()
-            for w, c in words.items():
-                for f in features(w):
-                    out[f] += c
-            out[""] = sum(words.values())
+            words = set(WORD.findall((text or "").lower()))
+            to = by[bool(toxic)]
+            to["="].update(words)
+            to["6"].update({w[:6] for w in words if len(w) >= 6})
+            to["4"].update({w[:4] for w in words if len(w) >= 4})
+        for toxic, kinds in enumerate(by):
+            out = {f"{kind}{w}": c for kind, words in kinds.items() for w, c in words.items()}
+            out[""] = sum(kinds["="].values())
             counts = pa.array(list(out.values()), pa.int64())
             none = pa.array(np.zeros(len(out), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), counts if toxic else none, none if toxic else counts], ["feature", "t", "c"])
@@ -197,10 +195,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     if whole is None or not whole["t"] or not whole["c"]:
         return model
     nt, nc = float(whole["t"]), float(whole["c"])
-    prior = PRIOR_WORDS / (nt + nc)
-    at, ac = F.col("t") + (F.col("t") + F.col("c")) * prior, F.col("c") + (F.col("t") + F.col("c")) * prior
-    odds = F.log(at / (nt + PRIOR_WORDS - at)) - F.log(ac / (nc + PRIOR_WORDS - ac))
-    scored = counts.where("feature <> ''").select("feature", odds.alias("odds"), (odds / F.sqrt(1 / at + 1 / ac)).alias("z"), (at / (nt + PRIOR_WORDS)).alias("pt"))
+    prior, most = (F.col("t") + F.col("c")) * PRIOR_SHARE, (nt + nc) * PRIOR_SHARE
+    at, ac = F.col("t") + prior, F.col("c") + prior
+    odds = F.log(at / (nt + most - at)) - F.log(ac / (nc + most - ac))
+    scored = counts.where("feature <> ''").select("feature", odds.alias("odds"), (odds / F.sqrt(1 / at + 1 / ac)).alias("z"), (F.col("t") / nt).alias("pt"))
     best = scored.where(f"z >= {LEAST_Z} and odds >= 1.5").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     model.weights = {r["feature"]: min(r["odds"], 12.0) for r in best}
     # What the listed features leave to all other words: a little less likely in toxic text.
