@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, materialize
-from .token_counts import VOCABULARY, ChunkCache
+from .common import documents, materialize, slices
+from .token_counts import VOCABULARY, chunk_cache
 
 CAPACITY = 2048
 #: Groups into which the items of one length are dealt while they are numbered.
@@ -182,11 +182,11 @@ def _piece_pass(capacity: int, separator: int, name: str):
     mark = np.array([separator], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkCache(name)
-        for batch in batches:
+        cache = chunk_cache(name)
+        for batch in slices(batches):
             doc, piece, start, length, crc = [], [], [], [], []
-            for d, tokens in zip(batch.column(0).to_pylist(), cache.of(batch.column(1).to_pylist()), strict=True):
-                ids = b"".join(tokens) + mark
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = b"".join(cache.of(text)) + mark
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     doc.append(d), piece.append(k // (4 * capacity)), start.append(k // 4)

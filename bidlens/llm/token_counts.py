@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import documents
+from .common import documents, slices
 
 VOCABULARY = "word_bpe_49k.json"
 #: What separates chunks.  Other white space stays inside a chunk, where the library handles it.
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
 #: ASCII separators that str.split() takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
-_CACHE = 400_000
+_CACHE = 300_000
 END = "</w>"
 
 
@@ -51,30 +52,59 @@ def _chunks(text: str) -> list[str]:
     return [c for c in SPACES.split(text) if c]
 
 
+#: Chunks of these characters are normalised letter by letter; others go through the whole library.
+_SIMPLE = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+").fullmatch
+#: The vocabulary's own split into words, for lower-cased simple chunks (a fixed pattern).
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+").findall
+
+
 class ChunkCache:
     """Token ids of chunks, by the library, as little-endian 32-bit bytes, kept while they fit."""
 
     def __init__(self, name: str = VOCABULARY):
-        self.tokenizer, self.ids = load(name), {}
-
-    def of(self, texts: list[str | None]) -> list[list[bytes]]:
-        """Per text, per chunk, the token ids."""
-        chunks = [_chunks(t or "") for t in texts]
-        if len(self.ids) > _CACHE:
-            self.ids = {}
+        self.tokenizer, self.ids, self.words = load(name), {}, {}
+        letters = _byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x180)}
+        self.split = name == VOCABULARY
+
+    def _encode(self, chunk: str) -> bytes:
+        if not self.split or not _SIMPLE(chunk) or "<|" in chunk:
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        low, words, out = chunk.lower(), self.words, []
+        for w in (low,) if low.isascii() and low.isalpha() else _WORDS(low):
+            v = words.get(w)
+            if v is None:
+                if len(words) > _CACHE:
+                    words.clear()
+                model_text = w if w.isascii() else w.translate(self.letters)
+                v = words[w] = array("I", [t.id for t in self.tokenizer.model.tokenize(model_text)]).tobytes()
+            out.append(v)
+        return b"".join(out)
+
+    def of(self, text: str | None) -> list[bytes]:
+        """Per chunk of the text, the token ids."""
+        chunks = _chunks(text or "")
         ids = self.ids
-        found = [list(map(ids.get, cs)) for cs in chunks]
-        lacking = [i for i, f in enumerate(found) if None in f]
-        new = list({c for i in lacking for c, v in zip(chunks[i], found[i], strict=True) if v is None})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids[c] = np.array(e.ids, "<u4").tobytes()
-        for i in lacking:
-            found[i] = list(map(ids.__getitem__, chunks[i]))
+        found = list(map(ids.get, chunks))
+        if None in found:
+            if len(ids) > _CACHE:
+                ids.clear()
+            for i, v in enumerate(found):
+                if v is None:
+                    c = chunks[i]
+                    v = ids.get(c)
+                    if v is None:
+                        v = ids[c] = self._encode(c)
+                    found[i] = v
         return found
 
 
+@lru_cache(maxsize=2)
+def chunk_cache(name: str) -> ChunkCache:
+    """One cache for all tasks that a Python worker runs."""
+    return ChunkCache(name)
+
+
 class PrefixTable:
     """Counts at every prefix of a word, by dynamic programming over the last token."""
 
@@ -199,11 +229,12 @@ def longest_within(text: str | None, budget: int, counter: PrefixCounter) -> int
 
 def _count_pass(limit: int, name: str, prefixes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkCache(name)
-        for batch in batches:
+        cache = chunk_cache(name)
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             n_tokens, cut, ends, counts = [], [], [], []
-            for text, tokens in zip(texts, cache.of(texts), strict=True):
+            for text in texts:
+                tokens = cache.of(text)
                 total = prefix_counts(tokens)
                 n_tokens.append(int(total[-1]) if len(total) else 0)
                 cut.append(int(np.searchsorted(total, limit, "right")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, documents, materialize
+from .common import BROADCAST_IDS, documents, materialize, slices
 
 WORD = re.compile(r"\w+")
 #: Features of the model: those with the largest z-scores, at most so many.
@@ -132,7 +132,7 @@ def _moments_pass(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scanner(model)
         n, weight = 0, 0.0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 words, found = scan(text)
                 if words:
@@ -146,7 +146,7 @@ def _moments_pass(model: ToxicityModel):
 def _statistic_pass(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scanner(model)
-        for batch in batches:
+        for batch in slices(batches):
             x = [sum(s for _, _, s in scan.excess(*scan(t))) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
 
@@ -219,7 +219,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def _score_pass(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scanner(model)
-        for batch in batches:
+        for batch in slices(batches):
             score, spans = [], []
             for text in batch.column(1).to_pylist():
                 kept = scan.excess(*scan(text))
