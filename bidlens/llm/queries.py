@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_benchmark_decontamination
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .token_counts import op9_token_counts
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op9_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op5_benchmark_decontamination, op9_token_counts, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
