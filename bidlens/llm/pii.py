@@ -116,9 +116,9 @@ def _name(e: Column, kind: Column, stream: Column) -> Column:
     return F.concat(title, F.lit(" "), F.when(F.array_join(parts, " ") == F.upper(F.array_join(parts, " ")), F.upper(new)).otherwise(new))
 
 
-def surrogate(e: Column, kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
-    """The replacement of entity e, in e's own format."""
-    stream = _stream(kind, canonical, attempt, key)
+def _surrogate(x: Column, key: str) -> Column:
+    """The replacement of the entity struct x (e, kind, canonical, stream), in e's own format."""
+    e, kind, stream = x["e"], x["kind"], x["stream"]
     host = F.substring_index(e, "@", -1)
     mailhost = F.concat(_shaped(F.substring_index(host, ".", 1), _stream(F.lit("host"), F.lower(host), F.lit(0), key)), F.lit(".example."), F.substring_index(host, ".", -1))
     email = F.concat(_shaped(F.substring_index(e, "@", 1), stream), F.lit("@"), mailhost)
@@ -136,17 +136,33 @@ def surrogate(e: Column, kind: Column, canonical: Column, attempt: Column, key:
     )
 
 
+def described(entities: Column) -> Column:
+    """Array of (e, kind, canonical) structs for an array of entities; each step is evaluated once an entity."""
+    kinds = F.transform(entities, lambda e: F.struct(e.alias("e"), _kind(e).alias("kind")))
+    return F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), _canonical(x["e"], x["kind"]).alias("canonical")))
+
+
+def surrogates(entities: Column, attempt, key: str) -> Column:
+    """Array of surrogates for an array of described entities; attempt maps a struct to its number of tries."""
+    keyed = F.transform(
+        entities,
+        lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), _stream(x["kind"], x["canonical"], attempt(x), key).alias("stream")),
+    )
+    return F.transform(keyed, lambda x: _surrogate(x, key))
+
+
 def _spelled(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     """The surrogate in canonical form, which has to be unique."""
     whole = F.when(kind == "name-f", F.concat(F.lit("Ms "), F.initcap(canonical))).when(kind == "name-m", F.concat(F.lit("Mr "), F.initcap(canonical))).otherwise(canonical)
-    made = surrogate(F.when(kind == "phone", F.concat(F.lit("("), canonical)).otherwise(whole), kind, canonical, attempt, key)
-    return _canonical(made, kind)
+    e = F.when(kind == "phone", F.concat(F.lit("("), canonical)).otherwise(whole)
+    one = F.array(F.struct(e.alias("e"), kind.alias("kind"), canonical.alias("canonical"), attempt.alias("attempt")))
+    return F.get(F.transform(surrogates(one, lambda x: x["attempt"], key), lambda s: _canonical(s, kind)), 0)
 
 
 def find_entities(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Distinct (kind, canonical) over all texts."""
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(ANY), 0))).alias("e"))
-    return found.select(_kind(F.col("e")).alias("kind"), "e").select("kind", _canonical(F.col("e"), F.col("kind")).alias("canonical")).distinct()
+    found = docs.select(F.explode(described(F.array_distinct(F.regexp_extract_all(text_col, F.lit(ANY), 0)))).alias("x"))
+    return found.select("x.kind", "x.canonical").distinct()
 
 
 def clashing(entities: DataFrame, key: str, most: int = 20) -> DataFrame:
@@ -154,7 +170,7 @@ def clashing(entities: DataFrame, key: str, most: int = 20) -> DataFrame:
     now = entities.withColumn("attempt", F.lit(0))
     late = None
     for _ in range(most):
-        made = now.select("kind", "canonical", "attempt", _spelled(F.col("kind"), F.col("canonical"), F.col("attempt"), key).alias("s"))
+        made = materialize(now.select("kind", "canonical", "attempt", _spelled(F.col("kind"), F.col("canonical"), F.col("attempt"), key).alias("s")), "made")
         taken = made.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n"))
         real = entities.select("kind", F.col("canonical").alias("s"), F.lit(True).alias("real"))
         judged = made.join(taken.where("n > 1").select("kind", "s", "first"), ["kind", "s"], "left").join(real, ["kind", "s"], "left")
@@ -183,21 +199,19 @@ def replace_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         pairs = [x for r in few for x in (F.lit(f"{r['kind']}\x1f{r['canonical']}"), F.lit(r["attempt"]))]
         attempts = F.create_map(*pairs) if pairs else None
     else:
-        of = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(found)).alias("e"))
-        of = of.select("_id", _kind(F.col("e")).alias("kind"), "e").select("_id", "kind", _canonical(F.col("e"), F.col("kind")).alias("canonical")).distinct()
+        of = docs.select(F.col(id_col).alias("_id"), F.explode(described(F.array_distinct(found))).alias("x")).select("_id", "x.kind", "x.canonical").distinct()
         mine = of.join(late, ["kind", "canonical"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canonical"), "attempt"))).alias("_late"))
         rows = docs.join(mine, docs[id_col] == mine["_id"], "left").drop("_id")
         attempts = F.col("_late")
 
-    def new(e: Column) -> Column:
-        kind = _kind(e)
-        canonical = _canonical(e, kind)
-        attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", kind, canonical)), F.lit(0))
-        return surrogate(e, kind, canonical, attempt, key)
+    def attempt(x: Column) -> Column:
+        if attempts is None:
+            return F.lit(0)
+        return F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", x["kind"], x["canonical"])), F.lit(0))
 
     rows = rows.withColumn("_found", found)
     joined = F.array_join(
-        F.zip_with(F.split(F.col(text_col), ANY, -1), F.transform("_found", new), lambda part, s: F.concat(part, F.coalesce(s, F.lit("")))), ""
+        F.zip_with(F.split(F.col(text_col), ANY, -1), surrogates(described(F.col("_found")), attempt, key), lambda part, s: F.concat(part, F.coalesce(s, F.lit("")))), ""
     )
     n = F.coalesce(F.size("_found"), F.lit(0))
     return (

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BROADCAST_IDS, documents, materialize, slices
 
@@ -217,6 +218,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 
 def _score_pass(model: ToxicityModel):
+    kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("excess", pa.float64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _Scanner(model)
         for batch in slices(batches):
@@ -226,21 +229,24 @@ def _score_pass(model: ToxicityModel):
                 x = min(60.0, sum(s for _, _, s in kept))
                 score.append(1 / (1 + math.exp(-max(-40.0, min(40.0, model.intercept + model.slope * x)))))
                 spans.append([{"first_word": a, "end_word": b, "excess": s} for a, b, s in kept])
-            kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("excess", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "passages"])
+            names = [batch.schema.names[0], "score", "passages"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(spans, kind)], names)
 
     return run
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """One row per input row: doc_id, score, and passages (word ranges with their excess).
 
     Words are counted from 0 over the whole lower-cased text.  Null and empty texts have no passage
-    and get the score of a text without any.
+    and get the score of a text without any.  ``keep`` names a column (a struct of all a caller needs,
+    say) that is handed through instead of doc_id.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _score_pass(model), "doc_id long, score double, passages array<struct<first_word:long,end_word:long,excess:double>>"
-    )
+    first = F.col(keep) if keep else F.col(id_col).cast("long").alias("doc_id")
+    rows = docs.select(first, F.col(text_col).alias("text"))
+    passage = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("excess", T.DoubleType())])
+    schema = T.StructType([rows.schema.fields[0], T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(passage))])
+    return rows.mapInArrow(_score_pass(model), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
