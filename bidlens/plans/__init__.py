@@ -1,0 +1 @@
+"""Registered queries by domain; importing a module registers its queries."""
