@@ -36,6 +36,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 #: Entries of the per-task caches; they only save time.
 _CACHE = 300_000
+#: Times that entries of different components meet a hub before they meet each other.
+HUB_TURNS = 3
 
 
 def _grams(text: str | None, n: int, cache: dict) -> np.ndarray:
@@ -267,19 +269,33 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     stars = connected_components(_verified(pairs, sets, num, den), "stars")
 
-    of = wide.join(stars.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("root", "doc")).drop("root")
-    of = materialize(of, "labelled")
-    mixed = of.groupBy("gram", "bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram", "bucket")
-    left = of.join(mixed, ["gram", "bucket"], "left_semi")
-    late = (
-        left.alias("a").join(left.where("band = bucket").alias("b"), ["gram", "bucket"])
-        .where(f"a.comp <> b.comp and (a.band < b.band or a.doc < b.doc) and {fits}")
-        .select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")).distinct()
-    )
-    more = materialize(_verified(late, sets, num, den), "late")
-    roots = stars
-    if more.limit(1).count():
-        roots = connected_components(more.unionByName(stars.select(F.col("node").alias("src"), F.col("root").alias("dst"))), "joined")
+    # Entries whose components still differ meet again: first one hub a bucket, chosen anew each time, so
+    # that what is left of a group of near copies joins up in linear size; then each other.
+    links, roots = stars.select(F.col("node").alias("src"), F.col("root").alias("dst")), stars
+    turn = 0
+    while turn <= HUB_TURNS:
+        of = wide.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("root", "doc")).drop("root")
+        of = materialize(of, "labelled")
+        mixed = of.groupBy("gram", "bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram", "bucket")
+        left = materialize(of.join(mixed, ["gram", "bucket"], "left_semi"), "mixed")
+        release(of)
+        if not left.limit(1).count():
+            break
+        other = left.where("band = bucket")
+        if turn < HUB_TURNS:
+            chosen_by = F.xxhash64("doc", "gram", F.lit(turn))
+            other = other.groupBy("gram", "bucket").agg(F.min_by(F.struct("doc", "n", "pos", "band", "comp"), chosen_by).alias("h")).select("gram", "bucket", "h.*")
+        met = (
+            left.alias("a").join(other.alias("b"), ["gram", "bucket"])
+            .where(f"a.comp <> b.comp and (a.band < b.band or {'a.doc < b.doc' if turn == HUB_TURNS else 'true'}) and {fits}")
+            .select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")).distinct()
+        )
+        new = materialize(_verified(met, sets, num, den), "links")
+        found = new.limit(1).count() > 0
+        if found:
+            links = materialize(links.unionByName(new), "all-links")
+            roots = connected_components(links, "joined")
+        turn = turn + 1 if found or turn == HUB_TURNS else HUB_TURNS
 
     # Nodes are named by their set's signature; a component by its smallest document id.
     joined = classes.join(roots.withColumnRenamed("node", "lo"), "lo", "left").withColumn("key", F.coalesce("root", "lo"))
