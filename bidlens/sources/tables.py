@@ -8,6 +8,7 @@ spelling of a number of days differs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The instant at which "now" stands in all compared queries.
 NOW = "1998-08-02 00:00:00"
@@ -73,15 +74,15 @@ def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per procurement notice."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
-    return joined.selectExpr(*_columns(_TENDER.format(platform=_PLATFORM, days="make_dt_interval")))
+    return joined.selectExpr(*items(_TENDER.format(platform=_PLATFORM, days="make_dt_interval")))
 
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one model analysis a tender."""
-    return table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").selectExpr(*_columns(_ANALYSIS))
+    return table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").selectExpr(*items(_ANALYSIS))
 
 
-def _columns(text: str) -> list[str]:
+def items(text: str) -> list[str]:
     """The items of a select list: commas outside brackets and quotes part them."""
     out, depth, quoted, start = [], 0, False, 0
     for i, c in enumerate(text):
@@ -93,3 +94,58 @@ def _columns(text: str) -> list[str]:
                 out.append(text[start:i].strip())
                 start = i + 1
     return [*out, text[start:].strip()]
+
+
+_PROFILE = """
+  CAST(c_nationkey * 10 + ascii(c_mktsegment) % 10 AS BIGINT) AS profile_id, concat('user', CAST(c_nationkey % 7 AS STRING)) AS user_id,
+  concat(c_mktsegment, ' ', CAST(c_nationkey AS STRING)) AS name,
+  CASE WHEN c_nationkey % 6 = 0 THEN NULL ELSE CAST(count(*) * 500 AS DOUBLE) END AS min_price,
+  CASE WHEN c_nationkey % 4 = 0 THEN 300000.0 WHEN c_nationkey % 11 = 1 THEN -1.0 END AS max_price,
+  c_nationkey % 5 = 0 AS want_advance, CAST(c_nationkey % 3 * 10 AS DOUBLE) AS min_advance_percent,
+  CASE WHEN c_nationkey % 3 = 1 THEN 60 END AS max_postpayment_days, CAST(c_nationkey % 2 * 7 AS INT) AS min_submission_days,
+  0.0 AS min_application_security_percent, CASE WHEN c_nationkey % 2 = 0 THEN 5.0 END AS max_application_security_percent,
+  CAST(c_nationkey % 2 AS DOUBLE) AS min_contract_security_percent, CASE WHEN c_nationkey % 7 = 0 THEN 0.5 END AS max_contract_security_percent,
+  CAST(c_nationkey * 5 AS INT) AS min_ai_score, c_nationkey % 8 <> 0 AS enabled,
+  CASE c_nationkey % 4 WHEN 0 THEN {l}'подшипник'{r} WHEN 1 THEN {l}'станок', 'муфта'{r} WHEN 2 THEN {l}'поставка оборудования'{r} ELSE {l}'Ремонт станка'{r} END AS keywords,
+  CASE WHEN c_nationkey % 3 = 0 THEN {l}min(n_name), ' '{r} ELSE {l}'нет такого'{r} END AS regions
+"""
+PROFILES_SQL = "SELECT " + _PROFILE.format(l="[", r="]") + " FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey, c_mktsegment"
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search profile per nation and market segment."""
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    counted = joined.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.min("n_name").alias("nation"))
+    text = _PROFILE.format(l="array(", r=")").replace("count(*)", "n").replace("min(n_name)", "nation")
+    return counted.selectExpr(*items(text))
+
+
+RUNS_SQL = """SELECT CAST(o_custkey AS BIGINT) AS profile_id, o_orderkey AS search_number, o_orderdate AS finished_at, CAST(o_orderkey % 40 AS INT) AS found,
+  CAST(o_orderkey % 20 AS INT) AS filtered, CAST(o_orderkey % 7 AS INT) AS new_count, CAST(o_orderkey % 3 AS INT) AS notified FROM orders"""
+
+
+def profile_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per run of a profile."""
+    return table(spark, sf_dir, "orders").selectExpr(*items(RUNS_SQL[len("SELECT ") : RUNS_SQL.rindex(" FROM orders")]))
+
+
+#: Versions of a tender over time, from the lines of an order.
+VERSIONS_SQL = """SELECT l_orderkey AS tender_id, CAST(l_linenumber AS INT) AS seq, l_shipdate AS observed_at, l_extendedprice AS price, l_linestatus AS title,
+  CASE WHEN l_quantity < 10 THEN NULL ELSE l_returnflag END AS region FROM lineitem"""
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*items(VERSIONS_SQL[len("SELECT ") : VERSIONS_SQL.rindex(" FROM lineitem")]))
+
+
+BOARD_SQL = """SELECT event_id, user_id AS tender_id, ts,
+  CASE WHEN event_id % 11 = 0 THEN 'assign' WHEN event_id % 13 = 0 THEN 'unassign' WHEN event_id % 7 = 0 THEN 'label_add' WHEN event_id % 17 = 0 THEN 'label_remove' ELSE 'status' END AS kind,
+  CASE WHEN event_id % 11 = 0 THEN concat('user', CAST(event_id % 5 AS STRING)) WHEN event_id % 13 = 0 THEN ''
+       WHEN event_id % 7 = 0 OR event_id % 17 = 0 THEN CASE event_id % 4 WHEN 0 THEN 'Срочно' WHEN 1 THEN 'срочно ' WHEN 2 THEN 'VIP' ELSE 'архив' END
+       ELSE CASE event_type WHEN 'view' THEN 'reviewing' WHEN 'click' THEN 'participating' WHEN 'signup' THEN 'docs_preparation' WHEN 'purchase' THEN 'submitted' ELSE 'skipped' END END AS value,
+  event_id % 19 = 0 AS force FROM events"""
+
+
+def board_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, assignment and label events of the board."""
+    return table(spark, sf_dir, "events").selectExpr(*items(BOARD_SQL[len("SELECT ") : BOARD_SQL.rindex(" FROM events")]))
