@@ -1,6 +1,6 @@
 """All query modules, imported once."""
 
-from . import market, matching, normalize  # noqa: F401
+from . import extract, market, matching, normalize, state  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
