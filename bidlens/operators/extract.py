@@ -127,4 +127,5 @@ def feed(spark, path: str) -> DataFrame:
     """Items of an RSS feed: id from the link, published in UTC."""
     items = spark.read.schema(FEED_SCHEMA).option("rowTag", "item").format("xml").load(path)
     number = F.coalesce(*[F.nullif(F.regexp_extract(c, r"(\d{6,})", 1), F.lit("")) for c in ("link", "title", "guid", "description")])
-    return items.select(number.alias("external_id"), "title", "link", F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")).alias("published_at"))
+    dated = F.regexp_extract("pubDate", r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1)
+    return items.select(number.alias("external_id"), "title", "link", F.try_to_timestamp(dated, F.lit("d MMM yyyy HH:mm:ss Z")).alias("published_at"))

@@ -142,7 +142,7 @@ def extract_index_listing(spark, sf_dir):
     return rows.where(F.rlike("txt", F.lit(r"(?iU)\b(44|223)\s*-?\s*фз\b"))).select("o_orderkey", F.lit("index").alias("found_by"))
 
 
-@query("redact_text", r"""SELECT page_id, regexp_replace(url, '(?i)([?&](?:token|key|session|auth|password|utm_source)=)[^&#\s"'']*', '\1***', 'g') AS url FROM pages""")
+@query("redact_text", r"""SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '(?i)([?&](?:token|key|session|auth|password|utm_source)=)[^&#\s"'']*', '\1***', 'g') AS url FROM pages""")
 def redact_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", x.redact(F.concat("url", F.lit("#top"))).alias("url"))
 
