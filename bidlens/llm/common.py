@@ -99,6 +99,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+#: Rows of an Arrow batch: texts are long, and a worker that many stages share keeps the memory of its largest batch.
+BATCH_ROWS = 1_000
+
+
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text), handed to Python workers in small batches."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

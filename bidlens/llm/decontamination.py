@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, documents, materialize, slices
+from .common import by_ids, documents, materialize, slices, text_rows
 
 #: Edits allowed, as a share of the item's length.
 MOST_EDITS = 0.25
@@ -195,7 +195,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     passes = max(1, -(-items.count() // ITEMS_PER_PASS))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = text_rows(docs, id_col, text_col).where("doc_id is not null")
     found = []
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else items

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, slices, text_rows
 
 LEAST, NORMAL, MOST = 24, 64, 256
 #: Leading zero bits that end a chunk before and after the normal size: 1 byte in 256, then 1 in 16.
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null texts are empty.  ``parts`` id ranges (shuffle partitions by default) have one task each.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = text_rows(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     at = np.unique(np.array(cuts, np.float64)).astype(np.int64)

@@ -1,6 +1,6 @@
 """License notices by an exact set-similarity join of text blocks with templates.
 
-A block is a line.  A template is found where at least 4/5 of its distinct words are in
+A block is a line.  A template is found where at least 9/10 of its distinct words are in
 the block.  Template words are ordered by their frequency over all blocks, rarest first: a
 block that reaches the threshold must hold one of the first n - t + 1, which, with the
 blocks' length and the place of the first shared word, decides the candidates; they are
@@ -31,7 +31,7 @@ TEMPLATES = [
     ("cc-by-nc-notice", "licensed under cc by nc 4 0"),
     ("cc-by-sa-notice", "licensed under cc by sa 4 0"),
 ]
-NUM, DEN = 4, 5
+NUM, DEN = 9, 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

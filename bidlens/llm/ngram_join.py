@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_ids, connected_components, documents, materialize, release
+from .common import by_ids, connected_components, documents, materialize, release, text_rows
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 #: Entries of the per-task caches; they only save time.
-_CACHE = 300_000
+_CACHE = 200_000
 #: Times that entries of different components meet a hub before they meet each other.
 HUB_TURNS = 3
 
@@ -198,7 +198,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     A null id links with nothing and has a null component.  Repeated ids are rows of
     their own.  Other columns, whatever their names, are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = text_rows(docs, id_col, text_col)
     base = materialize(
         texts.mapInArrow(_screen_pass(n, num, den), "doc_id long, kind int, n long, hi long, lo long, local long, grams array<long>"), "screen"
     )

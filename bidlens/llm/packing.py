@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, materialize, slices
+from .common import documents, materialize, slices, text_rows
 from .token_counts import VOCABULARY, chunk_cache
 
 CAPACITY = 2048
@@ -225,7 +225,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, separator: int = 0, id_co
     and offset.  Null and empty texts are a lone separator.  Rows with repeated or null ids
     are packed like any other.  An empty table gives no row.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = text_rows(docs, id_col, text_col)
     pieces = materialize(
         texts.mapInArrow(_piece_pass(capacity, separator, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long")
         .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))),

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import documents, slices
+from .common import documents, slices, text_rows
 
 VOCABULARY = "word_bpe_49k.json"
 #: What separates chunks.  Other white space stays inside a chunk, where the library handles it.
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
 #: ASCII separators that str.split() takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
-_CACHE = 300_000
+_CACHE = 200_000
 END = "</w>"
 
 
@@ -268,7 +268,7 @@ def count_tokens(docs: DataFrame, *, limit: int = 2048, id_col: str = "doc_id",
     schema = "doc_id long, n_bytes long, n_tokens long, words_within long"
     if prefixes:
         schema += ", prefix_ends array<long>, prefix_tokens array<long>"
-    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_count_pass(limit, vocabulary, prefixes), schema)
+    counted = text_rows(docs, id_col, text_col).mapInArrow(_count_pass(limit, vocabulary, prefixes), schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

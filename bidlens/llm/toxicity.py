@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, documents, materialize, slices
+from .common import BATCH_ROWS, BROADCAST_IDS, documents, materialize, slices, text_rows
 
 WORD = re.compile(r"\w+")
 #: Features of the model: those with the largest z-scores, at most so many.
@@ -34,7 +34,7 @@ LEAST_Z, LEAST_COUNT, PRIOR_SHARE = 2.5, 4, 0.1
 #: A segment counts if fewer than so many as good are expected by chance in the text.
 SIGNIFICANT = 0.05
 THRESHOLD = 0.7
-_CACHE = 300_000
+_CACHE = 200_000
 
 
 @dataclass
@@ -113,7 +113,7 @@ class _Scanner:
 
 def _count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of either class in which a feature occurs: a word said twice in one text is no second witness."""
-    for batch in batches:
+    for batch in slices(batches, BATCH_ROWS):
         by = tuple({"=": Counter(), "6": Counter(), "4": Counter()} for _ in range(2))
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(WORD.findall((text or "").lower()))
@@ -183,12 +183,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """
     marked = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1))
-        .groupBy(F.col(id_col).alias("_id"))
+        .groupBy(F.col(id_col).cast("long").alias("_id"))
         .agg(F.max(label_col).cast("int").alias("toxic"))
     )
     marked = materialize(marked, "marked")
     side = F.broadcast(marked) if marked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else marked
-    train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(side, "_id").select("text", "toxic")
+    train = text_rows(docs, id_col, text_col).withColumnRenamed("doc_id", "_id").join(side, "_id").select("text", "toxic")
     counts = train.mapInArrow(_count_pass, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = materialize(counts.where(f"feature = '' or t >= {LEAST_COUNT}"), "features")
     whole = counts.where("feature = ''").first()
@@ -242,8 +242,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
     and get the score of a text without any.  ``keep`` names a column (a struct of all a caller needs,
     say) that is handed through instead of doc_id.
     """
-    first = F.col(keep) if keep else F.col(id_col).cast("long").alias("doc_id")
-    rows = docs.select(first, F.col(text_col).alias("text"))
+    rows = text_rows(docs, id_col, text_col)
+    if keep:
+        rows = docs.select(keep, F.col(text_col).alias("text"))
     passage = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("excess", T.DoubleType())])
     schema = T.StructType([rows.schema.fields[0], T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(passage))])
     return rows.mapInArrow(_score_pass(model), schema)
