@@ -123,9 +123,20 @@ def first_of_page(rows: DataFrame, by: list[str], order: str) -> DataFrame:
 FEED_SCHEMA = "title string, link string, guid string, description string, pubDate string"
 
 
+def feed_record(c: Column) -> Column:
+    """(external_id, title, link, published_at) of a parsed feed item; the id is the first long number of its texts."""
+    number = F.coalesce(*[F.nullif(F.regexp_extract(c[f], r"(\d{6,})", 1), F.lit("")) for f in ("link", "title", "guid", "description")])
+    dated = F.regexp_extract(c["pubDate"], r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1)
+    return F.struct(number.alias("external_id"), c["title"].alias("title"), c["link"].alias("link"), F.try_to_timestamp(dated, F.lit("d MMM yyyy HH:mm:ss Z")).alias("published_at"))
+
+
 def feed(spark, path: str) -> DataFrame:
-    """Items of an RSS feed: id from the link, published in UTC."""
+    """Items of RSS files."""
     items = spark.read.schema(FEED_SCHEMA).option("rowTag", "item").format("xml").load(path)
-    number = F.coalesce(*[F.nullif(F.regexp_extract(c, r"(\d{6,})", 1), F.lit("")) for c in ("link", "title", "guid", "description")])
-    dated = F.regexp_extract("pubDate", r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1)
-    return items.select(number.alias("external_id"), "title", "link", F.try_to_timestamp(dated, F.lit("d MMM yyyy HH:mm:ss Z")).alias("published_at"))
+    return items.select(feed_record(F.struct("*")).alias("r")).select("r.*")
+
+
+def feed_items(df: DataFrame, column: str) -> DataFrame:
+    """Items of RSS texts in a column: one row per item, other columns kept."""
+    rows = df.withColumn("_item", F.explode(F.regexp_extract_all(column, F.lit(r"(?is)<item\b[^>]*>.*?</item>"), 0))).drop(column)
+    return rows.withColumn("_r", feed_record(F.from_xml("_item", FEED_SCHEMA))).select(*[c for c in rows.columns if c != "_item"], "_r.*")

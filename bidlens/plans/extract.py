@@ -192,3 +192,10 @@ def restore_documents(spark, sf_dir):
     clean = F.transform(docs, lambda d: F.map_filter(F.transform_values(d, lambda _, v: F.trim(v)), lambda _, v: v != ""))
     rows = table(spark, sf_dir, "customer").select("c_custkey", clean.alias("d"))
     return rows.select("c_custkey", F.coalesce(F.get("d", 0)["name"], F.lit("нет")).alias("name"), F.size("d").alias("n"))
+
+
+@query("scan_feed", "SELECT o_custkey, lpad(CAST(o_orderkey AS VARCHAR), 8, '9') AS external_id, o_orderpriority AS title, o_orderdate - INTERVAL 3 HOUR AS published_at FROM orders")
+def scan_feed(spark, sf_dir):
+    item = "concat('<item><title>', o_orderpriority, '</title><link>https://x.example/notice?regNumber=', lpad(CAST(o_orderkey AS STRING), 8, '9'), '</link><pubDate>Fri, ', date_format(o_orderdate, 'd MMM yyyy'), ' 00:00:00 +0300</pubDate></item>')"
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey", f"concat('<rss><channel>', {item}, '</channel></rss>') AS xml")
+    return x.feed_items(rows, "xml").select("o_custkey", "external_id", "title", F.col("published_at").cast("timestamp_ntz").alias("published_at"))

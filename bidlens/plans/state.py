@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import board as b
 from ..operators import state as s
-from ..sources.tables import BOARD_SQL, NOW_SPARK, NOW_SQL, VERSIONS_SQL, WITH, analyses, board_events, table, tenders, versions
+from ..sources.tables import BOARD_SQL, NOW_SPARK, NOW_SQL, VERSIONS_SQL, WITH, analyses, as_board_events, board_events, table, tenders, versions
 from .registry import query
 
 
@@ -132,6 +132,11 @@ def _status_events(spark, sf_dir):
     return board_events(spark, sf_dir).where("kind = 'status'")
 
 
+def _status_kinds(events):
+    """Status events of a stream of the events table."""
+    return as_board_events(events).where("kind = 'status'")
+
+
 @query("board_replay", f"{_FOLD} SELECT tender_id, status, nullif(u, TIMESTAMP '1900-01-01') AS updated_at, moves::INT AS moves FROM cur")
 def board_replay(spark, sf_dir):
     return b.replay_status(_status_events(spark, sf_dir)).select("tender_id", "status", "updated_at", F.size("history").alias("moves"))

@@ -148,4 +148,8 @@ BOARD_SQL = """SELECT event_id, user_id AS tender_id, ts,
 
 def board_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status, assignment and label events of the board."""
-    return table(spark, sf_dir, "events").selectExpr(*items(BOARD_SQL[len("SELECT ") : BOARD_SQL.rindex(" FROM events")]))
+    return as_board_events(table(spark, sf_dir, "events"))
+
+
+def as_board_events(events: DataFrame) -> DataFrame:
+    return events.selectExpr(*items(BOARD_SQL[len("SELECT ") : BOARD_SQL.rindex(" FROM events")]))

@@ -23,7 +23,7 @@ def source(spark: SparkSession, path: str, schema, **options) -> DataFrame:
     return spark.readStream.schema(schema).options(**({"maxFilesPerTrigger": "8"} | options)).parquet(path)
 
 
-def upsert_stream(rows: DataFrame, target: str, key: str, fields: list[str], checkpoint: str):
+def upsert_stream(rows: DataFrame, target: str, key: str, fields: list[str], checkpoint: str, order: tuple[str, ...] = ("updated_at",)):
     """Upsert every batch into a new version of a table and append its change events.
 
     ``target``/v=N holds version N of the table and ``target``-events/batch=N the events; a batch that is run again
@@ -37,7 +37,7 @@ def upsert_stream(rows: DataFrame, target: str, key: str, fields: list[str], che
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = state.last_wins(batch, [key], [F.col("updated_at")]).select(*batch.columns)
+        new = state.last_wins(batch, [key], [F.col(c) for c in order]).select(*batch.columns)
         before = [v for v in versions(spark) if v < batch_id]
         old = spark.read.schema(batch.schema).parquet(f"{target}/v={before[-1]}") if before else batch.limit(0)
         new.persist()
