@@ -167,7 +167,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return pd.Series([[int(o), int(to[j])] if a else [int(o)] for o, j, a in zip(own, i, also, strict=True)])
 
     dealt = rows.select("doc_id", "text", F.posexplode(ranges_of("doc_id")).alias("borrowed", "part"))
-    dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "borrowed", "doc_id", "text").select("part", (F.col("borrowed") > 0).alias("borrowed"), "doc_id", "text")
+    dealt = dealt.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part", "borrowed", "doc_id", "text").select("part", (F.col("borrowed") > 0).alias("borrowed"), "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(_pair_pass, schema)
 
