@@ -1,8 +1,8 @@
 """The status board as a fold over events: transitions, assignees, labels.
 
-A transition depends on the last accepted status, so it is a fold and not a window.
-Events of one tender are folded in time order by a higher-order function; the
-accumulator holds the state and the accepted history.
+A transition depends on the last accepted status, so it is a fold and not a window.  With
+nine statuses a stretch of events is a small function from status to status; stretches are
+folded apart by a higher-order function and then chained.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ ALLOWED = {
     "lost": ("reviewing",),
     "skipped": ("reviewing",),
 }
-_STATE = "struct<status:string,updated_at:timestamp_ntz,history:array<struct<event_id:bigint,ts:timestamp_ntz,old:string,new:string>>>"
+_STATE = "struct<status:string,updated_at:timestamp_ntz,moves:int>"
+_ENTRY = "struct<event_id:bigint,ts:timestamp_ntz,old:string,new:string>"
 
 
 def _allowed(old: Column, new: Column) -> Column:
@@ -33,23 +34,70 @@ def _allowed(old: Column, new: Column) -> Column:
     return F.concat(old, F.lit(">"), new).isin(*pairs)
 
 
-def replay_status(events: DataFrame) -> DataFrame:
-    """Per tender: status, updated_at and accepted history from its status events (tender_id, event_id, ts, value, force).
+def _moves(status: Column, e: Column) -> Column:
+    return e["value"].isin(*STATUSES) & (e["value"] != status) & (e["force"] | _allowed(status, e["value"]))
+
+
+def _start(status: Column) -> Column:
+    return F.struct(status.alias("status"), F.lit(None).cast("timestamp_ntz").alias("updated_at"), F.lit(0).alias("moves")).cast(_STATE)
+
+
+def _fold(events: Column, status: Column) -> Column:
+    """State after events from a status; updated_at is null while nothing touched it."""
+
+    def step(state: Column, e: Column) -> Column:
+        moves = _moves(state["status"], e)
+        moved = F.struct(e["value"].alias("status"), e["ts"].alias("updated_at"), (state["moves"] + 1).alias("moves")).cast(_STATE)
+        fresh = F.struct(state["status"].alias("status"), e["ts"].alias("updated_at"), state["moves"].alias("moves")).cast(_STATE)
+        return F.when(moves, moved).when(e["value"] == state["status"], fresh).otherwise(state)
+
+    return F.aggregate(events, _start(status), step)
+
+
+def _segments(events: DataFrame, span: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value", "force")))
+    return events.groupBy("tender_id", F.date_trunc(span, "ts").cast("timestamp_ntz").alias("segment")).agg(ordered.alias("events"))
+
+
+def _chained(segments: DataFrame) -> DataFrame:
+    """Per tender the state at the end and the status at which each segment starts.
+
+    A segment is a function of the status it starts from, and there are nine: it is folded from each of
+    them, and the functions are chained.  So no array holds all events of a tender.
+    """
+    ends = segments.select("tender_id", "segment", F.array(*[_fold(F.col("events"), F.lit(s)) for s in STATUSES]).alias("ends"))
+    names = F.array(*[F.lit(s) for s in STATUSES])
+    start = F.struct(_start(F.lit("new")).alias("state"), F.array().cast("array<struct<segment:timestamp_ntz,status:string>>").alias("starts"))
+
+    def link(acc: Column, x: Column) -> Column:
+        end = F.element_at(x["ends"], F.array_position(names, acc["state"]["status"]).cast("int"))
+        state = F.struct(end["status"].alias("status"), F.coalesce(end["updated_at"], acc["state"]["updated_at"]).alias("updated_at"), (acc["state"]["moves"] + end["moves"]).alias("moves")).cast(_STATE)
+        return F.struct(state.alias("state"), F.concat(acc["starts"], F.array(F.struct(x["segment"].alias("segment"), acc["state"]["status"].alias("status")))).alias("starts"))
+
+    chain = ends.groupBy("tender_id").agg(F.array_sort(F.collect_list(F.struct("segment", "ends"))).alias("segments"))
+    return chain.select("tender_id", F.aggregate("segments", start, link).alias("a"))
+
+
+def replay_status(events: DataFrame, span: str = "day") -> DataFrame:
+    """Per tender: status, updated_at and the number of accepted moves, from its status events (tender_id, event_id, ts, value, force).
 
     The same status again only refreshes the time; a transition that is not allowed and not forced is ignored.
     """
-    ordered = events.groupBy("tender_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value", "force"))).alias("events"))
-    start = F.struct(F.lit("new").alias("status"), F.lit(None).cast("timestamp_ntz").alias("updated_at"), F.array().cast("array<struct<event_id:bigint,ts:timestamp_ntz,old:string,new:string>>").alias("history")).cast(_STATE)
+    return _chained(_segments(events, span)).select("tender_id", "a.state.*")
 
-    def step(state: Column, e: Column) -> Column:
-        same = e["value"] == state["status"]
-        moves = e["value"].isin(*STATUSES) & ~same & (e["force"] | _allowed(state["status"], e["value"]))
-        entry = F.array(F.struct(e["event_id"].alias("event_id"), e["ts"].alias("ts"), state["status"].alias("old"), e["value"].alias("new")))
-        moved = F.struct(e["value"].alias("status"), e["ts"].alias("updated_at"), F.concat(state["history"], entry).alias("history"))
-        fresh = F.struct(state["status"].alias("status"), e["ts"].alias("updated_at"), state["history"].alias("history"))
-        return F.when(moves, moved.cast(_STATE)).when(same, fresh.cast(_STATE)).otherwise(state)
-
-    return ordered.select("tender_id", F.aggregate("events", start, step).alias("s")).select("tender_id", "s.*")
+
+def status_history(events: DataFrame, span: str = "day") -> DataFrame:
+    """Accepted moves (tender_id, event_id, ts, old, new): each segment is folded again from the status it starts at."""
+    segments = _segments(events, span)
+    starts = _chained(segments).select("tender_id", F.explode("a.starts").alias("s")).select("tender_id", "s.segment", "s.status")
+    none = F.struct(F.col("status").alias("status"), F.array().cast(f"array<{_ENTRY}>").alias("moves"))
+
+    def step(acc: Column, e: Column) -> Column:
+        entry = F.array(F.struct(e["event_id"].alias("event_id"), e["ts"].alias("ts"), acc["status"].alias("old"), e["value"].alias("new")).cast(_ENTRY))
+        return F.when(_moves(acc["status"], e), F.struct(e["value"].alias("status"), F.concat(acc["moves"], entry).alias("moves"))).otherwise(acc)
+
+    joined = segments.join(starts, ["tender_id", "segment"])
+    return joined.select("tender_id", F.explode(F.aggregate("events", none, step)["moves"]).alias("m")).select("tender_id", "m.*")
 
 
 def assignees(events: DataFrame) -> DataFrame:

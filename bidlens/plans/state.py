@@ -139,7 +139,7 @@ def _status_kinds(events):
 
 @query("board_replay", f"{_FOLD} SELECT tender_id, status, nullif(u, TIMESTAMP '1900-01-01') AS updated_at, moves::INT AS moves FROM cur")
 def board_replay(spark, sf_dir):
-    return b.replay_status(_status_events(spark, sf_dir)).select("tender_id", "status", "updated_at", F.size("history").alias("moves"))
+    return b.replay_status(_status_events(spark, sf_dir)).select("tender_id", "status", "updated_at", "moves")
 
 
 @query("board_current", f"{_FOLD} SELECT status, count(*) AS n FROM cur GROUP BY 1")
@@ -149,7 +149,7 @@ def board_current(spark, sf_dir):
 
 @query("board_timeline", f"{_FOLD}, h AS (SELECT tender_id, k, status, lag(status) OVER (PARTITION BY tender_id ORDER BY k) AS old FROM f) SELECT h.tender_id, st.event_id, h.old, h.status AS new FROM h JOIN st ON st.tender_id = h.tender_id AND st.k = h.k WHERE h.old <> h.status")
 def board_timeline(spark, sf_dir):
-    return b.replay_status(_status_events(spark, sf_dir)).select("tender_id", F.explode("history").alias("h")).select("tender_id", "h.event_id", "h.old", "h.new")
+    return b.status_history(_status_events(spark, sf_dir)).select("tender_id", "event_id", "old", "new")
 
 
 @query("board_by_status", f"{_FOLD} SELECT o_orderkey AS tender_id, coalesce(status, 'new') AS status FROM orders LEFT JOIN cur ON o_orderkey = tender_id")

@@ -101,7 +101,8 @@ def test_board_fold(spark):
     events = spark.createDataFrame([(7, i, at[i], moves[i], force[i]) for i in range(8)], "tender_id long, event_id long, ts timestamp_ntz, value string, force boolean")
     got = board.replay_status(events).first()
     assert got["status"] == "won" and got["updated_at"] == at[6]
-    assert [h["new"] for h in got["history"]] == ["reviewing", "participating", "skipped", "won"]
+    assert [h["new"] for h in board.status_history(events).orderBy("event_id").collect()] == ["reviewing", "participating", "skipped", "won"]
+    assert board.replay_status(events, "year").first() == got and got["moves"] == 4
 
 
 def test_regions(spark):
