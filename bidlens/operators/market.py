@@ -54,7 +54,7 @@ def all_dimensions(joined: DataFrame, top: int = 20) -> DataFrame:
     name = F.coalesce(*[F.when(F.col(f"g_{d}") == 0, F.col(d)) for d in DIMENSIONS])
     long = sets.select(dimension.alias("dimension"), name.alias("name"), "n", "value", "avg_price", "avg_score", "high")
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), F.desc("value"), "name"))
-    return long.withColumn("rank", rank).where(F.col("rank") <= top)
+    return long.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
 
 
 def label(column: str, names: dict[str, str]) -> Column:
