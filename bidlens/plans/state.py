@@ -105,8 +105,11 @@ def undelivered(spark, sf_dir):
     return s.undelivered(_alerts(spark, sf_dir), _deliveries(spark, sf_dir)).select("tender_id", "recipient_key")
 
 
-@query("mark_delivered", f"""{WITH} SELECT recipient_key, count(*) AS n, max(sent_at) AS last FROM (SELECT tender_id, r AS recipient_key, {NOW_SQL} AS sent_at FROM tenders, (VALUES ('r0'), ('r1')) v(r)
-    UNION ALL SELECT tender_id, 'r' || CAST(tender_id % 3 AS VARCHAR), first_seen_at FROM tenders WHERE tender_id % 4 = 0 AND (tender_id % 3 = 2 OR NOT (tender_id % 8 = 0 OR price IS NULL))) GROUP BY 1""")
+@query(
+    "mark_delivered",
+    f"""{WITH} SELECT recipient_key, count(DISTINCT (tender_id, same)) AS n, max(sent_at) AS last FROM (SELECT tender_id, r AS recipient_key, true AS same, {NOW_SQL} AS sent_at FROM tenders, (VALUES ('r0'), ('r1')) v(r)
+    UNION ALL SELECT tender_id, 'r' || CAST(tender_id % 3 AS VARCHAR), tender_id % 8 = 0 OR price IS NULL, first_seen_at FROM tenders WHERE tender_id % 4 = 0) GROUP BY 1""",
+)
 def mark_delivered(spark, sf_dir):
     return s.mark_delivered(_deliveries(spark, sf_dir), _alerts(spark, sf_dir)).groupBy("recipient_key").agg(F.count("*").alias("n"), F.max("sent_at").alias("last"))
 
