@@ -38,6 +38,8 @@ _SHIFT = np.uint64(29)
 _CACHE = 200_000
 #: Times that entries of different components meet a hub before they meet each other.
 HUB_TURNS = 3
+#: Hubs of a bucket in such a turn: large components that few of their pairs link are found apart less often.
+HUBS = 8
 
 
 def _grams(text: str | None, n: int, cache: dict) -> np.ndarray:
@@ -269,7 +271,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     stars = connected_components(_verified(pairs, sets, num, den), "stars")
 
-    # Entries whose components still differ meet again: first one hub a bucket, chosen anew each time, so
+    # Entries whose components still differ meet again: first a few hubs a bucket, chosen anew each time, so
     # that what is left of a group of near copies joins up in linear size; then each other.
     links, roots = stars.select(F.col("node").alias("src"), F.col("root").alias("dst")), stars
     turn = 0
@@ -283,8 +285,8 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             break
         other = left.where("band = bucket")
         if turn < HUB_TURNS:
-            chosen_by = F.xxhash64("doc", "gram", F.lit(turn))
-            other = other.groupBy("gram", "bucket").agg(F.min_by(F.struct("doc", "n", "pos", "band", "comp"), chosen_by).alias("h")).select("gram", "bucket", "h.*")
+            picks = [F.min_by(F.struct("doc", "n", "pos", "band", "comp"), F.xxhash64("doc", "gram", F.lit(turn * HUBS + i))) for i in range(HUBS)]
+            other = other.groupBy("gram", "bucket").agg(F.array_distinct(F.array(*picks)).alias("h")).select("gram", "bucket", F.explode("h").alias("h")).select("gram", "bucket", "h.*")
         met = (
             left.alias("a").join(other.alias("b"), ["gram", "bucket"])
             .where(f"a.comp <> b.comp and (a.band < b.band or {'a.doc < b.doc' if turn == HUB_TURNS else 'true'}) and {fits}")
