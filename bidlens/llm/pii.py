@@ -5,9 +5,10 @@ IBANs, secrets after a key word, and names after a title.  A surrogate is a func
 the type and the entity's canonical form (digits only, lower case), so one entity has one
 surrogate in all texts and formats.  It keeps the format: digits for digits, letters of
 the same script and case for letters, octets for octets, a given name of the title's
-gender.  Two entities with one surrogate, or a surrogate that equals a real entity, are
-given another attempt until all differ.  DataFrame functions only; the text is read
-twice and never shuffled while the exceptions are few.
+gender, the country code of a phone number with "+".  Two entities with one surrogate, or a
+surrogate that equals a real entity, are given another attempt until all differ; from the
+attempt WIDE on the format gives way where it leaves too few surrogates.  DataFrame functions
+only; the text is read twice and never shuffled while the exceptions are few.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import documents, materialize
 KEY = "bidlens"
 #: Entities whose first surrogate clashed; up to so many are carried as a literal map.
 LITERAL_EXCEPTIONS = 5_000
+#: From this attempt on mail names grow longer, phone numbers change their country, and secrets become hex digits.
+WIDE = 8
 
 _WORD = r"\p{L}\p{N}"
 EMAIL = rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@[{_WORD}-]++(?:\.[{_WORD}-]++)+"
@@ -29,6 +32,8 @@ PHONE = r"(?<![\d.+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4
 CARD = r"(?<![\d.])\d{4}(?:[ -]?\d{4}){3}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d)(?!\.\d)"
+# Country codes are free of prefixes, so digits alone tell how long one is, wherever the number is spaced.
+COUNTRY = r"^\+(?:[17]|2\D*[07]|3\D*[0-469]|4\D*[013-9]|5\D*[1-8]|6\D*[0-6]|8\D*[1246]|9\D*[0-58]|\d\D*\d\D*\d)"
 # Titles with their gender.
 MALE = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин", "г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "г-жа"]
@@ -61,7 +66,8 @@ def _canonical(e: Column, kind: Column) -> Column:
     """The form that all spellings of one entity share."""
     name = F.lower(F.regexp_replace(e, rf"^(?:{_TITLES})\.? ", ""))
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(e, r"\D", ""))
+        F.when(kind == "phone", F.regexp_replace(e, r"[^\d+]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(e, r"\D", ""))
         .when(kind.startswith("name"), name)
         .when(kind == "iban", F.regexp_replace(F.upper(e), " ", ""))
         .when(kind == "email", F.lower(e))
@@ -100,7 +106,7 @@ def _pick(names: list[str], stream: Column, i: int) -> Column:
 def _name(e: Column, kind: Column, stream: Column) -> Column:
     title = F.regexp_extract(e, rf"^(?:{_TITLES})\.?", 0)
     parts = F.split(F.trim(F.substr(e, F.length(title) + 1)), " ")
-    russian = F.rlike(e, F.lit(r"\p{IsCyrillic}"))
+    russian = F.rlike(F.array_join(parts, " "), F.lit(r"\p{IsCyrillic}"))
     female = kind == "name-f"
     given = F.when(
         russian, F.when(female, _pick(GIVEN_FEMALE_CYRILLIC, stream, 0)).otherwise(_pick(GIVEN_MALE_CYRILLIC, stream, 0))
@@ -117,12 +123,13 @@ def _name(e: Column, kind: Column, stream: Column) -> Column:
 
 
 def _surrogate(x: Column, key: str) -> Column:
-    """The replacement of the entity struct x (e, kind, canonical, stream), in e's own format."""
-    e, kind, stream = x["e"], x["kind"], x["stream"]
+    """The replacement of the entity struct x (e, kind, attempt, stream), in e's own format."""
+    e, kind, stream, wide = x["e"], x["kind"], x["stream"], x["attempt"] >= WIDE
     host = F.substring_index(e, "@", -1)
     mailhost = F.concat(_shaped(F.substring_index(host, ".", 1), _stream(F.lit("host"), F.lower(host), F.lit(0), key)), F.lit(".example."), F.substring_index(host, ".", -1))
-    email = F.concat(_shaped(F.substring_index(e, "@", 1), stream), F.lit("@"), mailhost)
-    phone_head = F.regexp_extract(e, r"^\+\d{1,3}(?=[ .(-])", 0)
+    longer = F.when(wide, F.translate(F.substring(stream, 100, 8), _HEX, _LATIN)).otherwise("")
+    email = F.concat(_shaped(F.substring_index(e, "@", 1), stream), longer, F.lit("@"), mailhost)
+    phone_head = F.when(wide, "").otherwise(F.regexp_extract(e, COUNTRY, 0))
     hexed = F.substring(stream, F.lit(1), F.length(e))
     return (
         F.when(kind == "email", email)
@@ -130,7 +137,7 @@ def _surrogate(x: Column, key: str) -> Column:
         .when(kind == "ip", F.array_join(F.array(*[(F.pmod(_byte(stream, i), F.lit(254)) + 1).cast("string") for i in range(4)]), "."))
         .when(kind == "phone", F.concat(phone_head, _shaped(F.substr(e, F.length(phone_head) + 1), stream)))
         .when(kind == "iban", F.concat(F.substring(e, 1, 2), _shaped(F.substr(e, F.lit(3)), stream)))
-        .when((kind == "secret") & F.rlike(e, F.lit("^[0-9a-f]+$")), hexed)
+        .when((kind == "secret") & (wide | F.rlike(e, F.lit("^[0-9a-f]+$"))), hexed)
         .when((kind == "secret") & F.rlike(e, F.lit("^[0-9A-F]+$")), F.upper(hexed))
         .otherwise(_shaped(e, stream))
     )
@@ -144,17 +151,17 @@ def described(entities: Column) -> Column:
 
 def surrogates(entities: Column, attempt, key: str) -> Column:
     """Array of surrogates for an array of described entities; attempt maps a struct to its number of tries."""
+    tried = F.transform(entities, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["canonical"].alias("canonical"), attempt(x).alias("attempt")))
     keyed = F.transform(
-        entities,
-        lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), _stream(x["kind"], x["canonical"], attempt(x), key).alias("stream")),
+        tried,
+        lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), _stream(x["kind"], x["canonical"], x["attempt"], key).alias("stream")),
     )
     return F.transform(keyed, lambda x: _surrogate(x, key))
 
 
 def _spelled(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     """The surrogate in canonical form, which has to be unique."""
-    whole = F.when(kind == "name-f", F.concat(F.lit("Ms "), F.initcap(canonical))).when(kind == "name-m", F.concat(F.lit("Mr "), F.initcap(canonical))).otherwise(canonical)
-    e = F.when(kind == "phone", F.concat(F.lit("("), canonical)).otherwise(whole)
+    e = F.when(kind == "name-f", F.concat(F.lit("Ms "), F.initcap(canonical))).when(kind == "name-m", F.concat(F.lit("Mr "), F.initcap(canonical))).otherwise(canonical)
     one = F.array(F.struct(e.alias("e"), kind.alias("kind"), canonical.alias("canonical"), attempt.alias("attempt")))
     return F.get(F.transform(surrogates(one, lambda x: x["attempt"], key), lambda s: _canonical(s, kind)), 0)
 
@@ -181,14 +188,16 @@ def clashing(entities: DataFrame, key: str, most: int = 20) -> DataFrame:
         kept = new if late is None else late.join(new, ["kind", "canonical"], "left_anti").unionByName(new)
         late = materialize(kept, "exceptions")
         now = entities.join(late, ["kind", "canonical"], "left").select("kind", "canonical", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    else:
+        raise RuntimeError(f"{new.count()} surrogates still clash after {most} attempts")
     return late if late is not None else entities.limit(0).withColumn("attempt", F.lit(0))
 
 
 def replace_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with surrogates in text_col, and n_entities (which replaces a column of that name).
 
-    Null texts stay null with 0 entities; texts without entities stay as they are.  Rows
-    that repeat an id are treated alike.
+    Null texts stay null with 0 entities; texts without entities stay as they are.  Ids
+    are not used: a text's surrogates depend on the entities in it alone.
     """
     entities = materialize(find_entities(docs, text_col=text_col), "entities")
     late = clashing(entities, key)
@@ -199,9 +208,10 @@ def replace_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         pairs = [x for r in few for x in (F.lit(f"{r['kind']}\x1f{r['canonical']}"), F.lit(r["attempt"]))]
         attempts = F.create_map(*pairs) if pairs else None
     else:
-        of = docs.select(F.col(id_col).alias("_id"), F.explode(described(F.array_distinct(found))).alias("x")).select("_id", "x.kind", "x.canonical").distinct()
-        mine = of.join(late, ["kind", "canonical"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canonical"), "attempt"))).alias("_late"))
-        rows = docs.join(mine, docs[id_col] == mine["_id"], "left").drop("_id")
+        digest = F.sha2(F.col(text_col), 256)
+        of = docs.select(digest.alias("_digest"), F.explode(described(F.array_distinct(found))).alias("x")).select("_digest", "x.kind", "x.canonical").distinct()
+        mine = of.join(late, ["kind", "canonical"]).groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "canonical"), "attempt"))).alias("_late"))
+        rows = docs.join(materialize(mine, "late"), digest == F.col("_digest"), "left").drop("_digest")
         attempts = F.col("_late")
 
     def attempt(x: Column) -> Column:

@@ -1,7 +1,10 @@
 """Line dedup, license scan, surrogates and chat formatting: SQL on tables, cases by hand, odd rows."""
 
+import re
+
 import pytest
 
+from bidlens.llm import pii
 from bidlens.llm.chat_format import unquote
 from bidlens.llm.license_scan import license_scan
 from bidlens.llm.line_dedup import drop_boilerplate
@@ -80,6 +83,35 @@ def test_surrogates_stay_distinct(spark):
     assert replaced.join(find_entities(rows), ["kind", "canonical"]).count() == 0
 
 
+def phones(spark, texts):
+    """The phone numbers of each text after replacement, without their format."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [[re.sub(r"[^\d+]", "", x) for x in r["text"].split("; ")] for r in replace_pii(rows).orderBy("doc_id").collect()]
+
+
+def test_country_numbers_stay_distinct_in_all_formats(spark):
+    numbers = [(f"{i // 100:02d}", f"{i % 100:02d}") for i in range(2000)]
+    got = phones(spark, [f"+44 7 {a} {b}; +447{a}{b}; +44-(7)-{a}-{b}" if i % 2 else f"+44 (7) {a} {b}; +4 47 {a} {b}; +447-{a}.{b}" for i, (a, b) in enumerate(numbers)])
+    assert all(len(set(x)) == 1 and x[0].startswith("+44") for x in got)
+    assert len({x[0] for x in got}) == 2000 and not {x[0] for x in got} & {f"+447{a}{b}" for a, b in numbers}
+    assert len({x for r in phones(spark, ["+10175557713; +1 (017) 555-7713; +1-017-555-7713"]) for x in r}) == 1
+
+
+def test_exceptions_reach_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LITERAL_EXCEPTIONS", 0)
+    mails = [f"{a}@firm.org" for a in "abcdefghijklmnopqrstuvwxyz"]
+    rows = spark.createDataFrame([(None, f"write to {m} or password=-------- now") for m in mails], "doc_id long, text string")
+    got = [r["text"].split() for r in replace_pii(rows).collect()]
+    assert len({x[2] for x in got}) == 26 and not {x[2] for x in got} & set(mails)
+    assert len({x[4] for x in got}) == 1 and "-" not in got[0][4]
+
+
+def test_rounds_that_run_out_fail(spark):
+    entities = spark.createDataFrame([("email", f"{a}@firm.org") for a in "abcdefghijklmnopqrstuvwxyz"], "kind string, canonical string")
+    with pytest.raises(RuntimeError, match="still clash"):
+        clashing(entities, "k", most=2)
+
+
 def test_clashes_get_another_attempt(spark):
     # two-digit cards do not exist; a tiny space of surrogates shows the loop: one-octet-like secrets
     entities = spark.createDataFrame([("ip", f"1.1.{a}.{b}") for a in range(60) for b in range(60)], "kind string, canonical string")
