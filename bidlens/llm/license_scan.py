@@ -1,10 +1,11 @@
 """License notices by an exact set-similarity join of text blocks with templates.
 
-A block is a line.  A template is found where at least 9/10 of its distinct words are in
-the block.  Template words are ordered by their frequency over all blocks, rarest first: a
+A block is a line, or a window of 10/9 of the template's length over all words of the text, so
+that a notice may run over lines.  A template is found where at least 9/10 of its distinct words are in
+the block.  Template words are ordered by their frequency over all lines, rarest first: a
 block that reaches the threshold must hold one of the first n - t + 1, which, with the
-blocks' length and the place of the first shared word, decides the candidates; they are
-then verified exactly.  Beside that, the base phrases are counted where their words
+blocks' length and the place of the first shared word in both, decides the candidates; they are
+then verified exactly.  The filters take a whole text for its windows.  Beside that, the base phrases are counted where their words
 stand consecutively.  DataFrame functions only.
 """
 
@@ -49,39 +50,50 @@ def _literals(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, words): the distinct words of every line that has any."""
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    return docs.select(F.col(id_col).alias("doc"), F.explode(F.split(lowered, "\n")).alias("line")).select(
-        "doc", F.array_distinct(F.split(_spaced(F.col("line"), " "), " ")).alias("words")
+def _words(text: Column) -> Column:
+    return F.split(_spaced(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), " "), " ")
+
+
+def _met(blocks: DataFrame, index: DataFrame, vocabulary: list[str], first: list[str]) -> DataFrame:
+    """Blocks (doc, words) with each template of which they hold t words."""
+    known = blocks.withColumn("known", F.array_intersect(_literals(vocabulary), "words"))  # rarest first
+    probes = known.withColumn("first", F.array_intersect("known", _literals(first))).where(F.size("first") > 0)
+    return (
+        probes.select("doc", "words", "known", F.explode("first").alias("word"))
+        .join(F.broadcast(index), "word")
+        # length filter; positional filter: what block and template still have from this word on, if it is the first they share
+        .where((F.size("known") >= F.col("t")) & (F.least(F.size("known") - F.array_position("known", F.col("word")) + 1, F.col("n") - F.col("pos")) >= F.col("t")))
+        .withColumn("shared", F.array_intersect("template", "known"))
+        .where((F.get("shared", F.lit(0)) == F.col("word")) & (F.size("shared") >= F.col("t")))
     )
 
 
 def scan_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc, label, containment) for each template label that a block of the document reaches; best containment."""
-    sets = [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    blocks = _blocks(docs, id_col, text_col)
-    counted = blocks.select(F.explode(F.array_intersect("words", _literals(vocabulary))).alias("word")).groupBy("word").count()
+    sets = [(label, list(dict.fromkeys(text.split())), len(text.split()) * DEN // NUM) for label, text in templates]
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    lines = texts.select("doc", F.explode(F.split("text", "\n")).alias("line")).select("doc", F.array_distinct(_words(F.col("line"))).alias("words"))
+    used = sorted({w for _, ws, _ in sets for w in ws})
+    counted = lines.select(F.explode(F.array_intersect("words", _literals(used))).alias("word")).groupBy("word").count()
     freq = {r["word"]: r["count"] for r in counted.collect()}  # at most the templates' vocabulary
+
+    def rank(w: str) -> tuple[int, str]:
+        return freq.get(w, 0), w
+
     rows = []
-    for k, (label, words) in enumerate(sets):
-        ordered = sorted(words, key=lambda w: (freq.get(w, 0), w))
+    for label, words, span in sets:
+        ordered = sorted(words, key=rank)
         t = -(-NUM * len(ordered) // DEN)
-        rows += [(k, label, w, i, len(ordered), t, ordered) for i, w in enumerate(ordered[: len(ordered) - t + 1]) if freq.get(w)]
-    schema = "k int, label string, word string, pos int, n int, t int, template array<string>"
+        rows += [(label, w, i, len(ordered), t, span, ordered) for i, w in enumerate(ordered[: len(ordered) - t + 1]) if freq.get(w)]
+    schema = "label string, word string, pos int, n int, t int, span int, template array<string>"
     index = docs.sparkSession.createDataFrame(rows, schema)
-    first = _literals(sorted({r[2] for r in rows}))
-    probes = blocks.withColumn("first", F.array_intersect("words", first)).where(F.size("first") > 0)
-    met = (
-        probes.select("doc", "words", F.explode("first").alias("word"))
-        .join(F.broadcast(index), "word")
-        # length filter; positional filter: what template and block still have from this word on
-        .where((F.size("words") >= F.col("t")) & (F.col("n") - F.col("pos") >= F.col("t")))
-        .withColumn("both", F.size(F.array_intersect("words", "template")))
-        .where("both >= t")
-    )
-    return met.groupBy("doc", "label").agg(F.max(F.col("both") / F.col("n")).alias("containment"))
+    vocabulary, first = sorted(used, key=rank), sorted({r[1] for r in rows})
+    in_lines = _met(lines, index, vocabulary, first).select("doc", "label", "n", F.size("shared").alias("both"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("template", F.get("words", i - 1)))
+    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("span")), F.col("template")))))
+    whole = texts.where(F.contains("text", F.lit("\n"))).select("doc", _words(F.col("text")).alias("words"))  # one line is a block already
+    in_windows = _met(whole, index, vocabulary, first).select("doc", "label", "n", "t", best.alias("both")).where("both >= t").drop("t")
+    return in_lines.unionByName(in_windows).groupBy("doc", "label").agg(F.max(F.col("both") / F.col("n")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:

@@ -52,6 +52,16 @@ def test_license_scan(spark):
     assert license_scan(odd_rows(spark)).count() == 9 and license_scan(empty_rows(spark)).count() == 0
 
 
+def test_license_notices_over_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    gpl = "/* This program is free software; you can redistribute it\n * and/or modify it under the terms of the GNU\n * General Public License */"
+    far = "permission is hereby granted free of charge\n" + "filler word\n" * 40 + "to any person obtaining a copy of this software and associated documentation files"
+    short = "released under\nthe mit\nx license"
+    got = {r["doc_id"]: r for r in license_scan(odd_rows(spark, [mit, "intro\n" * 30 + gpl, far, short])).collect()}
+    assert (got[100]["labels"], got[100]["score"]) == ("mit-notice", 1.0) and got[101]["labels"] == "gpl,gpl-notice"
+    assert got[102]["labels"] == "" and got[102]["score"] == 0.0 and got[103]["labels"] == ""
+
+
 TEXTS = [
     'Call +1 (017) 555-7713 or +1-017-555-7713, mail und.34@mail7.example.com; token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" x',
     "Mr. John Smith met Mrs Anna Lee at 97.51.17.173, card 9807915762804490!! IBAN DE89 3704 0044 0532 0130 00 ssn 123-45-6789",
