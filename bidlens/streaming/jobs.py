@@ -6,6 +6,7 @@ same rows as its batch twin.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import board, state
 
-BOARD_STATE = "status string, updated_at timestamp"
+#: The status events so far as JSON: [nanoseconds, event_id, value, force], in that order.
+BOARD_STATE = "events string"
 
 
 def source(spark: SparkSession, path: str, schema, **options) -> DataFrame:
@@ -27,7 +29,8 @@ def upsert_stream(rows: DataFrame, target: str, key: str, fields: list[str], che
     """Upsert every batch into a new version of a table and append its change events.
 
     ``target``/v=N holds version N of the table and ``target``-events/batch=N the events; a batch that is run again
-    overwrites its own version and events, so the result does not depend on retries.
+    overwrites its own version and events, so the result does not depend on retries.  A row that is older by
+    ``order`` than the stored one changes nothing, so it does not depend on the order of arrival either.
     """
 
     def versions(spark: SparkSession) -> list[int]:
@@ -40,6 +43,7 @@ def upsert_stream(rows: DataFrame, target: str, key: str, fields: list[str], che
         new = state.last_wins(batch, [key], [F.col(c) for c in order]).select(*batch.columns)
         before = [v for v in versions(spark) if v < batch_id]
         old = spark.read.schema(batch.schema).parquet(f"{target}/v={before[-1]}") if before else batch.limit(0)
+        new = new.join(old.select(key, F.struct(*order).alias("_stored")), key, "left").where(F.col("_stored").isNull() | (F.struct(*order) >= F.col("_stored"))).select(*batch.columns)
         new.persist()
         state.change_events(old, new, key, fields).write.mode("overwrite").parquet(f"{target}-events/batch={batch_id}")
         state.upsert(old, new, key).write.mode("overwrite").parquet(f"{target}/v={batch_id}")
@@ -59,17 +63,19 @@ def drop_late(rows: DataFrame, now: Column, days: Column, delay: str = "30 days"
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-    status, at = kept.get if kept.exists else ("new", pd.NaT)
-    events = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-    for value, force, ts in zip(events["value"], events["force"], events["ts"], strict=True):
-        if value == status:
-            at = ts
-        elif value in board.STATUSES and (force or value in board.ALLOWED[status]):
-            status, at = value, ts
-    kept.update((status, at))
+    events = json.loads(kept.get[0]) if kept.exists else []
+    for batch in batches:
+        rows = zip(batch["ts"], batch["event_id"], batch["value"], batch["force"], strict=True)
+        events += [[ts.value, int(i), value, bool(force)] for ts, i, value, force in rows if value in board.STATUSES]
+    events.sort(key=lambda e: e[:2])
+    status, at = "new", pd.NaT
+    for ts, _, value, force in events:
+        if value == status or force or value in board.ALLOWED[status]:
+            status, at = value, pd.Timestamp(ts)
+    kept.update((json.dumps(events),))
     yield pd.DataFrame({"tender_id": [key[0]], "status": [status], "updated_at": [at]})
 
 
 def board_stream(events: DataFrame) -> DataFrame:
-    """Status per tender after each batch of events; events of one tender have to arrive in time order across batches."""
-    return events.groupBy("tender_id").applyInPandasWithState(_step, f"tender_id long, {BOARD_STATE}", BOARD_STATE, "update", GroupStateTimeout.NoTimeout)
+    """Status per tender after each batch of events, which may arrive in any order: a tender's status events stay in its state."""
+    return events.groupBy("tender_id").applyInPandasWithState(_step, "tender_id long, status string, updated_at timestamp", BOARD_STATE, "update", GroupStateTimeout.NoTimeout)

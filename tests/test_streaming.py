@@ -37,6 +37,29 @@ def test_board_stream_equals_replay(spark, tmp_path):
     assert got == {(r["tender_id"], r["status"]) for r in board.replay_status(events).collect()}
 
 
+def test_upsert_keeps_the_latest_row_whatever_file_comes_last(spark, tmp_path):
+    schema = "k long, price double, first_seen_at timestamp, updated_at timestamp"
+    src = str(tmp_path / "in")
+    for i, (day, rows) in enumerate([(9, [(1, 5.0), (2, 6.0)]), (3, [(1, 7.0), (3, 8.0)])]):
+        at = dt.datetime(2026, 1, day)
+        spark.createDataFrame([(*r, at, at) for r in rows], schema).coalesce(1).write.parquet(f"{src}/b{i}")
+    stream = jobs.source(spark, f"{src}/*", schema, maxFilesPerTrigger="1")
+    jobs.upsert_stream(stream, str(tmp_path / "t"), "k", ["price"], str(tmp_path / "cp")).awaitTermination()
+    assert {(r["k"], r["price"]) for r in spark.read.parquet(f"{tmp_path}/t/v=1").collect()} == {(1, 5.0), (2, 6.0), (3, 8.0)}
+    assert [r["k"] for r in spark.read.parquet(f"{tmp_path}/t-events/batch=1").collect()] == [3]
+
+
+def test_board_stream_bears_files_out_of_time_order(spark, tmp_path):
+    schema = "tender_id long, event_id long, ts timestamp, value string, force boolean"
+    src, out = str(tmp_path / "ev"), str(tmp_path / "out")
+    for i, (day, value) in enumerate([(3, "docs_preparation"), (2, "participating"), (1, "reviewing")]):
+        spark.createDataFrame([(1, day, dt.datetime(2026, 1, day), value, False)], schema).coalesce(1).write.parquet(f"{src}/b{i}")
+    stream = jobs.board_stream(jobs.source(spark, f"{src}/*", schema, maxFilesPerTrigger="1"))
+    stream.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.parquet(f"{out}/b={i}")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{out}/b=2").first()
+    assert (last["status"], last["updated_at"]) == ("docs_preparation", dt.datetime(2026, 1, 3))
+
+
 def test_alert_once(spark, tmp_path):
     src = str(tmp_path / "a")
     at = dt.datetime(2026, 1, 1)
