@@ -55,8 +55,8 @@ def header_rows(pages: DataFrame, names: dict[str, str], key: str = "page_id", h
 
 def cards(pages: DataFrame, mark: str, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, card_no, card): page parts from each opening mark to the next."""
-    parts = F.slice(F.split(html, mark), 2, 1_000_000)
-    return pages.select(key, F.posexplode(parts).alias("card_no", "card"))
+    parts = F.split(html, mark)
+    return pages.select(key, F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("card_no", "card"))
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

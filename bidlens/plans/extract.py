@@ -14,10 +14,16 @@ def _order_rows(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "dd.MM.yyyy")).withColumn("amount", F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"))
 
 
+#: Orders of a page; a customer with more has several pages.
+PAGE_ROWS = 1_000
+
+
 def _pages(spark, sf_dir, row: str, head: str = "", tail: str = ""):
-    """One page per customer with a marked-up row per order."""
+    """Pages of a customer with a marked-up row per order, about PAGE_ROWS a page, so that no group is as large as a customer."""
     rows = _order_rows(spark, sf_dir).selectExpr("o_custkey AS page_id", "o_orderkey", f"{row} AS row")
-    parts = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda r: r["row"]), "").alias("body"))
+    hot = rows.groupBy("page_id").agg(F.ceil(F.count("*") / PAGE_ROWS).alias("pages")).where("pages > 1")
+    dealt = rows.join(hot, "page_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("o_orderkey"), F.col("pages")), F.lit(0)))
+    parts = dealt.groupBy("page_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda r: r["row"]), "").alias("body"))
     return parts.select("page_id", F.concat(F.lit(head), "body", F.lit(tail)).alias("html"))
 
 

@@ -118,6 +118,21 @@ def test_answers(spark):
     assert [r["is_stub"] for r in got] == [False, False, True, True, True]
 
 
+def test_cards_beyond_a_million(spark):
+    pages = spark.range(1).select(F.col("id").alias("page_id"), F.repeat(F.lit("<c>x"), 1_000_003).alias("html"))
+    assert extract.cards(pages, "<c>").count() == 1_000_003
+
+
+def test_pages_of_a_customer_are_bounded(spark, monkeypatch):
+    from bidlens.plans import extract as plans
+
+    monkeypatch.setattr(plans, "PAGE_ROWS", 5)
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").count().agg(F.sum("count"), F.max("count")).first()
+    rows = plans._pages(spark, sf, "'<tr>'").select(F.size(F.split("html", "<tr>")) - 1).toPandas().iloc[:, 0]
+    assert rows.sum() == orders[0] and rows.max() < orders[1] and (rows > 1).any()
+
+
 def test_extraction_and_feed(spark, tmp_path):
     html = '<table class="search-results"><tr><th>a</th></tr><tr><td>4571794</td><td>Поставка &quot;подшипников&quot;</td><td>12 345,67 руб.</td><td>11.09.2026 10:15</td></tr></table>'
     row = extract.table_rows(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
