@@ -3,19 +3,20 @@
 CGK embedding: a random walk copies a string character by character and moves on by a
 random bit that depends on the step and the character, so strings at small edit distance
 become strings at small Hamming distance.  Hash tables over sampled steps then find
-windows whose embeddings agree there.  Windows start at every word of a document and of
-an item and are as long as the items allow (a class of window length per class of item length); several tables,
-half of them over the first half of the walk, bring the recall for passages with up to
-a tenth of their characters edited above 0.95.  Candidates are verified by exact
-semi-global edit distance against the whole item.
+windows whose embeddings agree there.  The windows of an item start at each of its words and
+the walk over them is as long as the item's class allows: one walk over a whole item loses step at
+its first edits, several shorter ones along it need only one that agrees.  Enough tables are kept for a recall of
+0.9 and more at MOST_EDITS in every class.  Candidates are verified by exact semi-global edit distance
+against the whole item, after an exact bound on its shared trigrams.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +25,18 @@ from pyspark.sql import functions as F
 from .common import by_ids, documents, materialize, slices, text_rows
 
 #: Edits allowed, as a share of the item's length.
-MOST_EDITS = 0.25
-#: Window lengths in bytes; an item takes the longest that is at most its length less SLACK.
-WINDOWS, SLACK = (48, 32, 16), 8
-#: Tables per window length; sampled steps of a table over half the walk, and over all of it.
-TABLES, SAMPLES = 8, (14, 12)
+MOST_EDITS = 0.15
+#: Classes of items: least plain bytes, steps of the walk, steps sampled by a table, tables.
+CLASSES = ((120, 48, 14, 8), (80, 40, 16, 8), (48, 32, 14, 8), (24, 16, 9, 12))
 SEED = 20_240_607
-#: Items searched in one pass; more are searched in several passes over the documents.
+#: Items searched in one pass; more are searched in several passes over the documents, one after the other.
 ITEMS_PER_PASS = 20_000
+_STEPS = max(c[1] for c in CLASSES)
 _BLOCK = 32_768
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+#: Between documents of a batch; plain text has no such byte.
+_GAP = b"\0"
 
 
 def plain(text: str | None) -> bytes:
@@ -72,114 +74,176 @@ def edit_distance_within(item: bytes, text: bytes, most: int) -> tuple[int, int]
     return (best, end) if best <= most else None
 
 
+def window_starts(text: np.ndarray) -> np.ndarray:
+    """Starts of words, and every code point of scripts that set no blanks between words (from U+0800 on)."""
+    mask = text >= 0xE0
+    mask[1:] |= (text[:-1] == 32) | (text[:-1] == 0)
+    mask[:1] = True
+    return np.flatnonzero(mask)
+
+
 class Walk:
     """The random functions of the embedding and the sampled steps, the same everywhere."""
 
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 2, (2 * WINDOWS[0], 256), dtype=np.uint8)
-        self.steps = {w: [np.sort(rng.choice(w if t % 2 else 2 * w, SAMPLES[t % 2 == 0], replace=False)) for t in range(TABLES)] for w in WINDOWS}
+        self.bits = rng.integers(0, 2, (_STEPS, 256), dtype=np.uint8)
+        self.steps = [[rng.choice(steps, samples, replace=False).tolist() for _ in range(tables)] for _, steps, samples, tables in CLASSES]
 
-    def keys(self, text: np.ndarray, starts: np.ndarray, windows: list[int]) -> dict[int, list[np.ndarray]]:
-        """Per window length and table, the hash of the sampled characters for every start.  text needs 2 * WINDOWS[0] spare bytes."""
+    def keys(self, text: np.ndarray, starts: np.ndarray, classes: list[int]) -> dict[int, list[np.ndarray]]:
+        """Per class and table, the hash of the sampled characters for every start.  text needs _STEPS spare bytes."""
         at = starts.astype(np.int64)
-        out = {w: [np.zeros(len(at), np.uint64) for _ in range(TABLES)] for w in windows}
+        out = {c: [np.zeros(len(at), np.uint64) for _ in self.steps[c]] for c in classes}
         uses: dict[int, list[np.ndarray]] = defaultdict(list)
-        for w in windows:
-            for t, steps in enumerate(self.steps[w]):
+        for c in classes:
+            for h, steps in zip(out[c], self.steps[c], strict=True):
                 for s in steps:
-                    uses[int(s)].append(out[w][t])
-        for step in range(2 * max(windows)):
-            c = text.take(at)
+                    uses[s].append(h)
+        for step in range(max(CLASSES[c][1] for c in classes)):
+            char = text.take(at)
             for h in uses.get(step, ()):
                 h *= _PRIME
-                h += c
-            at += self.bits[step].take(c)
+                h += char
+            at += self.bits[step].take(char)
         return out
 
 
+def _trigrams(text: bytes) -> list[bytes]:
+    return [text[i : i + 3] for i in range(len(text) - 2)]
+
+
 class ItemIndex:
-    """Hash tables over the items' windows; a bit map in front of each answers most lookups."""
-
-    def __init__(self, items: list[tuple[object, str | None]]):
-        self.walk = Walk()
-        self.items = [(i, p) for i, t in items if i is not None and len(p := plain(t)) >= WINDOWS[-1] + SLACK]
-        by_window: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, p) in enumerate(self.items):
-            w = next(w for w in WINDOWS if w + SLACK <= len(p))
-            words = [0, *(i + 1 for i, c in enumerate(p) if c == 32)]
-            by_window[w] += [(k, o) for o in words if o == 0 or o + w + SLACK <= len(p)]
-        self.windows = sorted(by_window, reverse=True)
+    """Hash tables over the items' windows, a bit map in front of each, and an automaton for the shortest items."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.walk, self.items = Walk(), items
+        self.grams: dict[int, list[bytes]] = {}
+        by_class: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.short = ahocorasick.Automaton()
+        same: dict[str, list[int]] = defaultdict(list)
+        for k, (_, p) in enumerate(items):
+            c = next((c for c, (least, *_) in enumerate(CLASSES) if len(p) >= least), None)
+            if c is None:
+                same[p.decode("latin-1")].append(k)
+            else:
+                by_class[c] += [(k, o) for o in window_starts(np.frombuffer(p, np.uint8)).tolist() if o == 0 or o + CLASSES[c][1] // 2 <= len(p)]
+        for word, ks in same.items():
+            self.short.add_word(word, (len(word), ks))
+        if same:
+            self.short.make_automaton()
+        self.classes = sorted(by_class)
         self.tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
-        spare = b" " + bytes(4 * WINDOWS[0])
-        for w, places in by_window.items():
-            buffer, base = [], {}
-            at = 0
+        spare = b" " + bytes(_STEPS)
+        for c, places in by_class.items():
+            base, parts, at = {}, [], 0
             for k in dict.fromkeys(k for k, _ in places):
                 base[k] = at
-                buffer.append(self.items[k][1] + spare)
-                at += len(buffer[-1])
-            text = np.frombuffer(b"".join(buffer), np.uint8)
+                parts.append(items[k][1] + spare)
+                at += len(parts[-1])
+            text = np.frombuffer(b"".join(parts), np.uint8)
+            item, offset = (np.array(x, np.int32) for x in zip(*places, strict=True))
             starts = np.array([base[k] + o for k, o in places])
             tables = []
-            for h in self.walk.keys(text, starts, [w])[w]:
+            for h in self.walk.keys(text, starts, [c])[c]:
                 order = np.argsort(h, kind="stable")
                 bitmap = np.zeros(1 << 20, bool)
                 bitmap[h >> np.uint64(44)] = True
-                tables.append((bitmap, h[order], np.array([places[i][0] for i in order]), np.array([places[i][1] for i in order])))
-            self.tables[w] = tables
+                tables.append((bitmap, h[order], item[order], offset[order]))
+            self.tables[c] = tables
 
     def candidates(self, text: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
         """(item number, place in text where the item would begin)."""
         found: set[tuple[int, int]] = set()
-        for b in range(0, len(starts), _BLOCK):
-            part = starts[b : b + _BLOCK]
-            for w, hashes in self.walk.keys(text, part, self.windows).items():
-                for h, (bitmap, keys, item, offset) in zip(hashes, self.tables[w], strict=True):
-                    hit = np.flatnonzero(bitmap[h >> np.uint64(44)])
-                    if not len(hit):
-                        continue
-                    lo, hi = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-                    for i in np.flatnonzero(hi > lo):
-                        p = int(part[hit[i]])
-                        found.update((int(item[j]), p - int(offset[j])) for j in range(lo[i], hi[i]))
+        if not self.classes:
+            return found
+        for c, hashes in self.walk.keys(text, starts, self.classes).items():
+            for h, (bitmap, keys, item, offset) in zip(hashes, self.tables[c], strict=True):
+                hit = np.flatnonzero(bitmap[h >> np.uint64(44)])
+                lo, hi = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
+                for i in np.flatnonzero(hi > lo):
+                    p, places = int(starts[hit[i]]), slice(lo[i], hi[i])
+                    found.update(zip(item[places].tolist(), (p - offset[places]).tolist(), strict=True))
         return found
 
-    def verify(self, text: bytes, found: list[tuple[int, int]]) -> dict[object, tuple[int, int]]:
-        """Per item id the least edit distance within the limit and the end of the passage."""
-        out: dict[object, tuple[int, int]] = {}
-        done: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, place in sorted(found):
-            item_id, item = self.items[k]
-            most = int(MOST_EDITS * len(item))
-            lo, hi = max(0, place - most), min(len(text), place + len(item) + most)
-            if any(a <= lo + most // 2 and hi - most // 2 <= b for a, b in done[k]):
+    def exact(self, text: bytes) -> Iterator[tuple[int, int]]:
+        """(item number, end) of the items below the least class, where they stand as whole words."""
+        if not len(self.short):
+            return
+        for last, (n, ks) in self.short.iter(text.decode("latin-1")):
+            lo, hi = last + 1 - n, last + 1
+            before, after = text[lo - 1] if lo else 32, text[hi] if hi < len(text) else 32
+            if (text[lo] < 128 and 32 < before < 128) or (text[last] < 128 and 32 < after < 128):
                 continue
-            done[k].append((lo, hi))
+            yield from ((k, hi) for k in ks)
+
+    def verify(self, text: bytes, k: int, places: list[int]) -> tuple[int, int] | None:
+        """Least edit distance of item k within the limit around the places, and the end of the passage."""
+        item = self.items[k][1]
+        most = int(MOST_EDITS * len(item))
+        spans: list[list[int]] = []
+        for place in sorted(places):
+            lo, hi = max(0, place - most), min(len(text), place + len(item) + most)
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(hi, spans[-1][1])
+            else:
+                spans.append([lo, hi])
+        grams = self.grams.get(k)
+        if grams is None:
+            grams = self.grams[k] = _trigrams(item)
+        best = None
+        for lo, hi in spans:
             region = text[lo:hi]
-            exact = region.find(item)
-            hit = (0, exact + len(item)) if exact >= 0 else edit_distance_within(item, region, most)
-            if hit and (item_id not in out or (hit[0], lo + hit[1]) < out[item_id]):
-                out[item_id] = (hit[0], lo + hit[1])
-        return out
+            at = region.find(item)
+            if at >= 0:
+                hit = (0, at + len(item))
+            else:
+                # an edit changes at most three trigrams of the item
+                there = set(_trigrams(region))
+                hit = edit_distance_within(item, region, most) if sum(g in there for g in grams) >= len(grams) - 3 * most else None
+            if hit and (best is None or (hit[0], lo + hit[1]) < best):
+                best = (hit[0], lo + hit[1])
+        return best
+
+
+#: The index that this worker last built, by the name of its pass.
+_built: dict[str, ItemIndex] = {}
 
 
-def _search_pass(index: ItemIndex):
+def _search_pass(name: str, items: list[tuple[int, bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
+        if name not in _built:
+            _built.clear()
+            _built[name] = ItemIndex(items)
+        index = _built[name]
+        for batch in slices(batches, 256):
             ids = batch.column(0).to_pylist()
             texts = [plain(t) for t in batch.column(1).to_pylist()]
+            if not texts:
+                continue
             ends = np.cumsum([len(t) + 1 for t in texts])
-            whole = b" ".join([*texts, bytes(4 * WINDOWS[0])])
+            begins = [0, *ends[:-1].tolist()]
+            whole = _GAP.join([*texts, bytes(_STEPS)])
             text = np.frombuffer(whole, np.uint8)
-            starts = np.flatnonzero(text[: ends[-1] - 1] == 32) + 1 if len(texts) else np.empty(0, np.int64)
-            starts = np.concatenate([[0], starts]) if len(texts) else starts
-            by_doc: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for k, p in index.candidates(text, starts):
-                # the document that holds the middle of the place
-                d = min(int(np.searchsorted(ends, max(0, p + len(index.items[k][1]) // 2), "right")), len(texts) - 1)
-                by_doc[d].append((k, p - (int(ends[d - 1]) if d else 0)))
-            out = [(ids[d], i, e, x) for d, c in by_doc.items() for i, (e, x) in index.verify(texts[d], c).items()]
+            starts = window_starts(text[: ends[-1]])
+            best: dict[tuple[int, int], tuple[int, int]] = {}
+            for b in range(0, len(starts), _BLOCK):  # what one block finds is verified before the next is searched
+                places: dict[tuple[int, int], list[int]] = defaultdict(list)
+                for k, p in index.candidates(text, starts[b : b + _BLOCK]):
+                    # the document that holds the middle of the place
+                    d = min(int(np.searchsorted(ends, max(0, p + len(items[k][1]) // 2), "right")), len(texts) - 1)
+                    places[d, k].append(p - begins[d])
+                for (d, k), where in places.items():
+                    hit = index.verify(texts[d], k, where)
+                    if hit and ((d, k) not in best or hit < best[d, k]):
+                        best[d, k] = hit
+            for k, end in index.exact(whole[: ends[-1]]):
+                d = int(np.searchsorted(ends, end - 1, "right"))
+                best.setdefault((d, k), (0, end - begins[d]))
+            rows: dict[tuple[int, int], tuple[int, int]] = {}
+            for (d, k), hit in best.items():  # items that repeat an id: the nearest of them
+                key = (d, items[k][0])
+                rows[key] = min(hit, rows.get(key, hit))
+            out = [(ids[d], i, e, x) for (d, i), (e, x) in rows.items()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "edits", "end"])
 
@@ -189,24 +253,33 @@ def _search_pass(index: ItemIndex):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, end) for every benchmark item that a document holds within MOST_EDITS.
 
-    Both sides are compared as :func:`plain` text; end is the passage's end there.  Null ids
-    and items under 24 plain bytes are not searched; null and empty texts hold nothing.
-    Rows that repeat an id give rows of their own.
+    Both sides are compared as :func:`plain` text; end is the passage's end there.  Items under 24 plain bytes are
+    found where they stand unedited, as whole words; others with the recall that CLASSES gives.  Of the places of an item in a document that with the fewest
+    edits counts, on ties the first.  Null ids, and items without letters or digits, are not searched; null and empty texts hold nothing;
+    very long texts are read whole.  Rows that repeat an id give rows of their own; items that repeat an id are one item with several wordings.
+    An empty table on either side gives no rows.  Other columns, whatever their names, are not read.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     passes = max(1, -(-items.count() // ITEMS_PER_PASS))
     texts = text_rows(docs, id_col, text_col).where("doc_id is not null")
-    found = []
+    schema = "doc_id long, item_id long, edits int, end long"
+    found = None
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else items
-        index = ItemIndex([(r["item"], r["text"]) for r in part.collect()])
-        schema = "doc_id long, item_id long, edits int, end long"
-        found.append(texts.mapInArrow(_search_pass(index), schema) if index.windows else docs.sparkSession.createDataFrame([], schema))
-    return reduce(DataFrame.unionByName, found)
+        wanted = [(r["item"], p) for r in part.collect() if (p := plain(r["text"]))]
+        new = texts.mapInArrow(_search_pass(uuid.uuid4().hex, wanted), schema)
+        if passes > 1:
+            new = materialize(new, "leaks")
+        found = new if found is None else found.unionByName(new)
+    return found
 
 
 def drop_leaky(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null id stay."""
+    """docs without the rows whose id :func:`find_leaks` returns; rows with a null id stay.
+
+    Rows that repeat an id go together where one of their texts holds an item.  Null and empty texts stay, and so does every row
+    where either table is empty.  Columns of any name pass unchanged.
+    """
     leaky = materialize(find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct(), "leaky")
     return by_ids(docs, leaky, id_col, "left_anti")
 

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from bidlens.llm.decontamination import drop_leaky, edit_distance_within, find_leaks, plain
+from bidlens.llm import decontamination
+from bidlens.llm.decontamination import MOST_EDITS, drop_leaky, edit_distance_within, find_leaks, plain
 
 from .cases import empty_rows, odd_rows
 
@@ -45,24 +46,54 @@ def edit(rng, text, rate):
     return "".join(s)
 
 
-@pytest.mark.parametrize(("rate", "recall"), [(0.0, 1.0), (0.05, 0.97), (0.1, 0.95)])
-def test_recall_and_no_clean_document_caught(spark, rate, recall):
+def short_sentence(rng, lo, hi):
+    n, s = rng.randint(lo, hi), ""
+    while len(s) < n:
+        s = f"{s} {rng.choice(VOCABULARY)}".strip()
+    return s
+
+
+@pytest.mark.parametrize(("lo", "hi"), [(24, 44), (48, 76), (80, 116), (120, 350)])
+@pytest.mark.parametrize("rate", [0.0, 0.1, MOST_EDITS])
+def test_recall_against_all_pairs(spark, lo, hi, rate):
+    """Every item against every document: what the exact distance accepts is found, and nothing else."""
     rng = random.Random(2)
-    items = [(k, sentence(rng, rng.randint(18, 60)).capitalize() + ".") for k in range(60)]
-    docs = [(i, sentence(rng, 80) + "\n" + edit(rng, items[i % 60][1], rate).upper() + "! " + sentence(rng, 60)) for i in range(240)]
-    docs += [(1000 + i, sentence(rng, 200)) for i in range(100)]
+    items = [(k, short_sentence(rng, lo, hi).capitalize() + ".") for k in range(40)]
+    docs = [(i, sentence(rng, 20) + "\n" + edit(rng, items[i % 40][1], rate).upper() + "! " + sentence(rng, 20)) for i in range(120)]
+    docs += [(1000 + i, sentence(rng, 60)) for i in range(40)]
     found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    pairs = {(r["doc_id"], r["item_id"]) for r in found}
-    assert sum((i, i % 60) in pairs for i in range(240)) / 240 >= recall
-    assert not [p for p in pairs if p[0] >= 1000]
-    texts = dict(docs)
-    item = dict(items)
-    for r in found[:40]:
-        assert r["edits"] == semi_global(plain(item[r["item_id"]]), plain(texts[r["doc_id"]]))
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in found}
+    want = {}
+    for k, item in items:
+        q = plain(item)
+        for i, text in docs:
+            hit = edit_distance_within(q, plain(text), int(MOST_EDITS * len(q)))
+            if hit:
+                want[i, k] = hit[0]
+    assert len(want) >= 90 and set(got) <= set(want)
+    assert len(got) >= (0.9 if rate else 1.0) * len(want)
+    assert sum(got[p] == want[p] for p in got) >= 0.99 * len(got)
+
+
+def test_short_items_and_texts_without_blanks(spark):
+    long = "東京都は日本の首都であり世界最大級の都市圏を形成している経済の中心地である"
+    items = spark.createDataFrame([(1, "Tiny one"), (2, long), (3, "短い文"), (4, "one")], "item_id long, text string")
+    docs = [(1, "a tiny, one thing"), (2, "tinyone nones"), (3, "これは" + long[:20] + "大" + long[20:] + "と言われる"), (4, "それは短い文です"), (5, "tiny"), (6, "one")]
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in found} == {(1, 1): 0, (1, 4): 0, (3, 2): 3, (4, 3): 0, (6, 4): 0}
+
+
+def test_several_passes_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    items = spark.createDataFrame([(k, short_sentence(rng, 10, 90)) for k in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, sentence(rng, 10) + " " + r["text"] + " " + sentence(rng, 10)) for i, r in enumerate(items.collect())], "doc_id long, text string")
+    one = sorted(map(tuple, find_leaks(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "ITEMS_PER_PASS", 9)
+    assert sorted(map(tuple, find_leaks(docs, items).collect())) == one and len(one) >= 30
 
 
 def test_odd_rows(spark):
-    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (None, "x" * 50), (3, "tiny"), (1, "one two three four five six seven")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (None, "x" * 50), (3, "tiny"), (9, "!!"), (1, "one two three four five six seven")], "item_id long, text string")
     found = find_leaks(odd_rows(spark), items)
     assert sorted(r["doc_id"] for r in found.collect()) == [1, 1, 2]
     kept = drop_leaky(odd_rows(spark), items)
