@@ -8,22 +8,28 @@ Inside a word, the last token of every prefix is unique: it is the one token t t
 ends there and stands after the last token p of the prefix before it, where p and t are
 kept apart when their own text is encoded.  That gives the count at a prefix from the
 count at a shorter one, without encoding any prefix.  A prefix inside a word ends with
-that vocabulary's word-end form of its last token.
+that vocabulary's word-end form of its last token.  Words that begin alike share the states of their common beginning.
+
+Two tokens stay apart unless some merge joins a part that ends the left one with a part that begins the right one
+while both are still there: the parts are read off the tokens' own merges, each with the rank at which it is absorbed.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
+from operator import sub
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -35,6 +41,8 @@ SPACES = re.compile(r"[ \t\n\r\f\v]+")
 #: ASCII separators that str.split() takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _CACHE = 200_000
+#: Words and chunks whose steps a worker keeps, about 200 bytes each.
+_KNOWN = 600_000
 END = "</w>"
 
 
@@ -111,47 +119,89 @@ class PrefixTable:
     def __init__(self, name: str = VOCABULARY):
         with open(public_tokenizers.path(name), encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.vocab = model["vocab"]
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
-        self.longest = max(map(len, self.vocab))
-        self.apart = lru_cache(maxsize=200_000)(self._apart)
-        self.counts = lru_cache(maxsize=100_000)(self._counts)
-
-    def _merge(self, parts: list[str]) -> list[str]:
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        self.rank = {p: i for i, p in enumerate(pairs)}
+        self.parts = {left + right: (left, right, i) for i, (left, right) in enumerate(pairs)}
+        self.apart = lru_cache(maxsize=_CACHE)(self._apart)
+        self.edges = lru_cache(maxsize=100_000)(self._edges)
+        self.whole = lru_cache(maxsize=100_000)(self._whole)
+        tokens = [t for t in model["vocab"] if self.whole(t)]
+        self.inside = frozenset(t for t in tokens if not t.endswith(END))
+        self.final = frozenset(t[: -len(END)] for t in tokens if t.endswith(END))
+        self.longest = max(map(len, self.inside | self.final))
+        # of the word before: its letters and, by prefix, the last token, the count of tokens and the count as a word
+        self.word, self.last, self.count, self.ended = "", [""], [0], [0]
+
+    def _edges(self, token: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]]:
+        """The parts that begin and those that end the token at some time, with the rank of the merge that absorbs each."""
+        out: tuple[list, list] = ([], [])
+        for side in (0, 1):
+            part, absorbed = token, float("inf")
+            while True:
+                out[side].append((part, absorbed))
+                if part not in self.parts:
+                    break
+                *halves, absorbed = self.parts[part]
+                part = halves[side]
+        return out
 
     def _apart(self, left: str, right: str) -> bool:
-        """Whether encoding the joint text of two tokens gives these two again."""
-        ended = right.endswith(END)
-        text = left + (right[: -len(END)] if ended else right)
-        parts = list(text)
-        if ended:
-            parts[-1] += END
-        return self._merge(parts) == [left, right]
-
-    def _last(self, word: str, j: int, end: str, last: list, count: list) -> tuple[str | None, int]:
-        for i in range(max(0, j - self.longest), j):
-            token = word[i:j] + end
-            if token in self.vocab and (i == 0 or (last[i] is not None and self.apart(last[i], token))):
-                if i == 0 and len(token) > 1 and self._merge([*word[: j - 1], word[j - 1] + end]) != [token]:
-                    continue
-                return token, count[i] + 1
-        return None, 0
-
-    def _counts(self, word: str) -> tuple[int, ...]:
+        """Whether encoding the joint text of two tokens gives these two again.
+
+        Equal merges go from left to right, so one across the border is before an equal one on its right.
+        """
+        rank = self.rank
+        for x, until in self.edges(left)[1]:
+            for y, before in self.edges(right)[0]:
+                k = rank.get((x, y))
+                if k is not None and k < until and k <= before:
+                    return False
+        return True
+
+    def _whole(self, token: str) -> bool:
+        """Whether the token's own text is encoded as that token."""
+        if token not in self.parts:
+            return True
+        left, right, _ = self.parts[token]
+        if not (self.whole(left) and self.whole(right)):
+            return False
+        # its halves have to survive until they meet: no other merge takes a part of both before
+        rank, last = self.rank, self.parts[token][2]
+        for x, until in self.edges(left)[1]:
+            for y, before in self.edges(right)[0]:
+                k = rank.get((x, y))
+                if k is not None and k < until and k <= before and k < last:
+                    return False
+        return True
+
+    def counts(self, word: str) -> list[int]:
         """word in the vocabulary's byte letters; entry j: tokens of its first j letters taken as a word."""
-        last, count, out = [None], [0], [0]
-        for j in range(1, len(word) + 1):
-            out.append(self._last(word, j, END, last, count)[1])
-            token, n = self._last(word, j, "", last, count)
-            last.append(token)
-            count.append(n)
-        return tuple(out)
+        k = 0
+        for x, y in zip(word, self.word, strict=False):
+            if x != y:
+                break
+            k += 1
+        last, count, ended, inside, final, apart = self.last, self.count, self.ended, self.inside, self.final, self.apart
+        del last[k + 1 :], count[k + 1 :], ended[k + 1 :]
+        self.word = word
+        for j in range(k + 1, len(word) + 1):
+            n_inside = n_final = 0
+            low, likely = max(0, j - self.longest), max(0, j - 1 - len(last[j - 1]))
+            # one start holds for each form, in whatever order they are tried: first that of the token before, made longer
+            for i in chain((likely,), range(j - 1, likely, -1), range(likely - 1, low - 1, -1)):
+                token = word[i:j]
+                if not n_final and token in final and (i == 0 or apart(last[i], token + END)):
+                    n_final = count[i] + 1
+                    if n_inside:
+                        break
+                if not n_inside and token in inside and (i == 0 or apart(last[i], token)):
+                    n_inside, ended_by = count[i] + 1, token
+                    if n_final:
+                        break
+            last.append(ended_by)
+            count.append(n_inside)
+            ended.append(n_final)
+        return list(ended)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -161,127 +211,222 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
+#: The vocabulary's special strings, each one token, and its contractions, which are words of their own.
+SPECIAL = re.compile("(<\\|startoftext\\|>|<\\|endoftext\\|>)")
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
+_BLANK = np.zeros(1, "<i4").tobytes()
+
+
+def _joins(c: str) -> bool:
+    """Whether c may change when it is normalised together with what stands before it: marks, and vowel and final Hangul letters."""
+    return ord(c) > 0x2FF and (unicodedata.category(c)[0] == "M" or 0x1161 <= ord(c) <= 0x11C2)
+
+
+def _blanked(text: str | None) -> str:
+    """text with blanks for all ASCII white space."""
+    text = text or ""
+    for c in "\t\n\r\f\v":
+        text = text.replace(c, " ")
+    return text
+
+
 class PrefixCounter:
-    """Counts of tokens at every code point of a text, exact, from the chunks' tables."""
+    """Counts of tokens at every code point of a text, exact, from the words' tables.
+
+    Steps are the differences of neighbouring counts, one a code point, as little-endian 32-bit bytes; those of a chunk are
+    its words' one after another, and a zero for the blank after it.
+    """
 
     def __init__(self, name: str = VOCABULARY):
-        self.tokenizer, self.table, self.letters = load(name), PrefixTable(name), _byte_letters()
-        self.chunk = lru_cache(maxsize=100_000)(self._chunk)
+        self.tokenizer, self.table = load(name), PrefixTable(name)
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": _BLANK}
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a normalised text."""
+        if _SIMPLE(text):
+            return _WORDS(text)
+        return [bytes(_LETTER_BYTES[c] for c in w).decode("utf-8") for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _normal(self, text: str) -> str:
+        return text.lower() if text.isascii() or _SIMPLE(text) else self.tokenizer.normalizer.normalize_str(text)
+
+    def _word(self, word: str) -> bytes:
+        """Steps of a word."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > _KNOWN:
+                self.words.clear()
+            if word.isascii() and word.isprintable():
+                counts = self.table.counts(word)
+                if word in CONTRACTIONS:  # cut short it is an apostrophe and a word
+                    counts = [0, *(self._total(word[:i]) for i in range(1, len(word))), counts[-1]]
+            else:
+                letters, ends = _letters_of(word)
+                at_letter = self.table.counts(letters)
+                counts = [0, *(at_letter[i] for i in ends)]
+            found = self.words[word] = array("i", map(sub, counts[1:], counts)).tobytes()
+        return found
 
-    def _words(self, text: str) -> list[tuple[str, int]]:
-        t = self.tokenizer
-        return t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))
+    def _total(self, text: str) -> int:
+        """Tokens of a normalised text without special strings."""
+        return sum(int(np.frombuffer(self._word(w), "<i4").sum()) for w in self._split(text))
+
+    def _plain(self, text: str) -> np.ndarray:
+        """Entry i: tokens of the first i code points of a normalised text."""
+        parts, at = [], 0
+        for word in self._split(text):
+            while text[at] == " ":
+                parts.append(_BLANK)
+                at += 1
+            parts.append(self._word(word))
+            at += len(word)
+        parts += [_BLANK] * (len(text) - at)
+        return np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(parts), "<i4"))])
+
+    def _starts(self, text: str) -> list[int]:
+        """Where the words of a normalised text begin."""
+        out, at = [0], 0
+        for word in self._split(text):
+            while text[at] == " ":
+                at += 1
+            out.append(at)
+            at += len(word)
+        return out
 
-    def _plain(self, chunk: str) -> bool:
-        """Whether normalising is letter by letter here and no special token is near."""
-        return "<|" not in chunk and "'" not in chunk and chunk.isascii() or (chunk.isalpha() and all(0xC0 <= ord(c) < 0x180 or c.isascii() for c in chunk) and len(chunk.lower()) == len(chunk))
+    def _ordinary(self, text: str) -> list[int]:
+        """Entry i: tokens of the first i code points of a text without ASCII white space or special strings."""
+        clusters: list[str] = []
+        for c in text:
+            if clusters and _joins(c):
+                clusters[-1] += c
+            else:
+                clusters.append(c)
+        forms = [self._normal(c) for c in clusters]
+        normal = "".join(forms)
+        whole, starts = self._plain(normal).tolist(), self._starts(normal) if len(clusters) < len(text) else []
+        out, at = [0], 0
+        for cluster, form in zip(clusters, forms, strict=True):
+            for i in range(1, len(cluster)):  # inside a cluster its beginning is normalised by itself; the word before it stays
+                tail = starts[bisect_right(starts, at - 1) - 1] if at else 0
+                out.append(whole[tail] + self._total(normal[tail:at] + self._normal(cluster[:i])))
+            at += len(form)
+            out.append(whole[at])
+        return out
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+    def _chunk(self, chunk: str) -> list[int]:
         """Entry i: tokens of the chunk's first i code points."""
-        if not self._plain(chunk):  # special strings, contractions, combining marks: ask the library for each prefix
-            fast = self.tokenizer.encode_batch_fast([chunk[:i] for i in range(len(chunk) + 1)], add_special_tokens=False)
-            return tuple(len(e.ids) for e in fast)
+        if "<|" not in chunk:
+            return self._ordinary(chunk)
         out, before = [0], 0
-        for word, _ in self._words(chunk):
-            counts = self.table.counts(word)
-            text = bytes(_LETTER_BYTES[c] for c in word).decode("utf-8")
-            at = 0
-            for c in text:
-                at += len(c.encode("utf-8"))
-                out.append(before + counts[at])
+        parts = SPECIAL.split(chunk)  # ordinary and special strings take turns
+        for i in range(0, len(parts), 2):
+            special = parts[i + 1] if i + 1 < len(parts) else ""
+            counts = self._ordinary(parts[i] + special)  # a special string that is not complete is ordinary text
+            out += [before + c for c in counts[1:]]
+            if special:
+                out[-1] = before + counts[0] + (self._ordinary(parts[i])[-1] if parts[i] else 0) + 1
             before = out[-1]
-        return tuple(out)
+        return out
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Keep the steps of the texts' chunks; words go in order, in which neighbours share the most of their states."""
+        if len(self.chunks) > _KNOWN:
+            self.chunks = {"": _BLANK}
+        fresh = {c for t in texts for c in _blanked(t).split(" ")} - self.chunks.keys()
+        split = {c: self._split(c.lower()) for c in fresh if _SIMPLE(c) and "<|" not in c}
+        for word in sorted({w for words in split.values() for w in words} - self.words.keys()):
+            self._word(word)
+        for chunk, words in split.items():
+            self.chunks[chunk] = b"".join([*map(self._word, words), _BLANK])
+        for chunk in fresh - split.keys():
+            counts = self._chunk(chunk)
+            self.chunks[chunk] = array("i", map(sub, counts[1:], counts)).tobytes() + _BLANK
+
+    def of(self, text: str | None) -> bytes:
+        """Steps of a text whose chunks are known."""
+        return b"".join(map(self.chunks.__getitem__, _blanked(text).split(" ")))[:-4]
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Entry i: exact token count of the text's first i code points; the last entry is the whole text's."""
-        text = text or ""
-        out = np.zeros(len(text) + 1, np.int64)
-        before, at = 0, 0
-        for m in re.finditer(r"[^ \t\n\r\f\v]+", text):
-            out[at : m.start() + 1] = before
-            counts = self.chunk(m.group())
-            out[m.start() : m.end() + 1] = np.array(counts, np.int64) + before
-            before, at = before + counts[-1], m.end()
-        out[at:] = before
-        return out
+        self.learn([text])
+        return np.concatenate([[0], np.cumsum(np.frombuffer(self.of(text), "<i4"))])
 
 
 _LETTER_BYTES = {c: b for b, c in _byte_letters().items()}
+_BYTE_LETTERS = _byte_letters()
 
 
-def chunk_prefix(text: str | None, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """End of every chunk in code points, and the token count up to it."""
-    ends = np.fromiter((m.end() for m in re.finditer(r"[^ \t\n\r\f\v]+", text or "")), np.int64)
-    return ends, prefix_counts(tokens)
+def _letters_of(word: str) -> tuple[str, list[int]]:
+    """A word in byte letters, and how many there are up to and with each code point."""
+    parts = ["".join(_BYTE_LETTERS[b] for b in c.encode("utf-8", "surrogatepass")) for c in word]
+    return "".join(parts), list(accumulate(map(len, parts)))
 
 
-def prefix_counts(tokens: list[bytes]) -> np.ndarray:
-    """The dynamic program over chunks: count at a chunk's end = count at the one before + its own."""
-    return np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))) // 4
+@lru_cache(maxsize=2)
+def prefix_counter(name: str) -> PrefixCounter:
+    """One counter for all tasks that a Python worker runs."""
+    return PrefixCounter(name)
 
 
-def longest_within(text: str | None, budget: int, counter: PrefixCounter) -> int:
-    """Code points of the longest prefix of text with at most budget tokens such that no shorter prefix exceeds it."""
-    counts = counter(text)
-    most = np.maximum.accumulate(counts)
-    return bisect_right(most.tolist(), budget) - 1
+def longest_within(counts: np.ndarray, budget: int) -> int:
+    """Code points of the longest prefix such that neither it nor a shorter one has more than budget tokens; counts start with the empty prefix."""
+    over = counts > budget
+    return int(over.argmax()) - 1 if over.any() else len(counts) - 1
 
 
-def _count_pass(limit: int, name: str, prefixes: bool):
+def _count_pass(limit: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = chunk_cache(name)
+        counter = prefix_counter(name)
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
-            n_tokens, cut, ends, counts = [], [], [], []
-            for text in texts:
-                tokens = cache.of(text)
-                total = prefix_counts(tokens)
-                n_tokens.append(int(total[-1]) if len(total) else 0)
-                cut.append(int(np.searchsorted(total, limit, "right")))
-                if prefixes:
-                    e, c = chunk_prefix(text, tokens)
-                    ends.append(e.tolist())
-                    counts.append(c.tolist())
+            counter.learn(texts)
+            steps = [np.frombuffer(counter.of(t), "<i4") for t in texts]
+            counts = [np.concatenate([[0], np.cumsum(s)]) for s in steps]
+            offsets = np.zeros(len(steps) + 1, np.int32)
+            np.cumsum([len(s) for s in steps], out=offsets[1:])
             columns = [
                 batch.column(0),
                 pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                pa.array(n_tokens, pa.int64()),
-                pa.array(cut, pa.int64()),
+                pa.array([int(c[-1]) for c in counts], pa.int64()),
+                pa.array([longest_within(c, limit) for c in counts], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(steps) if steps else np.empty(0, "<i4"))),
             ]
-            names = ["doc_id", "n_bytes", "n_tokens", "words_within"]
-            if prefixes:
-                columns += [pa.array(ends, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
-                names += ["prefix_ends", "prefix_tokens"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "fits", "prefix_steps"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, prefixes: bool = False) -> DataFrame:
-    """Per input row: doc_id, n_bytes, n_tokens, over_limit, words_within (white-space words that fit the limit).
+def count_tokens(docs: DataFrame, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Per input row: doc_id, n_bytes, n_tokens, over_limit, fits and prefix_steps.
 
-    With prefixes, also prefix_ends and prefix_tokens: the code point at which every word ends
-    and the exact token count there; :func:`cut_at` and :func:`words_for` answer budget questions
-    from these columns alone.  Null texts are empty.  Counts inside a word come from
-    :class:`PrefixCounter`.
+    prefix_steps holds, for every code point of the text, the token count of the prefix that ends with it less that of the
+    prefix before it; :func:`tokens_at` and :func:`cut_at` answer budget questions from it alone.  n_tokens is the count at the last
+    prefix; fits is the length of the longest prefix of at most ``limit`` tokens that no shorter one exceeds.  Null texts are empty: 0 bytes, 0 tokens and no steps.
+    Very long texts are read whole, as one array each.  Repeated rows and ids and null ids give rows of their own; an empty
+    table gives no rows.  Other columns, whatever their names, are not read.
     """
-    schema = "doc_id long, n_bytes long, n_tokens long, words_within long"
-    if prefixes:
-        schema += ", prefix_ends array<long>, prefix_tokens array<long>"
-    counted = text_rows(docs, id_col, text_col).mapInArrow(_count_pass(limit, vocabulary, prefixes), schema)
+    schema = "doc_id long, n_bytes long, n_tokens long, fits long, prefix_steps array<int>"
+    counted = text_rows(docs, id_col, text_col).mapInArrow(_count_pass(limit, vocabulary), schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def words_for(budget: int, column: str = "prefix_tokens"):
-    """Words of the longest prefix that ends a word and has at most budget tokens."""
-    return F.size(F.filter(F.col(column), lambda c: c <= budget))
+def tokens_at(chars: int | Column, steps: str = "prefix_steps") -> Column:
+    """Tokens of the prefix of so many code points (all of them where the text is shorter)."""
+    return F.aggregate(F.slice(F.col(steps), F.lit(1), F.lit(chars) if isinstance(chars, int) else chars), F.lit(0), lambda n, s: n + s)
+
+
+def cut_at(budget: int, steps: str = "prefix_steps") -> Column:
+    """Code points to keep for at most budget tokens, such that no shorter prefix has more."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept"), F.lit(False).alias("over"))
 
+    def step(x: Column, s: Column) -> Column:
+        over = x["over"] | (x["n"] + s > budget)
+        return F.struct((x["n"] + s).alias("n"), (x["kept"] + F.when(over, 0).otherwise(1)).alias("kept"), over.alias("over"))
 
-def cut_at(budget: int, ends: str = "prefix_ends", tokens: str = "prefix_tokens"):
-    """Code points to keep for at most budget tokens, ending with a word; 0 if none fits."""
-    return F.coalesce(F.get(F.col(ends), words_for(budget, tokens) - 1), F.lit(0))
+    return F.aggregate(F.col(steps), start, step, lambda x: x["kept"])
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: exact token counts of all documents."""
-    return count_tokens(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_tokens", "over_limit", "words_within")
+    """Query: exact token counts of all documents, whole and at every prefix."""
+    return count_tokens(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits", "prefix_steps")

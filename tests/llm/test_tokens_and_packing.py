@@ -8,11 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bidlens.llm.packing import best_fit, pack, plan, reduce_instance
-from bidlens.llm.token_counts import PrefixCounter, count_tokens, cut_at, load, longest_within, words_for
+from bidlens.llm.token_counts import PrefixCounter, PrefixTable, count_tokens, cut_at, load, longest_within, tokens_at
 
 from .cases import empty_rows, odd_rows
 
-ODD = ["It's don't <|endoftext|> we'll", "éa ́b ÀÉ ß İx 'S 12ab #$% naïve", "a" * 50 + " the" * 3, "x\x1cy \x85 z q", " ﬁ ŒÄ", "日本語 テキスト 123"]
+ODD = ["각하 각ㄱ ก็ไม่ที่ नमस्ते", "--'s '' 're'x <|endoftext|>x<|endo a\xa0b we'r", "It's don't <|endoftext|> we'll", "éa ́b ÀÉ ß İx 'S 12ab #$% naïve", "a" * 50 + " the" * 3, "x\x1cy \x85 z q", " ﬁ ŒÄ", "日本語 テキスト 123"]
 
 
 shared_counter = lru_cache(maxsize=1)(PrefixCounter)
@@ -23,8 +23,8 @@ def counter():
     return shared_counter()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="abcdeéthe' \n1<|>endofxß\x1cć.,ЖÀ", max_size=40))
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abcdeéthe' \n1<|>endofxß\x1cć.,ЖÀ\u0327\u0301각\u1100\u1161\u11a8\xa0\u2003ÅΣσςİ", max_size=40))
 def test_every_prefix_has_the_library_count(text):
     counter = shared_counter()
     want = [len(e.ids) for e in counter.tokenizer.encode_batch_fast([text[:i] for i in range(len(text) + 1)], add_special_tokens=False)]
@@ -37,10 +37,25 @@ def test_odd_prefixes(counter):
         assert counter(text).tolist() == want
 
 
+def test_tokens_that_stay_apart_and_whole_tokens(counter):
+    """The rules on merges against encoding the text itself."""
+    rng, table = random.Random(3), counter.table
+    model, ids = counter.tokenizer.model, counter.tokenizer.get_vocab()
+    tokens = sorted(table.inside)
+    for _ in range(4000):
+        x, y = rng.choice(tokens), rng.choice(tokens)
+        joint = [ids[x], ids[y + "</w>"]] if y in table.final else None
+        if joint:
+            assert table.apart(x, y + "</w>") == ([t.id for t in model.tokenize(x + y)] == joint)
+    whole = {t[:-4]: table.whole(t) for t in ids if t.endswith("</w>")}
+    assert all(ok == ([t.id for t in model.tokenize(w)] == [ids[w + "</w>"]]) for w, ok in whole.items())
+    assert isinstance(table, PrefixTable)
+
+
 def test_budget(counter):
     text = "the quick brown foxes jumped overzealously"
     for budget in range(0, 12):
-        n = longest_within(text, budget, counter)
+        n = longest_within(counter(text), budget)
         assert all(c <= budget for c in counter(text)[: n + 1]) and (n == len(text) or counter(text)[n + 1] > budget)
 
 
@@ -48,14 +63,16 @@ def test_counts_equal_the_library(spark):
     rows = odd_rows(spark, ODD)
     t = load()
     texts = {r["doc_id"]: r["text"] for r in rows.collect()}
-    counted = count_tokens(rows, limit=3, prefixes=True)
-    got = counted.select("doc_id", "n_tokens", "over_limit", "n_bytes", words_for(3).alias("w"), cut_at(3).alias("cut")).collect()
+    counted = count_tokens(rows, limit=3)
+    got = counted.select("doc_id", "n_tokens", "over_limit", "n_bytes", "fits", "prefix_steps", cut_at(3).alias("cut"), cut_at(0).alias("none"), tokens_at(9).alias("nine")).collect()
     assert len(got) == 9 + len(ODD)
     for r in got:
         text = texts[r["doc_id"]] or ""
         n = len(t.encode(text, add_special_tokens=False).ids)
         assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 3, len(text.encode()))
-        assert len(t.encode(text[: r["cut"]], add_special_tokens=False).ids) <= 3
+        assert r["fits"] == r["cut"] and len(t.encode(text[: r["cut"]], add_special_tokens=False).ids) <= 3
+        assert len(r["prefix_steps"]) == len(text) and r["nine"] == len(t.encode(text[:9], add_special_tokens=False).ids)
+        assert r["none"] == 0 or not text[: r["none"]].strip()
     assert count_tokens(empty_rows(spark)).count() == 0
 
 
