@@ -48,7 +48,18 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str, bound: int = BRO
     return rows.join(side, key, how)
 
 
-def connected_components(edges: DataFrame, tag: str = "cc", most: int = 60) -> DataFrame:
+def join_sized(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int, parts: int = 5_000) -> DataFrame:
+    """rows joined to keyed, one row a key, whose column ``size`` counts the rows of the key out of ``total``.
+
+    Keys that hold at least one in ``parts`` of all rows are at most ``parts`` many: these are broadcast, so that no
+    task gets all rows of such a key.  The others meet in a shuffle.  ``keyed`` is read twice: hand in a table.
+    """
+    bound = max(1, total // parts)
+    hot, cold = F.broadcast(keyed.where(F.col(size) >= bound)), keyed.where(F.col(size) < bound)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Alternate large-star and small-star steps until the edges form stars.
 
     edges: (src, dst) longs, any direction, nulls absent.  Returns (node, root) with
@@ -60,7 +71,7 @@ def connected_components(edges: DataFrame, tag: str = "cc", most: int = 60) -> D
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), tag
     )
     before = None
-    for _ in range(most):
+    while True:
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")).first()
         if mark == before or mark["n"] == 0:
             break
@@ -98,24 +109,3 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-#: Rows of an Arrow batch: texts are long, and a worker that many stages share keeps the memory of its largest batch.
-BATCH_ROWS = 1_000
-
-
-def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text), handed to Python workers in small batches."""
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def overlap_needed(total: int, num: int, den: int) -> int:
-    """Least intersection for Jaccard num/den when the two set sizes add up to total."""
-    return math.ceil(num * total / (num + den))
