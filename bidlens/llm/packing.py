@@ -8,8 +8,8 @@ driver, which plans bins as patterns with multiplicities:
   dominates every other set that could share its bin, that bin is fixed for good; all equal items go at once;
 * the rest is packed by best fit, longest first, again for all equal items and bins at once.
 
-The plan holds one row per (length, run of equal bins).  Items of one length are
-numbered across tasks - salted, so that a very frequent length is no single group -
+The plan holds one row per (length, run of equal bins), so its size follows from the number of lengths, not of items.
+Items of one length are numbered across tasks - a very frequent length in as many groups as its count asks for -
 and each number falls into one of the runs.
 """
 
@@ -30,8 +30,10 @@ from .common import documents, materialize, slices, text_rows
 from .token_counts import VOCABULARY, chunk_cache
 
 CAPACITY = 2048
-#: Groups into which the items of one length are dealt while they are numbered.
-SALTS = 64
+#: Items of a length that are numbered in one group; a more frequent length is dealt to several groups.
+GROUP = 100_000
+#: Rows of the group table that may be broadcast; it has at most capacity + pieces / GROUP.
+BROADCAST_GROUPS = 1_000_000
 
 
 class _Open:
@@ -109,9 +111,9 @@ def reduce_instance(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[l
                 chosen = _dominant(items, w, capacity)
                 if chosen is None:
                     break
+                # Taking these items away only makes the smallest others larger and alternatives fewer, so the set
+                # dominates until one of its lengths runs out.
                 times = min(items.n[v] // chosen.count(v) for v in set(chosen))
-                if len(chosen) == 3:
-                    times = 1  # the bound on third items has to be looked at again
                 for v in chosen:
                     items.take(v, times)
                 fixed.append((times, chosen))
@@ -223,20 +225,21 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, separator: int = 0, id_co
     A row's sequence is its tokens and then the separator; only longer ones are cut, into
     pieces of the capacity.  Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id
     and offset.  Null and empty texts are a lone separator.  Rows with repeated or null ids
-    are packed like any other.  An empty table gives no row.
+    are packed like any other; rows that agree in id and text take their places in any order.  A very long text's ids are held by one task
+    while it is cut.  An empty table gives no row.  Other columns, whatever their names, are not read.
     """
     texts = text_rows(docs, id_col, text_col)
-    pieces = materialize(
-        texts.mapInArrow(_piece_pass(capacity, separator, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long")
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))),
-        "pieces",
-    )
-    dealt = pieces.groupBy("length", "salt").count()  # at most capacity x SALTS rows
+    pieces = materialize(texts.mapInArrow(_piece_pass(capacity, separator, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    runs = plan(histogram, capacity)
+    parts = docs.sparkSession.createDataFrame([(w, n // GROUP + 1) for w, n in histogram.items()], "length long, parts long")
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    runs = plan({r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
+    base = dealt.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    groups = sum(n // GROUP + 1 for n in histogram.values())
     inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    numbered = pieces.withColumn("k", inside).join(F.broadcast(base), ["length", "salt"]).withColumn("number", F.col("base") + F.col("k") - 1)
+    side = F.broadcast(base) if groups <= BROADCAST_GROUPS else base
+    numbered = dealt.withColumn("k", inside).join(side, ["length", "salt"]).withColumn("number", F.col("base") + F.col("k") - 1)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return numbered.select(*columns, "number").mapInArrow(
         _place_pass(runs), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

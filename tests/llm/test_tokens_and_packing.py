@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from bidlens.llm import packing
 from bidlens.llm.packing import best_fit, pack, plan, reduce_instance
 from bidlens.llm.token_counts import PrefixCounter, PrefixTable, count_tokens, cut_at, load, longest_within, tokens_at
 
@@ -121,7 +122,29 @@ def test_plan_is_bounded_by_lengths_not_by_items():
     assert sum(len(r[0]) for r in plan(many).values()) < 40_000
 
 
-def test_pack_equals_a_check_by_hand(spark):
+def test_bins_of_three_are_fixed_at_once():
+    for n in (1, 1_000, 1_000_000):
+        fixed, rest = reduce_instance({900: n, 620: n, 520: n})
+        assert [(times, sorted(lengths)) for times, lengths in fixed] == [(n, [520, 620, 900])] and not rest
+        assert sum(len(r[0]) for r in plan({900: n, 620: n, 520: n}).values()) == 3
+
+
+def test_reduction_one_by_one_gives_as_few_bins():
+    """Fixing equal bins at once against the exact optimum, with many items of few lengths."""
+    rng = random.Random(8)
+    for _ in range(150):
+        capacity = rng.choice([12, 20, 31])
+        lengths = rng.sample(range(3, capacity), 3)
+        counts = {w: rng.randint(1, 4) for w in lengths}
+        fixed, rest = reduce_instance(counts, capacity)
+        items = [w for w, n in counts.items() for _ in range(n)]
+        left = [w for w, n in rest.items() for _ in range(n)]
+        assert sum(t for t, _ in fixed) + exact(left, capacity) == exact(items, capacity)
+
+
+@pytest.mark.parametrize("group", [1, 3, 100_000])
+def test_pack_equals_a_check_by_hand(spark, monkeypatch, group):
+    monkeypatch.setattr(packing, "GROUP", group)
     rows = odd_rows(spark, ODD)
     t = load()
     got = pack(rows, capacity=16).collect()
