@@ -59,6 +59,18 @@ def join_sized(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, to
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A name of its own for each of names that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Alternate large-star and small-star steps until the edges form stars.
 

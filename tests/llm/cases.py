@@ -2,6 +2,8 @@
 
 LONG = " ".join(f"word{i} and more" for i in range(20_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, salt string, lo long, score double"
+#: More names that operators might use for themselves.
+CLASHING = ["_host", "_left", "_bad", "_found", "_late", "_rank", "_id", "_digest", "c", "t", "k", "h", "class", "page", "host_key", "found", "after", "held", "row", "key", "root", "gram", "n_lines", "thread", "length"]
 
 
 def odd_rows(spark, texts=()):
@@ -18,8 +20,9 @@ def odd_rows(spark, texts=()):
         (7, "short", "en", "b", 5),
     ]
     rows = plain + [(100 + i, t, "en", "c", None) for i, t in enumerate(texts)]
-    return spark.createDataFrame([(*r, "x", 5, 0.5) for r in rows], SCHEMA)
+    df = spark.createDataFrame([(*r, "x", 5, 0.5) for r in rows], SCHEMA)
+    return df.selectExpr("*", *[f"'mine' AS `{c}`" for c in CLASHING])
 
 
 def empty_rows(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA).selectExpr("*", *[f"'mine' AS `{c}`" for c in CLASHING])
