@@ -4,10 +4,11 @@ Tokens get log-odds between the toxic and the clean training rows with an inform
 Dirichlet prior (the words' joint counts).  A word is looked up whole, then by its first
 six and four letters, so that inflected forms share evidence; every other word has one
 common, negative score.  A linear-time scan finds all maximal scoring segments of a
-text.  Their scores follow an extreme-value law on clean text; its two parameters are
-fitted on the clean training rows and turn a segment's score into an expected count of
+text.  The best scores of clean texts follow an extreme-value law; its two parameters are
+fitted by maximum likelihood on clean labelled rows, and turn a segment's score into an expected count of
 chance segments.  A document's statistic adds up the significant segments' excess and a
-one-variable logistic fit over its histogram makes that a probability.
+one-variable logistic fit over its histogram makes that a probability.  Both fits see every labelled row through the log-odds
+of the folds that it is not in.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, BROADCAST_IDS, documents, materialize, slices, text_rows
+from .common import BATCH_ROWS, BROADCAST_IDS, documents, materialize, release, slices, text_rows
 
 WORD = re.compile(r"\w+")
-#: Features of the model: those with the largest z-scores, at most so many.
-FEATURES = 50_000
+#: Labelled rows outside the held-out third that the model is fitted on: about so many, by a hash of the id, or all if there are fewer.
+#: They bound the model's features, all of which are kept.
+TRAIN_ROWS = 500_000
+#: Folds of these rows.
+FOLDS = 4
 #: Least z-score and toxic texts of a feature, and the weight of the prior as a share of all counts.
 LEAST_Z, LEAST_COUNT, PRIOR_SHARE = 2.5, 4, 0.1
 #: A segment counts if fewer than so many as good are expected by chance in the text.
@@ -112,43 +116,62 @@ class _Scanner:
 
 
 def _count_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of either class in which a feature occurs: a word said twice in one text is no second witness."""
+    """Texts of either class and each fold in which a feature occurs: a word said twice in one text is no second witness."""
     for batch in slices(batches, BATCH_ROWS):
-        by = tuple({"=": Counter(), "6": Counter(), "4": Counter()} for _ in range(2))
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(WORD.findall((text or "").lower()))
-            to = by[bool(toxic)]
-            to["="].update(words)
-            to["6"].update({w[:6] for w in words if len(w) >= 6})
-            to["4"].update({w[:4] for w in words if len(w) >= 4})
-        for toxic, kinds in enumerate(by):
-            out = {f"{kind}{w}": c for kind, words in kinds.items() for w, c in words.items()}
-            out[""] = sum(kinds["="].values())
-            counts = pa.array(list(out.values()), pa.int64())
-            none = pa.array(np.zeros(len(out), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), counts if toxic else none, none if toxic else counts], ["feature", "t", "c"])
-
-
-def _moments_pass(model: ToxicityModel):
+        by: dict[tuple[int, int], Counter] = {}
+        for text, toxic, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            words = set(WORD.findall(text.lower()))
+            to = by.setdefault((fold, int(bool(toxic))), Counter())
+            to.update({f"={w}" for w in words} | {f"6{w[:6]}" for w in words if len(w) >= 6} | {f"4{w[:4]}" for w in words if len(w) >= 4})
+            to[""] += len(words)
+        for (fold, toxic), out in by.items():
+            counts, none = pa.array(list(out.values()), pa.int64()), pa.array(np.zeros(len(out), np.int64))
+            folds = pa.array(np.full(len(out), fold), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), folds, counts if toxic else none, none if toxic else counts], ["feature", "fold", "t", "c"])
+
+
+def _best_pass(models: list[ToxicityModel]):
+    """Per text with words: its best segment's score under the model without its fold, 0 without one, to a tenth; and its words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _Scanner(model)
-        n, weight = 0, 0.0
+        scans = [_Scanner(m) for m in models]
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                words, found = scan(text)
-                if words:
-                    n += 1
-                    weight += words * math.exp(-model.lam * max((s for _, _, s in found), default=0.0))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([weight], pa.float64())], ["n", "weight"])
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            found = [(words, max((s for _, _, s in parts), default=0.0)) for words, parts in (scans[fold](text) for text, fold in rows) if words]
+            yield pa.RecordBatch.from_arrays([pa.array([round(min(s, 60.0), 1) for _, s in found], pa.float64()), pa.array([n for n, _ in found], pa.int64())], ["best", "words"])
 
     return run
 
 
-def _statistic_pass(model: ToxicityModel):
+def extreme_value_fit(best: np.ndarray, texts: np.ndarray, words: np.ndarray) -> tuple[float, float]:
+    """Scale and location factor (lam, k) of P(best < s) = exp(-k * words * exp(-lam * s)), by maximum likelihood.
+
+    best: scores in order, with the texts and words at each; texts without a segment (score 0) are known to
+    lie below the least positive score.
+    """
+    some = best > 0
+    if texts[some].sum() < 10 or some.sum() < 2:
+        return 1.0, max(1.0, float(texts.sum())) / max(1.0, float(words.sum()))
+    at = np.where(some, best, best[some].min())
+    n, mean = texts[some].sum(), (texts * best)[some].sum()
+
+    def slope(lam: float) -> float:
+        tail = words * np.exp(-lam * at)
+        return n / lam - mean + n * (tail * at).sum() / tail.sum()
+
+    low, high = 0.05, 5.0
+    for _ in range(60):
+        lam = (low + high) / 2
+        low, high = (lam, high) if slope(lam) > 0 else (low, lam)
+    return lam, float(n / (words * np.exp(-lam * at)).sum())
+
+
+def _statistic_pass(models: list[ToxicityModel]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _Scanner(model)
+        scans = [_Scanner(m) for m in models]
         for batch in slices(batches):
-            x = [sum(s for _, _, s in scan.excess(*scan(t))) for t in batch.column(0).to_pylist()]
+            rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            x = [sum(s for _, _, s in scans[fold].excess(*scans[fold](text))) for text, fold in rows]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
 
     return run
@@ -174,40 +197,63 @@ def _logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[float, f
     return float(a), float(max(b, 0.0))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Fit on all rows of docs that labels marks and whose crc32(id as text) mod 3 is not 1.
-
-    Null labels are skipped; of repeated labels the largest counts.  Without rows of both
-    classes the model is empty and scores every text near 0.  Only the feature table (at most
-    FEATURES rows), one row of sums and a histogram come to the driver.
-    """
-    marked = (
-        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1))
-        .groupBy(F.col(id_col).cast("long").alias("_id"))
-        .agg(F.max(label_col).cast("int").alias("toxic"))
-    )
-    marked = materialize(marked, "marked")
-    side = F.broadcast(marked) if marked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else marked
-    train = text_rows(docs, id_col, text_col).withColumnRenamed("doc_id", "_id").join(side, "_id").select("text", "toxic")
-    counts = train.mapInArrow(_count_pass, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counts = materialize(counts.where(f"feature = '' or t >= {LEAST_COUNT}"), "features")
-    whole = counts.where("feature = ''").first()
+def _weighted(counts: DataFrame) -> ToxicityModel:
+    """The model that the counts (feature, t, c) give, without its fits."""
     model = ToxicityModel()
+    whole = counts.where("feature = ''").first()
     if whole is None or not whole["t"] or not whole["c"]:
         return model
     nt, nc = float(whole["t"]), float(whole["c"])
     prior, most = (F.col("t") + F.col("c")) * PRIOR_SHARE, (nt + nc) * PRIOR_SHARE
     at, ac = F.col("t") + prior, F.col("c") + prior
     odds = F.log(at / (nt + most - at)) - F.log(ac / (nc + most - ac))
-    scored = counts.where("feature <> ''").select("feature", odds.alias("odds"), (odds / F.sqrt(1 / at + 1 / ac)).alias("z"), (F.col("t") / nt).alias("pt"))
-    best = scored.where(f"z >= {LEAST_Z} and odds >= 1.5").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    scored = counts.where(f"feature <> '' and t >= {LEAST_COUNT}").select("feature", odds.alias("odds"), (odds / F.sqrt(1 / at + 1 / ac)).alias("z"), (F.col("t") / nt).alias("pt"))
+    best = scored.where(f"z >= {LEAST_Z} and odds >= 1.5").collect()  # bounded by the rows of the fit
     model.weights = {r["feature"]: min(r["odds"], 12.0) for r in best}
     # What the listed features leave to all other words: a little less likely in toxic text.
     share = min(0.5, sum(r["pt"] for r in best if r["feature"][0] == "4") + sum(r["pt"] for r in best if r["feature"][0] == "=" and len(r["feature"]) < 5))
     model.base = min(-0.02, math.log(1 - share))
-    clean = train.where("toxic = 0").mapInArrow(_moments_pass(model), "n long, weight double").agg(F.sum("n").alias("n"), F.sum("weight").alias("w")).first()
-    model.k = clean["n"] / clean["w"] if clean["w"] else 1.0
-    bins = train.mapInArrow(_statistic_pass(model), "x double, toxic int").groupBy(F.least(F.round("x", 1), F.lit(60.0)).alias("x"), "toxic").count().collect()
+    return model
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Fit on the rows of docs that labels marks and whose crc32(id as text) mod 3 is not 1.
+
+    Null labels, null ids and null texts count for nothing; of repeated labels the largest counts, and rows that repeat an id all have its label.  Without rows of both
+    classes, an empty table among them, the model is empty and scores every text alike, near 0.  The features and the histograms come to the driver; TRAIN_ROWS
+    bounds the rows behind them.  Other columns, whatever their names, are not read.
+    """
+    key = F.col(f"`{id_col}`").cast("long")
+    marked = (
+        labels.where(F.col(label_col).isNotNull() & key.isNotNull() & (F.crc32(key.cast("string").cast("binary")) % 3 != 1))
+        .groupBy(key.alias("doc_id"))
+        .agg(F.max(label_col).cast("int").alias("toxic"))
+    )
+    marked = materialize(marked, "marked")
+    every = marked.count()
+    if every > TRAIN_ROWS:
+        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007)) < int(1_000_000_007 * (TRAIN_ROWS / every)))
+    side = F.broadcast(marked) if every <= BROADCAST_IDS else marked
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLDS)).cast("int")
+    train = materialize(text_rows(docs, id_col, text_col).join(side, "doc_id").where("text is not null").select("text", "toxic", fold.alias("fold")), "train")
+    counts = train.mapInArrow(_count_pass, "feature string, fold int, t long, c long").groupBy("feature").agg(
+        F.sum("t").alias("t"), F.sum("c").alias("c"), *[F.sum(F.when(F.col("fold") == k, F.col(x)).otherwise(0)).alias(f"{x}{k}") for k in range(FOLDS) for x in "tc"]
+    )
+    counts = materialize(counts.where(f"feature = '' or t >= {LEAST_COUNT}"), "features")
+    model = _weighted(counts)
+    if not model.weights:
+        return model
+    others = [_weighted(counts.select("feature", (F.col("t") - F.col(f"t{k}")).alias("t"), (F.col("c") - F.col(f"c{k}")).alias("c"))) for k in range(FOLDS)]
+    clean = train.where("toxic = 0").select("text", "fold").mapInArrow(_best_pass(others), "best double, words long")
+    seen = sorted(map(tuple, clean.groupBy("best").agg(F.count("*"), F.sum("words")).collect()))
+    if seen:
+        model.lam, model.k = extreme_value_fit(*(np.array(c, float) for c in zip(*seen, strict=True)))
+    for other in others:
+        other.lam, other.k = model.lam, model.k
+    bins = train.mapInArrow(_statistic_pass(others), "x double, toxic int").groupBy(F.least(F.round("x", 1), F.lit(60.0)).alias("x"), "toxic").count().collect()
+    release(train, counts)
+    if not bins:
+        return model
     xs = sorted({r["x"] for r in bins})
     at_x = {x: i for i, x in enumerate(xs)}
     pos, neg = np.zeros(len(xs)), np.zeros(len(xs))
@@ -238,8 +284,8 @@ def _score_pass(model: ToxicityModel):
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """One row per input row: doc_id, score, and passages (word ranges with their excess).
 
-    Words are counted from 0 over the whole lower-cased text.  Null and empty texts have no passage
-    and get the score of a text without any.  ``keep`` names a column (a struct of all a caller needs,
+    Words are counted from 0 over the whole lower-cased text, however long.  Null and empty texts have no passage
+    and get the score of a text without any.  Repeated rows and null ids give rows of their own; an empty table gives none.  Other columns, whatever their names, are not read.  ``keep`` names a column (a struct of all a caller needs,
     say) that is handed through instead of doc_id.
     """
     rows = text_rows(docs, id_col, text_col)
