@@ -211,7 +211,30 @@ def test_chat_by_hand(spark):
     assert got[1, 3]["text"] is None and got[2, 0]["reply_to"] is None and got[2, 0]["text"] == "" and len(got) == 7
 
 
+def test_quoting_conversations_equal_sql(spark, tmp_path):
+    """The given conversations quote nothing, so the query's SQL is held against generated ones."""
+    rng, rows = random.Random(6), []
+    words = ["Yes", "no idea", "see the log", "Fine!", "what about  tests?", "ok", "ship it -- now"]
+    for conv in range(40):
+        said = []
+        for turn in range(rng.randint(2, 12)):
+            lines = [rng.choice(words) + rng.choice(["", " soon", f" {turn}"]) for _ in range(rng.randint(1, 3))]
+            for _ in range(rng.randint(0, 3)) if said else ():
+                mark = ">" * rng.randint(1, 3)
+                lines = [f"{mark} {x.upper() if rng.random() < 0.3 else x}" for x in rng.choice(said).split("\n")] + lines
+            said.append("\n".join(lines))
+            rows.append((conv, turn, rng.choice(["user", "bot"]), said[-1]))
+    path = f"{tmp_path}/conversations"
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{path}.parquet")
+    con = connect(SF)
+    con.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM read_parquet('{path}.parquet/*.parquet')")
+    got = QUERIES["op8_chat_format"](spark, str(tmp_path))
+    assert got.where("reply_to is not null").count() > 100 and got.where("depth > 2").count() > 5
+    assert_same(con, got, SQL["op8_chat_format"])
+    assert got.where("reply_to >= turn or thread > turn").count() == 0
+
+
 def test_chat_odd_rows(spark):
-    rows = odd_rows(spark).withColumnRenamed("doc_id", "conv_id").withColumnRenamed("n_chars", "turn").withColumnRenamed("salt", "thread")
+    rows = odd_rows(spark).withColumnRenamed("doc_id", "conv_id").withColumnRenamed("n_chars", "turn")
     assert unquote(rows).count() == 9
     assert unquote(empty_rows(spark).withColumnRenamed("doc_id", "conv_id").withColumnRenamed("n_chars", "turn")).count() == 0
