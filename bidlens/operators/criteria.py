@@ -40,20 +40,38 @@ def reject_reason(now: Column) -> Column:
     return out
 
 
+# Administrative abbreviations; those of a town before its name say nothing.
+REGION_WORDS = {"обл.": "область", "респ.": "республика"}
+TOWN_WORDS = ("г", "г.", "город")
+
+
 def normal_region(c: Column) -> Column:
-    """A region without case, quotes and administrative abbreviations."""
-    c = F.translate(F.lower(F.trim(c)), "ё«»", "е")
-    c = F.regexp_replace(c, r"(?U)\b(г\.?|город)\s+", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?U)\bобл\.\s*", "область "), r"(?U)\bресп\.\s*", "республика ")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?U)\s*[–—-]\s*", " "), r"(?U)\s*,\s*", " ")
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^[ .,:;]+|[ .,:;]+$", "")
+    """A region as lower-case words without quotes, dashes and commas, abbreviations written out."""
+    words = F.filter(F.split(F.translate(F.lower(c), "ё«»", "е"), r"(?U)[\s,–—-]+"), lambda w: w != "")
+    named = F.filter(words, lambda w, i: ~w.isin(*TOWN_WORDS) | (i == F.size(words) - 1))
+    spelled = F.transform(named, lambda w: F.coalesce(F.get(F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in REGION_WORDS.items()]), lambda x: x["a"] == w), 0)["b"], w))
+    return F.btrim(F.array_join(spelled, " "), F.lit(" .,:;"))
+
+
+def wanted_regions(wanted: Column) -> Column:
+    """Normal forms of the regions that a profile asks for; null where it names none, so that all pass."""
+    asked = F.filter(F.transform(F.filter(wanted, lambda x: F.trim(x) != ""), normal_region), lambda x: x != "")
+    return F.when(F.size(wanted) > 0, asked)
+
+
+def own_regions(region: Column) -> Column:
+    """Normal forms of the regions of a tender; none where it is blank."""
+    return F.filter(F.transform(F.split(F.coalesce(region, F.lit("")), r"[,;|/]+"), normal_region), lambda x: x != "")
+
+
+def regions_overlap(region: Column, mine: Column, asked: Column) -> Column:
+    """The test on both sides' normal forms; a blank region fails where any region is asked for, even a blank one."""
+    return F.when(asked.isNull(), True).when(F.trim(F.coalesce(region, F.lit(""))) == "", False).when(F.size(asked) == 0, True).otherwise(F.arrays_overlap(mine, asked))
 
 
 def regions_match(region: Column, wanted: Column) -> Column:
     """Equal normal forms; without wanted regions all pass, a blank region fails else."""
-    asked = F.filter(F.transform(F.filter(wanted, lambda x: F.trim(x) != ""), normal_region), lambda x: x != "")
-    mine = F.filter(F.transform(F.split(F.coalesce(region, F.lit("")), r"[,;|/]+"), normal_region), lambda x: x != "")
-    return F.when(F.size(F.coalesce(wanted, F.array().cast("array<string>"))) == 0, True).when(F.trim(F.coalesce(region, F.lit(""))) == "", False).when(F.size(asked) == 0, True).otherwise(F.arrays_overlap(mine, asked))
+    return regions_overlap(region, own_regions(region), wanted_regions(wanted))
 
 
 def in_lookback(now: Column, days: Column) -> Column:

@@ -8,6 +8,9 @@ keywords of all profiles are matched in one join instead of one scan a keyword.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ QUERY_FORMS = {
     "редуктор": ("редуктор", "редуктора", "редукторы", "редукторов", "редукторам", "редукторами", "редукторе", "редуктором"),
 }
 STEM_FROM = 6
+#: Rows of expanded word forms that may be broadcast.
+BROADCAST_FORMS = 500_000
 
 
 def forms(word: Column) -> Column:
@@ -54,18 +59,31 @@ def keyword_forms(keywords: DataFrame, column: str = "keyword") -> DataFrame:
 
 def keyword_matches(texts: DataFrame, keywords: DataFrame, *, id_col: str, text_col: str, keyword_col: str = "keyword") -> DataFrame:
     """(id, keyword): a keyword matches where each of its words does, in any order and distance."""
+    expanded = keyword_forms(keywords, keyword_col)
+    if expanded.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS:
+        expanded = F.broadcast(expanded)  # tokens that no keyword knows are gone before the shuffle
     said = texts.select(id_col, F.explode(tokens(for_matching(F.col(text_col)))).alias("form"))
-    hits = said.join(keyword_forms(keywords, keyword_col), "form").groupBy(id_col, "keyword", "n_words")
-    return hits.agg(F.count_distinct("word").alias("k")).where("k = n_words").select(id_col, "keyword")
+    hits = said.join(expanded, "form").groupBy(id_col, "keyword", "n_words")
+    return hits.agg(F.size(F.collect_set("word")).alias("k")).where("k = n_words").select(id_col, "keyword")
+
+
+def normal(keyword: str) -> str:
+    """A literal keyword in the form in which texts are compared."""
+    return " ".join(keyword.lower().replace("ё", "е").split())
+
+
+def literal_words(keyword: str) -> list[str]:
+    """The words of a literal keyword, parted as texts are."""
+    return list(dict.fromkeys(re.findall(r"[\w-]+", normal(keyword))))
+
+
+def literal_forms(word: str) -> list[str]:
+    return list(dict.fromkeys([word, *(word[:-2] + s for s in SUFFIXES)])) if len(word) >= STEM_FROM else [word]
 
 
 def contains(text_tokens: Column, keyword: str) -> Column:
     """The same test for one literal keyword, as an expression over a text's tokens."""
-    words = [w for w in keyword.lower().replace("ё", "е").split() if w]
-    tests = []
-    for w in words:
-        found = [w, *(w[:-2] + s for s in SUFFIXES)] if len(w) >= STEM_FROM else [w]
-        tests.append(F.arrays_overlap(text_tokens, F.array(*[F.lit(f) for f in dict.fromkeys(found)])))
+    tests = [F.arrays_overlap(text_tokens, F.array(*[F.lit(f) for f in literal_forms(w)])) for w in literal_words(keyword)]
     out = tests[0] if tests else F.lit(False)
     for x in tests[1:]:
         out = out & x
@@ -79,10 +97,18 @@ def any_of(text_tokens: Column, keywords) -> Column:
     return out
 
 
+def with_tokens(text: str, test: Callable[[Column], Column]) -> Column:
+    """A test on the tokens of a text column, which are made once however often the test names them."""
+    return F.get(F.transform(F.array(tokens(for_matching(F.col(text)))), test), 0)
+
+
+def _soft(words: Column, text: str, include, exclude, least: int) -> Column:
+    return ~any_of(words, exclude) & ((F.length(text) >= least) | any_of(words, include))
+
+
 def soft(df: DataFrame, text: str, include, exclude, least: int = 10) -> Column:
     """No excluded keyword, and a text of some length or a direct match."""
-    words = tokens(for_matching(F.col(text)))
-    return ~any_of(words, exclude) & ((F.length(text) >= least) | any_of(words, include))
+    return with_tokens(text, lambda words: _soft(words, text, include, exclude, least))
 
 
 def quality_gate(platform: str = "b2b_center") -> Column:
@@ -93,21 +119,32 @@ def quality_gate(platform: str = "b2b_center") -> Column:
 
 def strict(df: DataFrame, text: str, include, exclude, least: int = 10) -> Column:
     """Soft, complete, and a specific keyword, or a generic one in context."""
-    words = tokens(for_matching(F.col(text)))
-    specific, generic = [k for k in include if k not in GENERIC], [k for k in include if k in GENERIC]
-    hit = F.lit(not include) | any_of(words, specific) | (any_of(words, generic) & any_of(words, CONTEXT))
-    return soft(df, text, include, exclude, least) & quality_gate() & hit
+    known = {normal(g) for g in GENERIC}
+    specific, generic = [k for k in include if normal(k) not in known], [k for k in include if normal(k) in known]
+
+    def test(words: Column) -> Column:
+        hit = F.lit(not include) | any_of(words, specific) | (any_of(words, generic) & any_of(words, CONTEXT))
+        return _soft(words, text, include, exclude, least) & hit
+
+    return quality_gate() & with_tokens(text, test)
+
+
+def _query_group(query: str) -> tuple[str, tuple[str, ...]]:
+    """A query in search form, and the group of forms it belongs to."""
+    query = re.sub("[^0-9a-zа-яё]+", " ", query.lower()).strip()
+    return query, next((g for g in QUERY_FORMS.values() if query in g), (query,))
 
 
 def query_relevance(text: Column, query: str) -> Column:
     """The query as part of the text, or any form of its word group as a whole token."""
-    words = F.split(for_search(text), " ")
-    group = next((g for g in QUERY_FORMS.values() if query in g), ())
+    query, group = _query_group(query)
     found = F.contains(for_search(text), F.lit(query))
-    return found | F.arrays_overlap(words, F.array(*[F.lit(g) for g in group])) if group else found
+    return found | F.arrays_overlap(F.split(for_search(text), " "), F.array(*[F.lit(g) for g in group]))
 
 
-def query_relevance_substring(text: Column, query: str) -> Column:
-    """The looser rule: any form anywhere in the text."""
-    group = next((g for g in QUERY_FORMS.values() if query in g), (query,))
+def query_relevance_substring(text: Column, query: str, external_id: Column | None = None) -> Column:
+    """The looser rule: any form anywhere in the text; a numeric query has to be the row's id where one is given."""
+    query, group = _query_group(query)
+    if query.isdigit() and external_id is not None:
+        return external_id == query
     return F.exists(F.array(*[F.lit(g) for g in group]), lambda g: F.contains(for_search(text), g))

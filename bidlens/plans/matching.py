@@ -35,7 +35,7 @@ _STRICT = f"({_SOFT} AND {_GATE} AND ({_sql_any([x for x in INCLUDE if x not in
 
 
 def _texts(spark, sf_dir):
-    return tenders(spark, sf_dir).withColumn("txt", F.concat_ws(" ", "title", "description"))
+    return tenders(spark, sf_dir, heavy=True).withColumn("txt", F.concat_ws(" ", "title", "description"))
 
 
 @query("kw_soft", f"{_TOK} SELECT tender_id, {_SOFT} AS ok FROM w")
@@ -53,6 +53,17 @@ def kw_strict(spark, sf_dir):
 _WORDFORM = " UNION ALL ".join(f"SELECT tender_id, '{x}' AS keyword FROM w WHERE {_sql_contains(x)}" for x in [*INCLUDE, "ремонт станка"])
 
 
+_LOUD = ["  Поставка   ОБОРУДОВАНИЯ", "Станок", "подшипники, оборудования", "Ёлка"]
+_LOUD_STRICT = f"({_SOFT.replace(_sql_any(INCLUDE), _sql_any(['поставка оборудования', 'станок', 'подшипники оборудования', 'елка']))} AND {_GATE} AND ({_sql_any(['станок', 'подшипники оборудования', 'елка'])} OR ({_sql_any(['поставка оборудования'])} AND {_sql_any(k.CONTEXT)})))"
+
+
+@query("kw_strict_spelling", f"{_TOK} SELECT tender_id, {_LOUD_STRICT} AS ok FROM w")
+def kw_strict_spelling(spark, sf_dir):
+    """Keywords with capitals, ё, blanks and punctuation mean the same as their plain forms."""
+    df = _texts(spark, sf_dir)
+    return df.select("tender_id", k.strict(df, "txt", _LOUD, EXCLUDE, LEAST).alias("ok"))
+
+
 @query("kw_wordform", f"{_TOK} {_WORDFORM}")
 def kw_wordform(spark, sf_dir):
     words = spark.createDataFrame([(x,) for x in [*INCLUDE, "ремонт станка"]], "keyword string")
@@ -61,13 +72,12 @@ def kw_wordform(spark, sf_dir):
 
 @query("kw_phrase_and", f"{_TOK} SELECT tender_id FROM w WHERE {_sql_contains('оборудования подшипник')}")
 def kw_phrase_and(spark, sf_dir):
-    return _texts(spark, sf_dir).where(k.contains(tokens(for_matching(F.col("txt"))), "оборудования подшипник")).select("tender_id")
+    return _texts(spark, sf_dir).where(k.with_tokens("txt", lambda w: k.contains(w, "оборудования подшипник"))).select("tender_id")
 
 
 @query("kw_generic_context", f"{_TOK} SELECT tender_id, {_sql_any(k.CONTEXT)} AS in_context FROM w WHERE {_sql_any(k.GENERIC)}")
 def kw_generic_context(spark, sf_dir):
-    words = tokens(for_matching(F.col("txt")))
-    return _texts(spark, sf_dir).where(k.any_of(words, k.GENERIC)).select("tender_id", k.any_of(words, k.CONTEXT).alias("in_context"))
+    return _texts(spark, sf_dir).where(k.with_tokens("txt", lambda w: k.any_of(w, k.GENERIC))).select("tender_id", k.with_tokens("txt", lambda w: k.any_of(w, k.CONTEXT)).alias("in_context"))
 
 
 @query("quality_gate", f"{WITH} SELECT tender_id, {_GATE} AS ok FROM tenders")
@@ -206,10 +216,16 @@ def _sql_words() -> str:
 )
 def match_profiles(spark, sf_dir):
     ps, ts = profiles(spark, sf_dir).where("enabled"), _texts(spark, sf_dir)
-    wanted = ps.select("profile_id", F.explode("keywords").alias("keyword"))
-    pairs = wanted.join(k.keyword_matches(ts, wanted, id_col="tender_id", text_col="txt"), "keyword").select("profile_id", "tender_id").distinct()
-    rows = pairs.join(ps, "profile_id").join(ts.withColumnRenamed("name", "_n"), "tender_id")
-    return rows.where(c.regions_match(F.col("region"), F.col("regions"))).select("profile_id", "tender_id", c.reject_reason(F.expr(NOW_SPARK)).alias("reason"))
+    found = k.keyword_matches(ts, ps.select(F.explode("keywords").alias("keyword")), id_col="tender_id", text_col="txt")
+    # regions are put in normal form once a tender and once a profile, and a tender's keywords are one row
+    said = found.groupBy("tender_id").agg(F.collect_set("keyword").alias("said"))
+    asking = ps.withColumn("asked", c.wanted_regions(F.col("regions"))).drop("name")
+    with_region = ts.withColumn("mine", c.own_regions(F.col("region"))).join(said, "tender_id")
+    rows = with_region.withColumn("keyword", F.explode("said")).join(asking.withColumn("keyword", F.explode("keywords")), "keyword")
+    # of the keywords that a profile and a tender share, the first in order makes the pair
+    shared = F.array_min(F.array_intersect("keywords", "said")) == F.col("keyword")
+    kept = rows.where(shared & c.regions_overlap(F.col("region"), F.col("mine"), F.col("asked")))
+    return kept.select("profile_id", "tender_id", c.reject_reason(F.expr(NOW_SPARK)).alias("reason"))
 
 
 @query(

@@ -70,9 +70,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per procurement notice."""
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over all cores where it has fewer files than there are; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def tenders(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """One row per procurement notice; ``heavy`` for queries whose work per row is large, which a small table's one file would leave to one core."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    orders = spread(orders) if heavy else orders
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
     return joined.selectExpr(*items(_TENDER.format(platform=_PLATFORM, days="make_dt_interval")))
 
