@@ -1,6 +1,6 @@
 """All query modules, imported once."""
 
-from . import extract, market, matching, normalize, state, streams  # noqa: F401
+from . import extract, market, matching, normalize, notice, state, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
