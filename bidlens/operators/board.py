@@ -122,6 +122,19 @@ def labels(events: DataFrame) -> DataFrame:
     return last.where("x.kind = 'label_add'").select("tender_id", "x.label")
 
 
+def board(tenders: DataFrame, current: DataFrame, labels: DataFrame, assignees: DataFrame | None = None) -> DataFrame:
+    """Tenders with status ('new' without an entry), assignee and labels, in board order: deadline, unknown ones last, then id.
+
+    The labels of a tender are one array in the order of their lower-case form.
+    """
+    low = F.array_sort(F.collect_list(F.struct(F.lower("label").alias("low"), "label")))
+    by_tender = labels.groupBy("tender_id").agg(F.transform(low, lambda x: x["label"]).alias("labels"))
+    rows = tenders.join(current.select("tender_id", "status"), "tender_id", "left").join(by_tender, "tender_id", "left")
+    rows = rows.join(assignees.select("tender_id", "assignee"), "tender_id", "left") if assignees is not None else rows.withColumn("assignee", F.lit(""))
+    filled = {"status": F.coalesce("status", F.lit("new")), "labels": F.coalesce("labels", F.array().cast("array<string>")), "assignee": F.coalesce("assignee", F.lit(""))}
+    return rows.withColumns(filled).orderBy(F.col("deadline").asc_nulls_last(), "tender_id")
+
+
 def next_statuses(status: Column) -> Column:
     """Allowed next statuses in board order."""
     by = F.create_map(*[x for a, bs in ALLOWED.items() for x in (F.lit(a), F.array(*[F.lit(b) for b in sorted(bs, key=STATUSES.index)]).cast("array<string>"))])

@@ -85,6 +85,41 @@ def report_rows(joined: DataFrame, now: Column, ids: DataFrame | None = None) ->
     )
 
 
+def risk_text(risks: Column) -> Column:
+    """A JSON list of risks as one text, blanks left out; anything else as it stands."""
+    listed = F.from_json(risks, "array<string>")
+    parts = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.rlike(risks, F.lit(r"^\s*\[")) & listed.isNotNull(), F.array_join(parts, "; ")).otherwise(F.coalesce(risks, F.lit("")))
+
+
+def full_report(joined: DataFrame, now: Column, ids: DataFrame | None = None) -> DataFrame:
+    """The 17 columns of a report in rank order; joined has a tender's columns and its analysis' score, recommendation, summary and risks."""
+    rows = joined.join(ids, "tender_id", "left_semi") if ids is not None else joined
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return rows.orderBy(F.coalesce("relevance_score", F.lit(0)).desc(), F.col("published_at").desc_nulls_last(), F.col("tender_id")).select(
+        label("platform", PLATFORM_NAMES).alias("platform"),
+        *[text(F.col(c)).alias(c) for c in ("external_id", "title", "customer", "region")],
+        "price",
+        F.coalesce(F.nullif("currency", F.lit("")), F.lit("RUB")).alias("currency"),
+        "published_at",
+        "deadline",
+        F.greatest(F.lit(0), F.datediff(F.to_date("deadline"), F.to_date(now))).alias("days_left"),
+        text(F.col("law_type")).alias("law_type"),
+        text(F.get_json_object("raw_data", "$.procurement_method")).alias("procurement_method"),
+        F.col("relevance_score").alias("score"),
+        label("recommendation", RECOMMENDATION_NAMES).alias("recommendation"),
+        text(F.col("summary")).alias("summary"),
+        risk_text(F.col("risks")).alias("risks"),
+        text(F.col("url")).alias("url"),
+    )
+
+
+def write_report(report: DataFrame, path: str, form: str = "csv") -> None:
+    """Write a report as a folder of CSV (with header) or Parquet files, replacing what is there."""
+    writer = report.write.mode("overwrite").format(form)
+    (writer.option("header", True) if form == "csv" else writer).save(path)
+
+
 def report_summary(joined: DataFrame) -> DataFrame:
     """Total, analysed, scores from 70, and the three recommendations."""
     return joined.agg(

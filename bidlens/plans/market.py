@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import funnel
 from ..operators import market as m
-from ..sources.tables import NOW_SPARK, NOW_SQL, WITH, analyses, table, tenders
+from ..sources.tables import NOW_SPARK, NOW_SQL, PROFILES_SQL, WITH, analyses, items, profiles, table, tenders
 from .registry import query
 
 _J = "tenders LEFT JOIN analyses USING (tender_id)"
@@ -111,3 +112,58 @@ _BAND = "CASE WHEN relevance_score >= 80 THEN 'participate' WHEN relevance_score
 @query("score_bands", f"{WITH} SELECT {_BAND} AS band, count(*) AS n, count(*) FILTER (WHERE recommendation <> {_BAND}) AS mismatches FROM analyses GROUP BY 1")
 def score_bands(spark, sf_dir):
     return analyses(spark, sf_dir).groupBy(F.expr(_BAND).alias("band")).agg(F.count("*").alias("n"), F.count_if(F.col("recommendation") != F.expr(_BAND)).alias("mismatches"))
+
+
+_SUMMARY = "concat('Итог ', CAST(relevance_score AS STRING)) AS summary, CASE tender_id % 4 WHEN 0 THEN '[\"Срок\",\" Цена \",\"\"]' WHEN 1 THEN 'не список' WHEN 2 THEN '[]' END AS risks"
+_METHOD = "CASE WHEN tender_id % 5 = 0 THEN '{\"procurement_method\":\"Аукцион\"}' ELSE raw_data END"
+
+
+@query(
+    "report_full",
+    f"""{WITH}, a AS (SELECT *, {_SUMMARY} FROM analyses) SELECT CASE platform WHEN 'eis' THEN 'ЕИС' WHEN 'b2b_center' THEN 'B2B-Center' WHEN 'fabrikant' THEN 'Фабрикант' WHEN 'rts_tender' THEN 'РТС-тендер' WHEN 'tmk' THEN 'ТМК' ELSE 'Росатом' END AS platform,
+    external_id, title, customer, region, price, currency, published_at, deadline, greatest(0, date_diff('day', DATE '1998-08-02', deadline::DATE))::INT AS days_left, law_type,
+    CASE WHEN t.tender_id % 5 = 0 THEN 'Аукцион' ELSE '' END AS procurement_method, relevance_score AS score,
+    CASE recommendation WHEN 'participate' THEN 'Участвовать' WHEN 'review' THEN 'Рассмотреть' WHEN 'skip' THEN 'Не участвовать' ELSE coalesce(recommendation, '') END AS recommendation, coalesce(summary, '') AS summary,
+    CASE WHEN a.tender_id IS NULL THEN '' ELSE CASE t.tender_id % 4 WHEN 0 THEN 'Срок; Цена' WHEN 1 THEN 'не список' ELSE '' END END AS risks, url
+    FROM tenders t LEFT JOIN a ON t.tender_id = a.tender_id""",
+)
+def report_full(spark, sf_dir):
+    seen = analyses(spark, sf_dir).selectExpr("*", *items(_SUMMARY))
+    rows = tenders(spark, sf_dir).withColumn("raw_data", F.expr(_METHOD)).join(seen, "tender_id", "left")
+    return m.full_report(rows, F.expr(NOW_SPARK))
+
+
+_STAGED = """tender_id % 7 AS search_number, tender_id % 10 = 3 AS recent_not, tender_id % 4 <> 1 AS soft_ok, tender_id % 3 <> 0 AS detail_loaded, detail_status, tender_id % 2 = 0 AS existed, tender_id % 5 <> 2 AS strict_ok,
+  tender_id % 6 <> 1 AS region_ok, tender_id % 8 <> 3 AS criteria_ok, tender_id % 9 = 4 AS notified_before, tender_id % 11 = 5 AS ai_failed, CAST(tender_id % 101 AS INT) AS score, 50 AS min_score, tender_id % 12 <> 7 AS sent"""
+_SOFT = "NOT duplicate AND NOT coalesce(recent_not, false) AND soft_ok"
+_ASKED = f"{_SOFT} AND st <> 'failed'"
+_STRICT = f"{_ASKED} AND strict_ok"
+_FRESH = f"{_STRICT} AND region_ok AND criteria_ok AND NOT notified_before"
+
+
+@query(
+    "run_counters",
+    f"""{WITH}, s AS (SELECT {_STAGED}, row_number() OVER (PARTITION BY tender_id // 3 ORDER BY tender_id) > 1 AS duplicate, lower(CASE WHEN detail_status = '' THEN 'partial' ELSE detail_status END) AS st FROM tenders)
+    SELECT search_number, count(*) AS found, count(*) FILTER ({_SOFT}) AS soft_filtered, count(*) FILTER ({_STRICT}) AS filtered, count(*) FILTER ({_ASKED} AND NOT strict_ok) AS keyword_excluded,
+    count(*) FILTER ({_SOFT} AND NOT existed) AS new, count(*) FILTER ({_FRESH} AND NOT ai_failed) AS analyzed, count(*) FILTER ({_FRESH} AND NOT ai_failed AND score >= min_score AND sent) AS notified,
+    count(*) FILTER ({_STRICT} AND region_ok AND criteria_ok AND notified_before) AS skipped_duplicate, count(*) FILTER ({_STRICT} AND region_ok AND NOT criteria_ok) AS excluded_by_criteria,
+    count(*) FILTER ({_STRICT} AND NOT region_ok) AS excluded_by_region, count(*) FILTER ({_SOFT} AND st = 'success' AND detail_loaded) AS details_loaded, count(*) FILTER ({_SOFT} AND st = 'partial') AS details_partial,
+    count(*) FILTER ({_SOFT} AND st = 'failed') AS details_failed, count(*) FILTER ({_SOFT}) AS saved, count(*) FILTER ({_FRESH} AND ai_failed) AS ai_failed, search_number % 3 AS platform_errors FROM s GROUP BY search_number""",
+)
+def run_counters(spark, sf_dir):
+    rows = tenders(spark, sf_dir).withColumn("lot", F.expr("tender_id div 3"))
+    marked = funnel.mark_duplicates(rows, ["lot"], [F.col("tender_id")]).selectExpr("duplicate", *items(_STAGED))
+    return funnel.counters(marked.withColumn("recent", F.when(F.col("recent_not"), False)), F.col("search_number") % 3)
+
+
+@query(
+    "profile_score_threshold",
+    f"""{WITH}, p AS (SELECT q.*, n_name AS nation FROM ({PROFILES_SQL}) q JOIN nation ON profile_id // 10 = n_nationkey)
+    SELECT t.tender_id, p.profile_id FROM tenders t JOIN analyses a ON t.tender_id = a.tender_id JOIN p ON t.region = p.nation WHERE p.enabled AND relevance_score >= min_ai_score""",
+)
+def profile_score_threshold(spark, sf_dir):
+    """Tenders of a profile's nation whose score reaches the profile's own threshold."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("region"))
+    own = profiles(spark, sf_dir).where("enabled").withColumn("key", F.expr("profile_id div 10")).join(nation, "key").select("profile_id", "region", "min_ai_score")
+    scored = tenders(spark, sf_dir).select("tender_id", "region").join(analyses(spark, sf_dir).select("tender_id", "relevance_score"), "tender_id")
+    return scored.join(own, "region").where(F.col("relevance_score") >= F.col("min_ai_score")).select("tender_id", "profile_id")

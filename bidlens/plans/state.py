@@ -80,10 +80,12 @@ def latest_analysis(spark, sf_dir):
     return s.last_wins(rows, ["tender_id"], [F.col(c) for c in ("l_shipdate", "l_linenumber", "l_partkey", "score")]).select("tender_id", "score")
 
 
-@query("fingerprint", f"""{WITH} SELECT tender_id, sha256(concat_ws(chr(31), title, customer, law_type, CAST(tender_id AS VARCHAR), coalesce(CAST(postpayment_days AS VARCHAR), 'null'))) AS event_key FROM tenders""")
+_KEY = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in s.FINGERPRINT)
+
+
+@query("fingerprint", f"{WITH} SELECT tender_id, sha256(concat_ws(chr(31), {_KEY})) AS event_key FROM tenders")
 def fingerprint(spark, sf_dir):
-    fields = F.concat_ws("\x1f", "title", "customer", "law_type", F.col("tender_id").cast("string"), F.coalesce(F.col("postpayment_days").cast("string"), F.lit("null")))
-    return tenders(spark, sf_dir).select("tender_id", F.sha2(fields, 256).alias("event_key"))
+    return tenders(spark, sf_dir).select("tender_id", s.event_key().alias("event_key"))
 
 
 def _deliveries(spark, sf_dir):
@@ -161,6 +163,24 @@ def board_by_status(spark, sf_dir):
     return rows.join(b.replay_status(_status_events(spark, sf_dir)), "tender_id", "left").select("tender_id", F.coalesce("status", F.lit("new")).alias("status"))
 
 
+_LABELS = f"""lb AS (SELECT *, lower(trim(value)) AS key, sum(CASE WHEN kind = 'label_remove' THEN 1 ELSE 0 END) OVER (PARTITION BY tender_id, lower(trim(value)) ORDER BY ts, event_id) AS span
+    FROM ({BOARD_SQL}) WHERE kind IN ('label_add', 'label_remove')), lm AS (SELECT tender_id, key, max(span) AS span FROM lb GROUP BY 1, 2),
+    ln AS (SELECT lb.tender_id, trim(arg_min(value, (ts, event_id))) AS label FROM lb JOIN lm ON lb.tender_id = lm.tender_id AND lb.key = lm.key AND lb.span = lm.span WHERE kind = 'label_add' GROUP BY lb.tender_id, lb.key),
+    ls AS (SELECT tender_id, string_agg(label, ',' ORDER BY lower(label), label) AS labels FROM ln GROUP BY 1)"""
+_TENDERS = WITH[len("WITH tenders AS (") : WITH.index("), analyses AS")]
+
+
+@query(
+    "board_view",
+    f"""{_FOLD}, {_LABELS}, t AS ({_TENDERS}) SELECT t.tender_id, title, deadline, coalesce(cur.status, 'new') AS status, coalesce(ls.labels, '') AS labels
+    FROM t LEFT JOIN cur ON t.tender_id = cur.tender_id LEFT JOIN ls ON t.tender_id = ls.tender_id""",
+)
+def board_view(spark, sf_dir):
+    events = board_events(spark, sf_dir)
+    view = b.board(tenders(spark, sf_dir), b.replay_status(events.where("kind = 'status'")), b.labels(events))
+    return view.select("tender_id", "title", "deadline", "status", F.array_join("labels", ",").alias("labels"))
+
+
 @query(
     "board_assignees",
     f"""WITH ev AS ({BOARD_SQL}), a AS (SELECT *, CASE WHEN kind = 'assign' THEN value ELSE '' END AS who FROM ev WHERE kind IN ('assign', 'unassign')),
