@@ -288,9 +288,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
     and get the score of a text without any.  Repeated rows and null ids give rows of their own; an empty table gives none.  Other columns, whatever their names, are not read.  ``keep`` names a column (a struct of all a caller needs,
     say) that is handed through instead of doc_id.
     """
-    rows = text_rows(docs, id_col, text_col)
-    if keep:
-        rows = docs.select(keep, F.col(text_col).alias("text"))
+    rows = docs.select(keep, F.col(text_col).alias("text")) if keep else text_rows(docs, id_col, text_col)
     passage = T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("excess", T.DoubleType())])
     schema = T.StructType([rows.schema.fields[0], T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(passage))])
     return rows.mapInArrow(_score_pass(model), schema)
