@@ -99,21 +99,23 @@ def clean_list(c: Column) -> Column:
     return F.aggregate(trimmed, none, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
-def flatten_json(c: Column, depth: int = 2) -> Column:
-    """All texts inside a JSON value in order, blank-joined; keys only where they have a blank or Cyrillic.
+#: Keys and scalars of a JSON text in order; a key keeps its colon.
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:?|-?\d[\d.eE+-]*|true|false|null'
 
-    Objects and arrays are opened ``depth`` levels deep; below that a value stays as its JSON text.
+
+def flatten_json(c: Column) -> Column:
+    """All texts inside a JSON value in order, blank-joined, however deep; keys only where they have a blank or Cyrillic.
+
+    A text that is no JSON object or array stays as it is; a null is ''.
     """
-    if depth == 0:
-        return F.coalesce(c, F.lit(""))
-    as_map, as_list = F.from_json(c, "map<string,string>"), F.from_json(c, "array<string>")
-    entries = F.transform(
-        F.map_entries(as_map),
-        lambda e: F.concat_ws(" ", F.when(F.rlike(e["key"], F.lit("[ а-яА-ЯёЁ]")), e["key"]), blank_to_null(flatten_json(e["value"], depth - 1))),
-    )
-    items = F.transform(as_list, lambda x: flatten_json(x, depth - 1))
-    return F.trim(
-        F.when(F.startswith(F.ltrim(c), F.lit("{")) & as_map.isNotNull(), F.concat_ws(" ", F.filter(entries, lambda x: x != "")))
-        .when(F.startswith(F.ltrim(c), F.lit("[")) & as_list.isNotNull(), F.concat_ws(" ", F.filter(items, lambda x: x != "")))
-        .otherwise(F.coalesce(c, F.lit("")))
-    )
+
+    def said(token: Column) -> Column:
+        key = F.endswith(token, F.lit(":"))
+        quoted = F.startswith(token, F.lit('"'))
+        bare = F.regexp_replace(token, r"\s*:$", "")
+        plain = F.when(~quoted, bare).when(F.contains(bare, F.lit("\\")), F.get(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>"), 0)).otherwise(F.substr(bare, F.lit(2), F.length(bare) - 2))
+        return F.when(key, F.when(F.rlike(plain, F.lit("[ а-яА-ЯёЁ]")), plain)).when(token != "null", plain)
+
+    tokens = F.filter(F.transform(F.regexp_extract_all(c, F.lit(_JSON_TOKEN), 0), said), lambda x: F.trim(x) != "")
+    nested = F.rlike(c, F.lit(r"^\s*[\[{]")) & F.try_parse_json(c).isNotNull()
+    return F.trim(F.when(nested, F.array_join(tokens, " ")).otherwise(F.coalesce(c, F.lit(""))))

@@ -81,7 +81,7 @@ def _days(labels):
     coalesce(contract_security_percent, {_pct(t.CONTRACT_SECURITY)}) AS contract_security_percent FROM y""",
 )
 def enrich_terms(spark, sf_dir):
-    return n.enrich_terms(tenders(spark, sf_dir)).select("tender_id", "advance_required", "advance_percent", "postpayment_days", "application_security_percent", "contract_security_percent")
+    return n.enrich_terms(tenders(spark, sf_dir, heavy=True)).select("tender_id", "advance_required", "advance_percent", "postpayment_days", "application_security_percent", "contract_security_percent")
 
 
 @query(

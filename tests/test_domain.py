@@ -27,6 +27,30 @@ def test_word_forms(spark, text, word, expected):
     assert row[0] is expected
 
 
+def test_json_is_flattened_at_any_depth(spark):
+    cases = [
+        ('{"a":{"b":{"c":{"d":["x",{"Срок поставки":"5 дней"},7,true,null]}}},"e":" "}', "x Срок поставки 5 дней 7 true"),
+        ('["a \\"b\\" \\u0436", [["глубоко"]]]', 'a "b" ж глубоко'), ("не json {", "не json {"), ('{"a":', '{"a":'), (None, ""), ("  ", ""), ('{"k":"1:2"}', "1:2"),
+    ]
+    rows = spark.createDataFrame([(c,) for c, _ in cases], "x string").select(t.flatten_json(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [want for _, want in cases]
+
+
+def test_keywords_are_compared_as_texts_are(spark):
+    df = spark.createDataFrame([("поставка оборудования для кухни",), ("Насос и муфта",)], "txt string").selectExpr("txt", "'eis' AS platform", "'ok' AS detail_status", "'c' AS customer", "1.0 AS price", "current_timestamp() AS deadline", "current_timestamp() AS end_date")
+    for keyword in ("Поставка оборудования", "поставка  оборудования ", "ПОСТАВКА ОБОРУДОВАНИЯ"):
+        assert [r[0] for r in df.select(keywords.strict(df, "txt", [keyword], [])).collect()] == [False, False]
+    assert [r[0] for r in df.select(keywords.strict(df, "txt", ["насос, муфта"], [])).collect()] == [False, True]
+    relevant = df.select(keywords.query_relevance(F.col("txt"), "НАСОС,"), keywords.query_relevance_substring(F.col("txt"), "12345", F.lit("12345")), keywords.query_relevance_substring(F.col("txt"), "12345", F.lit("9"))).collect()
+    assert [tuple(r) for r in relevant] == [(False, True, False), (True, True, False)]
+
+
+def test_regions_in_normal_form(spark):
+    cases = [("г. Санкт-Петербург", "санкт петербург"), ("Город  Москва", "москва"), ("Московская обл.", "московская область"), ("«Респ. Коми», ", "республика коми"), ("Ёлкин — край", "елкин край"), ("Нижний город", "нижний город"), (None, None)]
+    rows = spark.createDataFrame([(c,) for c, _ in cases], "x string").select(criteria.normal_region(F.col("x"))).collect()
+    assert [r[0] for r in rows] == [want for _, want in cases]
+
+
 def test_token_join_equals_the_regex_rule(spark):
     rng = random.Random(5)
     stems = ["станок", "подшип", "муфт", "насос", "редуктор", "маз"]
