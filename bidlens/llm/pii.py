@@ -229,9 +229,13 @@ def _spelled(kind: Column, canonical: Column, attempt: Column, key: str) -> Colu
 
 def find_entities(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Distinct (kind, canonical) over all texts; the family name of a full name is an entity too."""
-    found = docs.select(F.explode(described(F.array_distinct(F.regexp_extract_all(f"`{text_col}`", F.lit(ANY), 0)))).alias("x")).select("x.kind", "x.canonical").distinct()
-    families = found.where(F.col("kind").startswith("name")).select(F.lit("family").alias("kind"), _family_of(F.col("kind"), F.col("canonical")).alias("canonical"))
-    return found.unionByName(families).distinct()
+    def with_family(x: Column) -> Column:
+        own = F.struct(x["kind"].alias("kind"), x["canonical"].alias("canonical"))
+        family = F.struct(F.lit("family").alias("kind"), _family_of(x["kind"], x["canonical"]).alias("canonical"))
+        return F.when(x["kind"].startswith("name"), F.array(own, family)).otherwise(F.array(own))
+
+    found = described(F.array_distinct(F.regexp_extract_all(f"`{text_col}`", F.lit(ANY), 0)))
+    return docs.select(F.explode(F.flatten(F.transform(found, with_family))).alias("x")).select("x.kind", "x.canonical").distinct()
 
 
 def clashing(entities: DataFrame, key: str, most: int = 20) -> DataFrame:
