@@ -34,8 +34,7 @@ def stream_upsert(spark, sf_dir):
     at = F.col("o_orderdate").alias("updated_at")
     rows = _stream(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("first_seen_at"), at)
     jobs.upsert_stream(rows, target, "k", ["price"], new_path(spark, "upsert-log"), ("updated_at", "price")).awaitTermination()
-    versions = spark.read.parquet(target)
-    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).select("k", "price")
+    return jobs.read_upserted(spark, target, rows.schema).select("k", "price")
 
 
 @query("stream_alerts", "SELECT DISTINCT user_id AS tender_id, event_type AS event_key FROM events")

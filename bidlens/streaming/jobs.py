@@ -25,41 +25,75 @@ def source(spark: SparkSession, path: str, schema, **options) -> DataFrame:
     return spark.readStream.schema(schema).options(**({"maxFilesPerTrigger": "8"} | options)).parquet(path)
 
 
+#: Parts of an upserted table, by a hash of the key; a batch rewrites those that it touches.
+PARTS = 64
+
+
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Per part of an upserted table its versions in order; at most a few a part are kept."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v=*/part=*")
+    found: dict[int, list[int]] = {}
+    for status in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []:
+        path = status.getPath()
+        found.setdefault(int(path.getName()[5:]), []).append(int(path.getParent().getName()[2:]))
+    return {p: sorted(v) for p, v in found.items()}
+
+
+def read_upserted(spark: SparkSession, target: str, schema, before: int | None = None, parts: set[int] | None = None) -> DataFrame:
+    """The table that :func:`upsert_stream` keeps: the last version of every part, or of some, perhaps as it was before a batch."""
+    paths = []
+    for p, versions in _versions(spark, target).items():
+        known = [v for v in versions if before is None or v < before]
+        if known and (parts is None or p in parts):
+            paths.append(f"{target}/v={known[-1]}/part={p}")
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def upsert_stream(rows: DataFrame, target: str, key: str, fields: list[str], checkpoint: str, order: tuple[str, ...] = ("updated_at",)):
-    """Upsert every batch into a new version of a table and append its change events.
+    """Upsert every batch into the parts of a table that hold its keys, and append its change events.
 
-    ``target``/v=N holds version N of the table and ``target``-events/batch=N the events; a batch that is run again
-    overwrites its own version and events, so the result does not depend on retries.  A row that is older by
-    ``order`` than the stored one changes nothing, so it does not depend on the order of arrival either.
+    ``target``/v=N/part=P holds part P as batch N left it and ``target``-events/batch=N the events; a batch that is run again
+    overwrites its own parts and events from the versions before it, so the result does not depend on retries.  A row that is older by
+    ``order`` than the stored one changes nothing, so it does not depend on the order of arrival either.  Of a part the two last
+    versions stay; :func:`read_upserted` reads the table.
     """
-
-    def versions(spark: SparkSession) -> list[int]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        return sorted(int(f.getPath().getName()[2:]) for f in fs.listStatus(path)) if fs.exists(path) else []
+    schema = rows.schema
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = state.last_wins(batch, [key], [F.col(c) for c in order]).select(*batch.columns)
-        before = [v for v in versions(spark) if v < batch_id]
-        old = spark.read.schema(batch.schema).parquet(f"{target}/v={before[-1]}") if before else batch.limit(0)
+        touched = {r[0] for r in new.select(_part(key)).distinct().collect()}  # at most PARTS
+        old = read_upserted(spark, target, schema, batch_id, touched)
         new = new.join(old.select(key, F.struct(*order).alias("_stored")), key, "left").where(F.col("_stored").isNull() | (F.struct(*order) >= F.col("_stored"))).select(*batch.columns)
         new.persist()
         state.change_events(old, new, key, fields).write.mode("overwrite").parquet(f"{target}-events/batch={batch_id}")
-        state.upsert(old, new, key).write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        state.upsert(old, new, key).withColumn("part", _part(key)).write.mode("overwrite").partitionBy("part").parquet(f"{target}/v={batch_id}")
         new.unpersist()
+        for p, versions in _versions(spark, target).items():
+            for v in versions[:-2] if p in touched else ():
+                gone = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={v}/part={p}")
+                gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def alert_once(alerts: DataFrame, time: str = "sent_at", horizon: str = "90 days") -> DataFrame:
-    """The first alert for each tender state, channel and recipient; keys are kept for the horizon after their time."""
+def alert_once(alerts: DataFrame, time: str = "sent_at", horizon: str = "90 days", delivered: DataFrame | None = None) -> DataFrame:
+    """The first alert for each tender state, channel and recipient; keys are kept for the horizon after their time.
+
+    ``delivered``, the stored deliveries, keeps alerts away that went out before, however long ago.
+    """
+    if delivered is not None:
+        alerts = alerts.join(delivered.select(*state.DELIVERY_KEY), list(state.DELIVERY_KEY), "left_anti")
     return alerts.withWatermark(time, horizon).dropDuplicatesWithinWatermark(list(state.DELIVERY_KEY))
 
 
-def drop_late(rows: DataFrame, now: Column, days: Column, delay: str = "30 days") -> DataFrame:
-    """The lookback as a rule for late data: a watermark bounds the state, the days of each platform decide."""
-    return rows.withWatermark("published_at", delay).where(F.timestamp_diff("SECOND", F.col("published_at"), now) <= days * 86400)
+def drop_late(rows: DataFrame, now: Column, days: Column) -> DataFrame:
+    """The lookback as a rule for late rows: the days of each platform decide, row by row, so no state is kept."""
+    return rows.where(F.timestamp_diff("SECOND", F.col("published_at"), now) <= days * 86400)
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:

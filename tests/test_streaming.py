@@ -1,6 +1,7 @@
 """Streams end in the same rows as their batch twins."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -20,9 +21,24 @@ def test_upsert_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame([(*r, at, at) for r in rows], schema).coalesce(1).write.mode("append").parquet(f"{src}/b{i}")
     stream = jobs.source(spark, f"{src}/*", schema, maxFilesPerTrigger="1")
     jobs.upsert_stream(stream, str(tmp_path / "t"), "k", ["price"], str(tmp_path / "cp")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "t")).agg(F.max("v")).first()[0]
-    got = {(r["k"], r["price"]) for r in spark.read.parquet(f"{tmp_path}/t/v={last}").collect()}
-    assert got == {(1, 7.0), (2, 6.0), (3, 8.0)}
+    table = jobs.read_upserted(spark, str(tmp_path / "t"), stream.schema)
+    assert {(r["k"], r["price"]) for r in table.collect()} == {(1, 7.0), (2, 6.0), (3, 8.0)}
+    # a batch writes the parts of its keys only, and a table before a batch can still be read
+    assert len(os.listdir(tmp_path / "t" / "v=2")) <= 1 + 1 + 2
+    assert {r["k"] for r in jobs.read_upserted(spark, str(tmp_path / "t"), stream.schema, before=1).collect()} == {1, 2}
+
+
+def test_upserted_parts_keep_two_versions(spark, tmp_path):
+    schema = "k long, price double, first_seen_at timestamp, updated_at timestamp"
+    src = str(tmp_path / "in")
+    for i in range(5):
+        at = dt.datetime(2026, 1, i + 1)
+        spark.createDataFrame([(1, float(i), at, at), (100 + i, 1.0, at, at)], schema).coalesce(1).write.parquet(f"{src}/b{i}")
+    stream = jobs.source(spark, f"{src}/*", schema, maxFilesPerTrigger="1")
+    jobs.upsert_stream(stream, str(tmp_path / "t"), "k", ["price"], str(tmp_path / "cp")).awaitTermination()
+    assert max(map(len, jobs._versions(spark, str(tmp_path / "t")).values())) == 2
+    got = {r["k"]: r["price"] for r in jobs.read_upserted(spark, str(tmp_path / "t"), stream.schema).collect()}
+    assert got == {1: 4.0} | {100 + i: 1.0 for i in range(5)}
 
 
 def test_board_stream_equals_replay(spark, tmp_path):
@@ -45,7 +61,7 @@ def test_upsert_keeps_the_latest_row_whatever_file_comes_last(spark, tmp_path):
         spark.createDataFrame([(*r, at, at) for r in rows], schema).coalesce(1).write.parquet(f"{src}/b{i}")
     stream = jobs.source(spark, f"{src}/*", schema, maxFilesPerTrigger="1")
     jobs.upsert_stream(stream, str(tmp_path / "t"), "k", ["price"], str(tmp_path / "cp")).awaitTermination()
-    assert {(r["k"], r["price"]) for r in spark.read.parquet(f"{tmp_path}/t/v=1").collect()} == {(1, 5.0), (2, 6.0), (3, 8.0)}
+    assert {(r["k"], r["price"]) for r in jobs.read_upserted(spark, str(tmp_path / "t"), stream.schema).collect()} == {(1, 5.0), (2, 6.0), (3, 8.0)}
     assert [r["k"] for r in spark.read.parquet(f"{tmp_path}/t-events/batch=1").collect()] == [3]
 
 
@@ -68,6 +84,10 @@ def test_alert_once(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("alerts").count() == 2
     assert len(state.DELIVERY_KEY) == 4
+    stored = spark.createDataFrame([(1, "e", "t", "r")], "tender_id long, event_key string, channel string, recipient_key string")
+    q = jobs.alert_once(jobs.source(spark, src, spark.read.parquet(src).schema), delivered=stored).writeStream.format("memory").queryName("fresh_alerts").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r["event_key"] for r in spark.table("fresh_alerts").collect()] == ["f"]
 
 
 def test_drop_late(spark, tmp_path):
