@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import funnel
+from ..operators import funnel, messages
 from ..operators import market as m
 from ..sources.tables import NOW_SPARK, NOW_SQL, PROFILES_SQL, WITH, analyses, items, profiles, table, tenders
 from .registry import query
@@ -167,3 +167,24 @@ def profile_score_threshold(spark, sf_dir):
     own = profiles(spark, sf_dir).where("enabled").withColumn("key", F.expr("profile_id div 10")).join(nation, "key").select("profile_id", "region", "min_ai_score")
     scored = tenders(spark, sf_dir).select("tender_id", "region").join(analyses(spark, sf_dir).select("tender_id", "relevance_score"), "tender_id")
     return scored.join(own, "region").where(F.col("relevance_score") >= F.col("min_ai_score")).select("tender_id", "profile_id")
+
+
+_SAID = """concat('Предмет <', CAST(relevance_score AS STRING), '> & "сроки"') AS summary, CASE tender_id % 3 WHEN 1 THEN {l}'Срок', 'a<b', 'Цена', 'четвёртый'{r} WHEN 2 THEN {l}'Один'{r} END AS risks, tender_id % 7 = 2 AS is_stub"""
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(
+    "alert_messages",
+    f"""{WITH}, a AS (SELECT *, {_SAID.format(l="[", r="]")} FROM analyses)
+    SELECT t.tender_id, CASE WHEN relevance_score >= 70 THEN '🔔' ELSE '📋' END || ' <b>Новый тендер (' || relevance_score || '/100)</b>' || chr(10) || chr(10) || '🏷️ <b>Площадка:</b> '
+    || CASE platform WHEN 'eis' THEN 'ЕИС' WHEN 'b2b_center' THEN 'B2B-Center' WHEN 'fabrikant' THEN 'Фабрикант' WHEN 'rts_tender' THEN 'РТС-тендер' WHEN 'tmk' THEN 'ТМК' ELSE 'Росатом' END
+    || chr(10) || '📋 ' || title || chr(10) || '💰 ' || CASE WHEN price IS NULL THEN 'не указан' ELSE replace(format('{{:,}}', CAST(format('{{:.0f}}', price) AS BIGINT)), ',', ' ') || ' RUB' END
+    || ' | ⏰ до ' || coalesce(strftime(deadline, '%d.%m.%Y'), 'не указан') || chr(10) || '🏢 ' || CASE WHEN customer = '' THEN 'Заказчик не указан' ELSE customer END || chr(10) || chr(10)
+    || '📝 ' || {_ESCAPED.format("summary")} || chr(10) || CASE t.tender_id % 3 WHEN 1 THEN chr(10) || '⚠️ <b>Риски:</b> Срок; a&lt;b; Цена' WHEN 2 THEN chr(10) || '⚠️ <b>Риски:</b> Один' ELSE '' END || chr(10)
+    || '💡 <b>Рекомендация:</b> ' || CASE recommendation WHEN 'participate' THEN 'Участвовать' WHEN 'skip' THEN 'Пропустить' WHEN 'review' THEN 'На проверку' ELSE recommendation END
+    || CASE WHEN is_stub THEN chr(10) || '<i>(ИИ-заглушка — используется вместо локального Ollama)</i>' ELSE '' END || chr(10) || chr(10) || '🔗 <a href="' || url || '">Открыть тендер</a>' AS message
+    FROM tenders t JOIN a ON t.tender_id = a.tender_id""",
+)
+def alert_messages(spark, sf_dir):
+    seen = analyses(spark, sf_dir).selectExpr("*", *items(_SAID.format(l="array(", r=")")))
+    return tenders(spark, sf_dir).join(seen, "tender_id").select("tender_id", messages.alert_message().alias("message"))
