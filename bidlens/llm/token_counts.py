@@ -23,10 +23,11 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 from operator import sub
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,6 +130,8 @@ class PrefixTable:
         self.inside = frozenset(t for t in tokens if not t.endswith(END))
         self.final = frozenset(t[: -len(END)] for t in tokens if t.endswith(END))
         self.longest = max(map(len, self.inside | self.final))
+        #: 1 for tokens inside a word, 2 for those that end one, 3 for both
+        self.forms = {t: (t in self.inside) + 2 * (t in self.final) for t in self.inside | self.final}
         # of the word before: its letters and, by prefix, the last token, the count of tokens and the count as a word
         self.word, self.last, self.count, self.ended = "", [""], [0], [0]
 
@@ -181,23 +184,29 @@ class PrefixTable:
             if x != y:
                 break
             k += 1
-        last, count, ended, inside, final, apart = self.last, self.count, self.ended, self.inside, self.final, self.apart
+        last, count, ended, form_of, apart = self.last, self.count, self.ended, self.forms.get, self.apart
         del last[k + 1 :], count[k + 1 :], ended[k + 1 :]
         self.word = word
         for j in range(k + 1, len(word) + 1):
             n_inside = n_final = 0
-            low, likely = max(0, j - self.longest), max(0, j - 1 - len(last[j - 1]))
             # one start holds for each form, in whatever order they are tried: first that of the token before, made longer
-            for i in chain((likely,), range(j - 1, likely, -1), range(likely - 1, low - 1, -1)):
+            low, likely = max(0, j - self.longest), max(0, j - 1 - len(last[j - 1]))
+            i, then = likely, j - 1
+            while True:
                 token = word[i:j]
-                if not n_final and token in final and (i == 0 or apart(last[i], token + END)):
-                    n_final = count[i] + 1
-                    if n_inside:
-                        break
-                if not n_inside and token in inside and (i == 0 or apart(last[i], token)):
-                    n_inside, ended_by = count[i] + 1, token
-                    if n_final:
+                form = form_of(token)
+                if form:
+                    if form & 2 and not n_final and (i == 0 or apart(last[i], token + END)):
+                        n_final = count[i] + 1
+                    if form & 1 and not n_inside and (i == 0 or apart(last[i], token)):
+                        n_inside, ended_by = count[i] + 1, token
+                    if n_inside and n_final:
                         break
+                if then == likely:
+                    then -= 1
+                if then < low:
+                    break
+                i, then = then, then - 1
             last.append(ended_by)
             count.append(n_inside)
             ended.append(n_final)
@@ -329,28 +338,32 @@ class PrefixCounter:
             before = out[-1]
         return out
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Keep the steps of the texts' chunks; words go in order, in which neighbours share the most of their states."""
+    def steps(self, texts: list[str | None]) -> list[bytes]:
+        """Steps of texts.  New words go in order, in which neighbours share the most of their states."""
         if len(self.chunks) > _KNOWN:
             self.chunks = {"": _BLANK}
-        fresh = {c for t in texts for c in _blanked(t).split(" ")} - self.chunks.keys()
-        split = {c: self._split(c.lower()) for c in fresh if _SIMPLE(c) and "<|" not in c}
-        for word in sorted({w for words in split.values() for w in words} - self.words.keys()):
+        chunks, words, parted = self.chunks, self.words, [_blanked(t).split(" ") for t in texts]
+        seen: set[str] = set()
+        for part in parted:
+            seen.update(part)
+        fresh = [c for c in seen if c not in chunks]
+        split = {c: _WORDS(c.lower()) for c in fresh if _SIMPLE(c) and "<|" not in c}
+        for word in sorted({w for ws in split.values() for w in ws if w not in words}):
             self._word(word)
-        for chunk, words in split.items():
-            self.chunks[chunk] = b"".join([*map(self._word, words), _BLANK])
-        for chunk in fresh - split.keys():
-            counts = self._chunk(chunk)
-            self.chunks[chunk] = array("i", map(sub, counts[1:], counts)).tobytes() + _BLANK
-
-    def of(self, text: str | None) -> bytes:
-        """Steps of a text whose chunks are known."""
-        return b"".join(map(self.chunks.__getitem__, _blanked(text).split(" ")))[:-4]
+        for chunk in fresh:
+            ws = split.get(chunk)
+            if ws is None:
+                counts = self._chunk(chunk)
+                chunks[chunk] = array("i", map(sub, counts[1:], counts)).tobytes() + _BLANK
+            elif len(ws) == 1:
+                chunks[chunk] = self._word(ws[0]) + _BLANK
+            else:
+                chunks[chunk] = b"".join([*map(self._word, ws), _BLANK])
+        return [b"".join(map(chunks.__getitem__, part))[:-4] for part in parted]
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Entry i: exact token count of the text's first i code points; the last entry is the whole text's."""
-        self.learn([text])
-        return np.concatenate([[0], np.cumsum(np.frombuffer(self.of(text), "<i4"))])
+        return np.concatenate([[0], np.cumsum(np.frombuffer(self.steps([text])[0], "<i4"))])
 
 
 _LETTER_BYTES = {c: b for b, c in _byte_letters().items()}
@@ -371,8 +384,19 @@ def prefix_counter(name: str) -> PrefixCounter:
 
 def longest_within(counts: np.ndarray, budget: int) -> int:
     """Code points of the longest prefix such that neither it nor a shorter one has more than budget tokens; counts start with the empty prefix."""
-    over = counts > budget
-    return int(over.argmax()) - 1 if over.any() else len(counts) - 1
+    over = int(np.argmax(counts > budget))
+    return over - 1 if counts[over] > budget else len(counts) - 1
+
+
+def packed_steps(steps: np.ndarray) -> bytes:
+    """Steps as bytes: the width of a step, 1 or, where one is beyond a byte, 4; then the steps as little-endian signed numbers."""
+    small = steps.astype("<i1")
+    return b"\x01" + small.tobytes() if np.array_equal(small, steps) else b"\x04" + steps.astype("<i4").tobytes()
+
+
+def unpacked_counts(packed: bytes) -> np.ndarray:
+    """Counts at every prefix, the empty one first, from packed steps."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(packed, f"<i{packed[0]}", offset=1), dtype=np.int64)])
 
 
 def _count_pass(limit: int, name: str):
@@ -380,17 +404,18 @@ def _count_pass(limit: int, name: str):
         counter = prefix_counter(name)
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
-            counter.learn(texts)
-            steps = [np.frombuffer(counter.of(t), "<i4") for t in texts]
-            counts = [np.concatenate([[0], np.cumsum(s)]) for s in steps]
-            offsets = np.zeros(len(steps) + 1, np.int32)
-            np.cumsum([len(s) for s in steps], out=offsets[1:])
+            n_tokens, fits, packed = [], [], []
+            for part in counter.steps(texts):
+                packed.append(packed_steps(np.frombuffer(part, "<i4")))
+                counts = unpacked_counts(packed[-1])
+                n_tokens.append(int(counts[-1]))
+                fits.append(longest_within(counts, limit))
             columns = [
                 batch.column(0),
                 pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                pa.array([int(c[-1]) for c in counts], pa.int64()),
-                pa.array([longest_within(c, limit) for c in counts], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(steps) if steps else np.empty(0, "<i4"))),
+                pa.array(n_tokens, pa.int64()),
+                pa.array(fits, pa.int64()),
+                pa.array(packed, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "fits", "prefix_steps"])
 
@@ -400,31 +425,33 @@ def _count_pass(limit: int, name: str):
 def count_tokens(docs: DataFrame, *, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """Per input row: doc_id, n_bytes, n_tokens, over_limit, fits and prefix_steps.
 
-    prefix_steps holds, for every code point of the text, the token count of the prefix that ends with it less that of the
+    prefix_steps holds (see :func:`packed_steps`), for every code point of the text, the token count of the prefix that ends with it less that of the
     prefix before it; :func:`tokens_at` and :func:`cut_at` answer budget questions from it alone.  n_tokens is the count at the last
     prefix; fits is the length of the longest prefix of at most ``limit`` tokens that no shorter one exceeds.  Null texts are empty: 0 bytes, 0 tokens and no steps.
     Very long texts are read whole, as one array each.  Repeated rows and ids and null ids give rows of their own; an empty
     table gives no rows.  Other columns, whatever their names, are not read.
     """
-    schema = "doc_id long, n_bytes long, n_tokens long, fits long, prefix_steps array<int>"
+    schema = "doc_id long, n_bytes long, n_tokens long, fits long, prefix_steps binary"
     counted = text_rows(docs, id_col, text_col).mapInArrow(_count_pass(limit, vocabulary), schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def tokens_at(chars: int | Column, steps: str = "prefix_steps") -> Column:
+def _of_steps(answer, steps: str) -> Column:
+    @F.pandas_udf("long")
+    def run(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda p: answer(unpacked_counts(p)), na_action="ignore")
+
+    return run(F.col(steps))
+
+
+def tokens_at(chars: int, steps: str = "prefix_steps") -> Column:
     """Tokens of the prefix of so many code points (all of them where the text is shorter)."""
-    return F.aggregate(F.slice(F.col(steps), F.lit(1), F.lit(chars) if isinstance(chars, int) else chars), F.lit(0), lambda n, s: n + s)
+    return _of_steps(lambda counts: int(counts[min(chars, len(counts) - 1)]), steps)
 
 
 def cut_at(budget: int, steps: str = "prefix_steps") -> Column:
     """Code points to keep for at most budget tokens, such that no shorter prefix has more."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept"), F.lit(False).alias("over"))
-
-    def step(x: Column, s: Column) -> Column:
-        over = x["over"] | (x["n"] + s > budget)
-        return F.struct((x["n"] + s).alias("n"), (x["kept"] + F.when(over, 0).otherwise(1)).alias("kept"), over.alias("over"))
-
-    return F.aggregate(F.col(steps), start, step, lambda x: x["kept"])
+    return _of_steps(lambda counts: longest_within(counts, budget), steps)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from bidlens.llm import packing
 from bidlens.llm.packing import best_fit, pack, plan, reduce_instance
-from bidlens.llm.token_counts import PrefixCounter, PrefixTable, count_tokens, cut_at, load, longest_within, tokens_at
+from bidlens.llm.token_counts import PrefixCounter, PrefixTable, count_tokens, cut_at, load, longest_within, packed_steps, tokens_at, unpacked_counts
 
 from .cases import empty_rows, odd_rows
 
@@ -53,6 +53,11 @@ def test_tokens_that_stay_apart_and_whole_tokens(counter):
     assert isinstance(table, PrefixTable)
 
 
+def test_steps_of_any_size_come_back():
+    for steps in ([], [1, 0, -1], [127, -128], [128], [1, -40_000, 7]):
+        assert unpacked_counts(packed_steps(np.array(steps, "<i4"))).tolist() == [0, *np.cumsum(steps).astype(int).tolist()]
+
+
 def test_budget(counter):
     text = "the quick brown foxes jumped overzealously"
     for budget in range(0, 12):
@@ -72,7 +77,7 @@ def test_counts_equal_the_library(spark):
         n = len(t.encode(text, add_special_tokens=False).ids)
         assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 3, len(text.encode()))
         assert r["fits"] == r["cut"] and len(t.encode(text[: r["cut"]], add_special_tokens=False).ids) <= 3
-        assert len(r["prefix_steps"]) == len(text) and r["nine"] == len(t.encode(text[:9], add_special_tokens=False).ids)
+        assert unpacked_counts(bytes(r["prefix_steps"])).tolist() == shared_counter()(text).tolist() and r["nine"] == len(t.encode(text[:9], add_special_tokens=False).ids)
         assert r["none"] == 0 or not text[: r["none"]].strip()
     assert count_tokens(empty_rows(spark)).count() == 0
 
