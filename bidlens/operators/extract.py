@@ -59,11 +59,11 @@ def cards(pages: DataFrame, mark: str, key: str = "page_id", html: str = "html")
     return pages.select(key, F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("card_no", "card"))
 
 
-def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, link_no, target, label) for links with a target, also those in data attributes."""
+def links(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, link_no, target, label) for links with a target, also those in data attributes."""
     whole = F.regexp_extract_all(html, F.lit(LINK), 0)
-    rows = pages.select(key, F.posexplode(whole).alias("link_no", "a"))
-    return rows.select(key, "link_no", t.unescape(F.regexp_extract("a", LINK, 1)).alias("target"), strip_tags(F.regexp_extract("a", LINK, 2)).alias("label")).where("target <> ''")
+    rows = pages.select(key, *keep, F.posexplode(whole).alias("link_no", "a"))
+    return rows.select(key, *keep, "link_no", t.unescape(F.regexp_extract("a", LINK, 1)).alias("target"), strip_tags(F.regexp_extract("a", LINK, 2)).alias("label")).where("target <> ''")
 
 
 def absolute(target: Column, url: Column) -> Column:

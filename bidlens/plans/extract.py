@@ -85,8 +85,7 @@ def extract_links(spark, sf_dir):
     f"SELECT page_id, 'x' AS kind, count(*) AS n FROM (SELECT page_id, {_SQL_LINKS} AS target FROM pages) WHERE target LIKE '/%' AND length(target) >= 6 GROUP BY 1",
 )
 def extract_nav_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    rows = x.links(pages.select("page_id", "html")).join(pages.select("page_id", "url"), "page_id")
+    rows = x.links(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=("url",))
     same = x.host(x.absolute(F.col("target"), F.col("url"))) == x.host(F.col("url"))
     return rows.where(same & F.startswith("target", F.lit("/")) & (F.length("target") >= 6)).groupBy("page_id").agg(F.first(F.lit("x")).alias("kind"), F.count("*").alias("n"))
 
@@ -110,11 +109,11 @@ def recover_details(spark, sf_dir):
     return rows.select("o_orderkey", F.coalesce(t.blank_to_null(F.col("region")), x.labelled(F.col("txt"), "Регион")).alias("region"), t.labelled_tax_id(F.col("txt")).alias("customer_inn"))
 
 
-@query("detail_url_lookup", "SELECT l_orderkey, min(l_partkey) AS part FROM lineitem WHERE l_linenumber = 1 GROUP BY 1")
+@query("detail_url_lookup", "SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY 1")
 def detail_url_lookup(spark, sf_dir):
     """The first address listed for an id."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.concat(F.lit("https://p.example/"), F.col("l_partkey").cast("string")).alias("url"), "l_partkey")
-    best = rows.groupBy("l_orderkey").agg(F.min_by("url", "l_partkey").alias("url"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("https://p.example/"), F.col("l_partkey").cast("string")).alias("url"), F.struct("l_linenumber", "l_partkey").alias("place"))
+    best = rows.groupBy("l_orderkey").agg(F.min_by("url", "place").alias("url"))
     return best.select("l_orderkey", F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias("part"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import for_matching, tokens
 from ..operators import criteria as c
 from ..operators import keywords as k
+from ..operators import settings
 from ..sources.tables import NOW_SPARK, NOW_SQL, PROFILES_SQL, RUNS_SQL, WITH, items, profile_runs, profiles, table, tenders
 from .registry import query
 
@@ -290,9 +291,32 @@ def enabled_sources(spark, sf_dir):
 
 @query("clean_platforms", f"{WITH} SELECT tender_id, CASE platform WHEN 'fabrikant' THEN 'fabrikant,eis' WHEN 'eis' THEN 'eis,fabrikant' ELSE concat(platform, ',fabrikant,eis') END AS platforms FROM tenders")
 def clean_platforms(spark, sf_dir):
-    alias = F.transform(F.array("platform", F.lit("fabricant"), F.lit("eis"), F.lit("nowhere"), F.lit("fabrikant")), lambda x: F.when(x == "fabricant", "fabrikant").otherwise(x))
-    known = F.filter(alias, lambda x: x.isin("eis", "b2b_center", "fabrikant", "rts_tender", "tmk", "rosatom"))
-    return tenders(spark, sf_dir).select("tender_id", F.array_join(F.array_distinct(known), ",").alias("platforms"))
+    listed = F.array("platform", F.lit("fabricant"), F.lit("eis"), F.lit("nowhere"), F.lit("fabrikant"))
+    return tenders(spark, sf_dir).select("tender_id", F.array_join(settings.clean_platforms(listed), ",").alias("platforms"))
+
+
+_ASKED = {
+    "keywords": "CASE WHEN c_custkey % 3 = 0 THEN {l}'насос', CAST(c_custkey AS STRING){r} END", "platforms": "CASE WHEN c_custkey % 4 = 0 THEN {l}'tmk'{r} WHEN c_custkey % 4 = 1 THEN {l}{r} END",
+    "exclusions": "CASE WHEN c_custkey % 5 = 0 THEN {l}'кресло'{r} END", "regions": "CASE WHEN c_custkey % 6 = 0 THEN {l}'Тверь'{r} END",
+}
+_OWN = {"keywords": "keywords", "platforms": "CASE WHEN profile_id % 2 = 0 THEN {l}'eis', 'rosatom'{r} ELSE {l}{r} END", "exclusions": "{l}{r}", "regions": "regions"}
+_DEFAULTS = {"keywords": ["подшипник"], "platforms": ["eis"], "exclusions": ["мебель", "стол"]}
+_FIRST = ", ".join(
+    f"array_to_string(CASE WHEN len(a_{x}) > 0 THEN a_{x} WHEN len(o_{x}) > 0 THEN o_{x} ELSE CAST([{', '.join(repr(v) for v in _DEFAULTS.get(x, []))}] AS VARCHAR[]) END, ',') AS {x}" for x in settings.SETTINGS
+)
+
+
+@query(
+    "resolve_all_settings",
+    f"""{_P}, o AS (SELECT profile_id, {", ".join(f"CAST({v.format(l='[', r=']')} AS VARCHAR[]) AS o_{x}" for x, v in _OWN.items())} FROM profiles WHERE enabled),
+    a AS (SELECT c_custkey, c_nationkey * 10 + ascii(c_mktsegment) % 10 AS profile_id, {", ".join(f"CAST({v.format(l='[', r=']')} AS VARCHAR[]) AS a_{x}" for x, v in _ASKED.items())} FROM customer)
+    SELECT c_custkey, {_FIRST} FROM a LEFT JOIN o ON a.profile_id = o.profile_id""",
+)
+def resolve_all_settings(spark, sf_dir):
+    asked = [f"CAST({v.format(l='array(', r=')')} AS array<string>) AS asked_{x}" for x, v in _ASKED.items()]
+    searches = table(spark, sf_dir, "customer").selectExpr("c_custkey", "CAST(c_nationkey * 10 + ascii(c_mktsegment) % 10 AS BIGINT) AS profile_id", *asked)
+    own = profiles(spark, sf_dir).selectExpr("profile_id", "enabled", *[f"CAST({v.format(l='array(', r=')')} AS array<string>) AS {x}" for x, v in _OWN.items()])
+    return settings.resolve(searches, own, _DEFAULTS).select("c_custkey", *[F.array_join(x, ",").alias(x) for x in settings.SETTINGS])
 
 
 @query(
@@ -312,5 +336,16 @@ def resolve_settings(spark, sf_dir):
     f"{_P} SELECT DISTINCT concat('user', CAST(c_custkey % 12 AS STRING)) AS user_id, 'Основной' AS name FROM customer WHERE concat('user', CAST(c_custkey % 12 AS STRING)) NOT IN (SELECT user_id FROM profiles)",
 )
 def default_profiles(spark, sf_dir):
-    users = table(spark, sf_dir, "customer").select(F.expr("concat('user', CAST(c_custkey % 12 AS STRING))").alias("user_id")).distinct()
-    return users.join(profiles(spark, sf_dir).select("user_id"), "user_id", "left_anti").select("user_id", F.lit("Основной").alias("name"))
+    users = table(spark, sf_dir, "customer").select(F.expr("concat('user', CAST(c_custkey % 12 AS STRING))").alias("user_id"))
+    return settings.default_profiles(users, profiles(spark, sf_dir), users.distinct()).select("user_id", "name")
+
+
+@query(
+    "default_profile_criteria",
+    f"{_P} SELECT user_id, 'Основной' AS name, min(c_acctbal) AS min_price, count(*) AS n FROM (SELECT concat('user', CAST(c_custkey % 12 AS STRING)) AS user_id, c_acctbal FROM customer) WHERE user_id NOT IN (SELECT user_id FROM profiles) GROUP BY 1",
+)
+def default_profile_criteria(spark, sf_dir):
+    """The criteria that a user had before go into the profile."""
+    users = table(spark, sf_dir, "customer").select(F.expr("concat('user', CAST(c_custkey % 12 AS STRING))").alias("user_id"), "c_acctbal")
+    criteria = users.groupBy("user_id").agg(F.min("c_acctbal").alias("min_price"), F.count("*").alias("n"))
+    return settings.default_profiles(users, profiles(spark, sf_dir), criteria).select("user_id", "name", "min_price", "n")
