@@ -30,6 +30,8 @@ from .common import documents, slices, text_rows
 LEAST, NORMAL, MOST = 24, 64, 256
 #: Leading zero bits that end a chunk before and after the normal size: 1 byte in 256, then 1 in 16.
 STRICT, LAX = np.uint32(24), np.uint32(28)
+#: Rows of an id range beyond which there are more ranges, and the most ranges whose bounds the driver keeps.
+RANGE_ROWS, MOST_RANGES = 50_000, 20_000
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=2654435761) for b in range(256)], np.uint32)
 
 
@@ -140,11 +142,13 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The next document follows in id order, rows with one id in order of their text; after the last
     comes the first.  A row with a null id has no place there: its own text serves as the next.
-    Null texts are empty.  ``parts`` id ranges (shuffle partitions by default) have one task each.
+    Null and empty texts have an empty fingerprint.  ``parts`` id ranges have one task each: by default as many as shuffle partitions,
+    and more, up to MOST_RANGES, where a range would exceed RANGE_ROWS; rows that repeat one id share a range.  A very long text is held by one task, with its next one.
+    An empty table gives no rows.  Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     rows = text_rows(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, docs.count() // RANGE_ROWS))
     cuts = rows.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     at = np.unique(np.array(cuts, np.float64)).astype(np.int64)
 

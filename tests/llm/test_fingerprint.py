@@ -1,9 +1,10 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 
-from bidlens.llm.fingerprint import GEAR, MOST, boundaries, chunks, fingerprints, gear_hash, likeness, packed, unpacked
+from bidlens.llm.fingerprint import GEAR, LEAST, MOST, NORMAL, boundaries, chunks, fingerprints, gear_hash, likeness, packed, unpacked
 
 from .cases import empty_rows, odd_rows
 
@@ -29,6 +30,35 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert likeness(whole, whole) == 1.0 and likeness({}, {}) == 1.0 and likeness(whole, {}) == 0.0
 
 
+def plain_boundaries(data):
+    """The same rule a byte at a time: a laxer end from the normal size on, a stricter one before, none below the least size."""
+    out, start, h = [], 0, 0
+    for i, b in enumerate(data):
+        h = (2 * h + int(GEAR[b])) % 2**32
+        size = i + 1 - start
+        if size == MOST or (size >= NORMAL and h >> 28 == 0) or (LEAST <= size <= NORMAL and h >> 24 == 0):
+            out.append(i + 1)
+            start = i + 1
+    return out if start == len(data) else [*out, len(data)]
+
+
+def test_boundaries_equal_the_plain_rule():
+    rng = random.Random(7)
+    for _ in range(300):
+        n, letters = rng.choice([0, 1, 23, 24, 25, 64, 300, 3000]), rng.choice(["ab", "abcdefgh ", "é日x "])
+        data = "".join(rng.choice(letters) for _ in range(n)).encode()
+        assert boundaries(data) == plain_boundaries(data)
+
+
+def test_likeness_equals_shared_weight():
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ({bytes([k]): rng.randint(1, 9) for k in rng.sample(range(12), rng.randint(1, 9))} for _ in range(2))
+        bag = lambda x: Counter(k for k, w in x.items() for _ in range(w))
+        shared = sum((bag(a) & bag(b)).values())
+        assert likeness(a, b) == shared / min(sum(a.values()), sum(b.values())) == likeness(b, a)
+
+
 def test_next_and_edited_texts(spark):
     rng = random.Random(3)
     rows = [(i * 7 % 101, "".join(rng.choice("abc def") for _ in range(rng.randint(0, 300)))) for i in range(101)]
