@@ -40,3 +40,32 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in safe.collect()} == kept - {300, 301, 302}
     packed = p.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == kept - {300, 301, 302}
+
+
+def _tables(spark, sf, docs, labels, items):
+    spark.createDataFrame(docs, COLUMNS).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    _tables(spark, str(tmp_path), [], [], [])
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_are_no_boilerplate(spark, tmp_path):
+    """Near copies that make up more than the ratio of a source keep their lines; a line of many different pages goes."""
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("ba", "de", "fi", "go", "hu", "ja")]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    article = [line(25) for _ in range(5)]
+    docs = [(i, "\n".join([line(30), line(30), "read our terms"]), "en", "s", 0) for i in range(60)]
+    for i in range(12):
+        copy = list(article)
+        copy[i % 5] = copy[i % 5] + f" edit{i}"
+        docs.append((100 + i, "\n".join(copy), "en", "s", 0))
+    _tables(spark, str(tmp_path), docs, [], [])
+    cut = {r["doc_id"]: r["text"] for r in p.line_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    texts = {d[0]: d[1] for d in docs}
+    assert all(cut[100 + i] == texts[100 + i] for i in range(12))
+    assert all("terms" not in cut[i] and cut[i] == texts[i].rsplit("\n", 1)[0] for i in range(60))
