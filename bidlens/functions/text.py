@@ -100,7 +100,8 @@ def clean_list(c: Column) -> Column:
 
 
 #: Keys and scalars of a JSON text in order; a key keeps its colon.
-_JSON_TOKEN = r'"(?:[^"\\]|\\.)*"\s*:?|-?\d[\d.eE+-]*|true|false|null'
+#: Every repetition is possessive: a repeated group that may give back recurses once a round, and a long value ends the JVM.
+_JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?|-?\d[\d.eE+-]*+|true|false|null'
 
 
 def flatten_json(c: Column) -> Column:

@@ -176,3 +176,12 @@ def test_upsert_keeps_first_seen(spark):
     assert {tuple(r) for r in state.upsert(old, new, "k").collect()} == {(1, 7.0, one, two), (2, 6.0, one, one), (3, 8.0, two, two)}
     events = {r["k"]: r["event_type"] for r in state.change_events(old, new, "k", ["price"]).collect()}
     assert events == {1: "updated", 3: "created"}
+
+
+def test_json_texts_of_any_length_and_depth(spark):
+    """A million characters, as many escapes, and 200 levels: no pattern may recurse once a character."""
+    deep = '{"a":' * 200 + '"внутри"' + "}" * 200
+    rows = [("long", '{"text":"' + "я" * 1_000_000 + '"}'), ("escaped", '["' + '\\"' * 500_000 + '"]'), ("deep", deep), ("plain", "x" * 1_000_000), ("wide", "[" + ",".join('{"k":"v"}' for _ in range(50_000)) + "]")]
+    got = {r["name"]: r for r in spark.createDataFrame(rows, "name string, j string").select("name", t.flatten_json(F.col("j")).alias("flat")).selectExpr("name", "length(flat) AS n", "left(flat, 20) AS head").collect()}
+    assert {k: v["n"] for k, v in got.items()} == {"long": 1_000_000, "escaped": 500_000, "deep": 6, "plain": 1_000_000, "wide": 2 * 50_000 - 1}
+    assert got["deep"]["head"] == "внутри" and got["escaped"]["head"] == '"' * 20
