@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import by_ids, materialize, release, unused
 
 NAMES = ("reply_to", "thread", "depth", "n_quoted", "n_linked", "order_key")
-MARKS = r"^[ \t]*((?:>[ \t]*)+)"
+MARKS = r"^[ \t]*(>[> \t]*)"
 
 
 def _level(line: Column) -> Column:
@@ -101,8 +101,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unquote(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", "role", "text", "reply_to", "thread", "depth", "n_quoted", "n_linked", "order_key")
 
 
-_L = r"length(regexp_replace(regexp_extract(x, '^[ \t]*((?:>[ \t]*)+)', 1), '[^>]', '', 'g'))"
-_N = r"trim(regexp_replace(lower(regexp_replace(x, '^[ \t]*((?:>[ \t]*)+)', '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_L = r"length(regexp_replace(regexp_extract(x, '^[ \t]*(>[> \t]*)', 1), '[^>]', '', 'g'))"
+_N = r"trim(regexp_replace(lower(regexp_replace(x, '^[ \t]*(>[> \t]*)', '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
 
 def _sql_passages(lines: str) -> str:
@@ -112,7 +112,7 @@ def _sql_passages(lines: str) -> str:
 
 OP8_SQL = f"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split(coalesce(text, ''), chr(10)) AS lines,
-       coalesce(regexp_matches(text, '(?m)^[ \t]*((?:>[ \t]*)+)'), false) AS quoting FROM conversations),
+       coalesce(regexp_matches(text, '(?m)^[ \t]*(>[> \t]*)'), false) AS quoting FROM conversations),
 q AS (SELECT conv_id, turn, level, unnest({_sql_passages("list_filter(lines, lambda x: " + _L + " = level)")}) AS p
       FROM (SELECT *, unnest(list_distinct(list_filter(list_transform(lines, lambda x: {_L}), lambda v: v > 0))) AS level FROM m WHERE quoting)),
 o AS (SELECT conv_id, min(turn) AS source, p FROM (SELECT conv_id, turn, unnest({_sql_passages("list_filter(lines, lambda x: " + _L + " = 0)")}) AS p FROM m) GROUP BY conv_id, p),

@@ -27,7 +27,7 @@ LITERAL_EXCEPTIONS = 5_000
 WIDE = 8
 
 _WORD = r"\p{L}\p{N}"
-EMAIL = rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@[{_WORD}-]++(?:\.[{_WORD}-]++)+"
+EMAIL = rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@[{_WORD}-]++(?:\.[{_WORD}-]++)++"
 SECRET = r"(?i:(?<=token = \")|(?<=token=\")|(?<=token=)|(?<=password=)|(?<=password = )|(?<=secret=)|(?<=api_key=)|(?<=apikey=))[A-Za-z0-9_\-]{8,128}"
 # How keys of well-known services begin.
 SERVICE = r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_-]{35}|xox[abp]-[0-9A-Za-z-]{10,72}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9_-])"

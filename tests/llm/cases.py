@@ -1,6 +1,8 @@
 """Rows that every operator has to bear."""
 
-LONG = " ".join(f"word{i} and more" for i in range(20_000))
+#: Ordinary words, and then the long runs that patterns may stumble over: labels of a host, quote marks, digits, a JSON text.
+RUNS = ["a@b" + ".c" * 200_000, ">" * 200_000, "> " * 100_000, "7" * 100_000, '{"k":"' + "v" * 200_000 + '\\"' * 50_000 + '"}']
+LONG = " ".join(f"word{i} and more" for i in range(20_000)) + "\n" + "\n".join(RUNS)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, salt string, lo long, score double"
 #: More names that operators might use for themselves.
 CLASHING = ["_host", "_left", "_bad", "_found", "_late", "_rank", "_id", "_digest", "c", "t", "k", "h", "class", "page", "host_key", "found", "after", "held", "row", "key", "root", "gram", "n_lines", "thread", "length"]
