@@ -10,8 +10,9 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .pii import op7_pii
 from .packing import op10_best_fit_packing
+from .secret_scan import OP11_SQL, op11_secret_scan
 from .token_counts import op9_token_counts
 from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_document_fingerprints, op4_line_dedup, op5_benchmark_decontamination, op6_license_scan, op7_pii, op8_chat_format, op9_token_counts, op10_best_fit_packing)}
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_license_scan": OP6_SQL, "op8_chat_format": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_document_fingerprints, op4_line_dedup, op5_benchmark_decontamination, op6_license_scan, op7_pii, op8_chat_format, op9_token_counts, op10_best_fit_packing, op11_secret_scan)}
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_license_scan": OP6_SQL, "op8_chat_format": OP8_SQL, "op11_secret_scan": OP11_SQL}
