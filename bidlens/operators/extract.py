@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as t
 
@@ -53,17 +52,17 @@ def header_rows(pages: DataFrame, names: dict[str, str], key: str = "page_id", h
     return rows.select(key, "row_no", *[value(h).alias(n) for n, h in names.items()])
 
 
-def cards(pages: DataFrame, mark: str, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, card_no, card): page parts from each opening mark to the next."""
+def cards(pages: DataFrame, mark: str, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kept columns, card_no, card): page parts from each opening mark to the next."""
     parts = F.split(html, mark)
-    return pages.select(key, F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("card_no", "card"))
+    return pages.select(key, *keep, F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("card_no", "card"))
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, kept columns, link_no, target, label) for links with a target, also those in data attributes."""
-    whole = F.regexp_extract_all(html, F.lit(LINK), 0)
-    rows = pages.select(key, *keep, F.posexplode(whole).alias("link_no", "a"))
-    return rows.select(key, *keep, "link_no", t.unescape(F.regexp_extract("a", LINK, 1)).alias("target"), strip_tags(F.regexp_extract("a", LINK, 2)).alias("label")).where("target <> ''")
+    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(LINK), 1).alias("t"), F.regexp_extract_all(html, F.lit(LINK), 2).alias("l"))
+    rows = pages.select(key, *keep, F.posexplode(both).alias("link_no", "a"))
+    return rows.select(key, *keep, "link_no", t.unescape(F.col("a.t")).alias("target"), strip_tags(F.col("a.l")).alias("label")).where("target <> ''")
 
 
 def absolute(target: Column, url: Column) -> Column:
@@ -115,11 +114,6 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(masked, r"(https?://[^\s#\"']*)#[^\s\"']*", "$1")
 
 
-def first_of_page(rows: DataFrame, by: list[str], order: str) -> DataFrame:
-    """The first row of each group, for a link that a page lists several times."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where("_k = 1").drop("_k")
-
-
 FEED_SCHEMA = "title string, link string, guid string, description string, pubDate string"
 
 

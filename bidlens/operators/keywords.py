@@ -148,3 +148,53 @@ def query_relevance_substring(text: Column, query: str, external_id: Column | No
     if query.isdigit() and external_id is not None:
         return external_id == query
     return F.exists(F.array(*[F.lit(g) for g in group]), lambda g: F.contains(for_search(text), g))
+
+
+#: Letters of a gram; shorter forms are grams themselves.
+GRAM = 3
+#: Grams of all queries that may be broadcast.
+BROADCAST_GRAMS = 500_000
+
+
+def grams(text: Column, sizes: tuple[int, ...] = (GRAM,)) -> Column:
+    """Distinct runs of so many letters of a text."""
+
+    def of(chars: Column, q: int) -> Column:
+        return F.transform(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (q - 1), F.lit(0))), lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, q)]))
+
+    # the letters are bound once: inside the lambda they would be parted anew for each of them
+    return F.array_distinct(F.flatten(F.get(F.transform(F.array(F.split(text, "")), lambda chars: F.array(*[of(chars, q) for q in sizes])), 0)))
+
+
+def query_forms(queries: DataFrame, column: str = "query") -> DataFrame:
+    """(query, form) of distinct queries in search form: all forms of the group that a query is in, else itself."""
+    groups = F.create_map(*[x for g in QUERY_FORMS.values() for form in g for x in (F.lit(form), F.array(*[F.lit(f) for f in g]))])
+    normal_form = for_search(F.col(column))
+    rows = queries.select(F.col(column).alias("query")).distinct().withColumn("plain", normal_form if column == "query" else for_search(F.col("query"))).where("plain <> ''")
+    return rows.select("query", "plain", F.explode(F.coalesce(groups[F.col("plain")], F.array("plain"))).alias("form"))
+
+
+def substring_matches(texts: DataFrame, queries: DataFrame, *, id_col: str, text_col: str, external_id_col: str | None = None, query_col: str = "query") -> DataFrame:
+    """(id, query): texts that hold any form of a query anywhere in their search form; a numeric query has to be the row's external id where one is given.
+
+    Each form is looked for by its rarest gram in an inverted index of the texts' grams, so a query costs what holds that gram and not a
+    look at every text.  The texts' grams are counted, and kept, only where some form has them.
+    """
+    forms = query_forms(queries, query_col)
+    numeric = F.rlike("plain", F.lit("^[0-9]+$"))
+    exact = None
+    if external_id_col is not None:
+        exact = texts.select(id_col, F.col(external_id_col).alias("plain")).join(forms.where(numeric).select("query", "plain").distinct(), "plain").select(id_col, "query")
+        forms = forms.where(~numeric)
+    size = F.least(F.length("form"), F.lit(GRAM))
+    parts = forms.select("query", "form", F.explode(F.when(size == 1, grams(F.col("form"), (1,))).when(size == 2, grams(F.col("form"), (2,))).otherwise(grams(F.col("form")))).alias("gram"))
+    wanted = parts.select("gram").distinct()
+    if wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        wanted = F.broadcast(wanted)
+    lengths = tuple(sorted(r[0] for r in forms.select(size).distinct().collect())) or (GRAM,)  # three at most
+    said = texts.select(id_col, for_search(F.col(text_col)).alias("said"))
+    index = said.select(id_col, F.explode(grams(F.col("said"), lengths)).alias("gram")).join(wanted, "gram", "left_semi")
+    held = index.groupBy("gram").agg(F.count("*").alias("texts"))
+    rarest = parts.join(held, "gram", "left").groupBy("query", "form").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("g")).where("g.texts > 0").select("query", "form", F.col("g.gram").alias("gram"))
+    met = index.join(rarest, "gram").select(id_col, "query", "form").join(said, id_col).where(F.contains("said", F.col("form"))).select(id_col, "query").distinct()
+    return met if exact is None else met.unionByName(exact)

@@ -33,9 +33,9 @@ def changed(old: str, new: str, fields) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """new over old by key; first_seen_at stays, updated_at is the new row's."""
-    joined = old.alias("o").join(new.alias("n"), key, "full_outer")
-    fresh = F.col("n.updated_at").isNotNull()
+    """new over old by key; first_seen_at stays, all else, nulls too, is the new row's."""
+    joined = old.alias("o").join(new.withColumn("_fresh", F.lit(True)).alias("n"), key, "full_outer")
+    fresh = F.col("n._fresh").isNotNull()
     columns = []
     for c in new.columns:
         if c == key:

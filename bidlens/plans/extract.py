@@ -6,25 +6,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from ..operators import containers as box
 from ..operators import extract as x
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 def _order_rows(spark, sf_dir):
     return table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "dd.MM.yyyy")).withColumn("amount", F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"))
 
 
-#: Orders of a page; a customer with more has several pages.
-PAGE_ROWS = 1_000
-
-
 def _pages(spark, sf_dir, row: str, head: str = "", tail: str = ""):
-    """Pages of a customer with a marked-up row per order, about PAGE_ROWS a page, so that no group is as large as a customer."""
-    rows = _order_rows(spark, sf_dir).selectExpr("o_custkey AS page_id", "o_orderkey", f"{row} AS row")
-    hot = rows.groupBy("page_id").agg(F.ceil(F.count("*") / PAGE_ROWS).alias("pages")).where("pages > 1")
-    dealt = rows.join(hot, "page_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("o_orderkey"), F.col("pages")), F.lit(0)))
-    parts = dealt.groupBy("page_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda r: r["row"]), "").alias("body"))
-    return parts.select("page_id", F.concat(F.lit(head), "body", F.lit(tail)).alias("html"))
+    """A page of an order, a row of a customer's listing."""
+    rows = _order_rows(spark, sf_dir).selectExpr("o_custkey AS page_id", "'https://zakupki.example/epz/search' AS url", f"{row} AS row")
+    return rows.select("page_id", "url", F.concat(F.lit(head), "row", F.lit(tail)).alias("html"))
 
 
 _TABLE_ROW = """concat('<tr class="r"><td><a href="/market/?id=', CAST(o_orderkey AS STRING), '">№ ', CAST(o_orderkey AS STRING), '</a></td><td>&laquo;', o_orderpriority, '&raquo;</td><td> ', day, ' 10:15 </td><td>', amount, '&nbsp;руб.</td></tr>')"""
@@ -53,21 +47,63 @@ def extract_positional_table(spark, sf_dir):
     return rows.select("page_id", part(1).alias("external_id"), part(2).alias("lot"), F.regexp_replace(F.get("cells", 1), r"(?iU)^стадия\s*:\s*", "").alias("title"))
 
 
-_CARD = """concat('<div class="registry-entry"><span>44-ФЗ Электронный аукцион</span><a href="/epz/order?regNumber=', lpad(CAST(o_orderkey AS STRING), 11, '0'), '">№ x</a><div>Объект закупки</div><div>', o_orderpriority, ' &amp; Co</div><div>Начальная цена ', amount, ' ₽</div><div>Размещено ', day, '</div></div>')"""
+_SOON = "CAST(year(o_orderdate) + 20 AS STRING)"
+_DAY20 = f"concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '.', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '.', {_SOON})"
+_AT20 = "make_timestamp(year(o_orderdate) + 20, month(o_orderdate), day(o_orderdate), {}, {}, 0)"
+_PROCEDURE = "CASE o_orderkey % 3 WHEN 0 THEN 'Электронный аукцион' WHEN 1 THEN 'Запрос предложений' ELSE '' END"
+_CARD = f"""concat('<div class="registry-entry"><span>', CASE o_orderkey % 2 WHEN 0 THEN '44-ФЗ ' ELSE '223-ФЗ ' END, {_PROCEDURE}, '</span> <b>', CASE o_orderstatus WHEN 'F' THEN 'Контракт исполнен' ELSE 'Подача заявок' END, '</b>',
+  CASE WHEN o_orderkey % 5 = 0 THEN concat('<i>№ ', lpad(CAST(o_orderkey AS STRING), 19, '3'), '</i>') ELSE concat('<a href="/help">Справка</a><a href="/epz/order/notice/view?x=1&amp;regNumber=', lpad(CAST(o_orderkey AS STRING), 11, '0'), '">№ x</a>') END,
+  CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('<div>Объект закупки</div><div>', o_orderpriority, ' &amp; Co</div>') END, '<div>Заказчик: ООО Вектор ', CAST(o_custkey AS STRING), '</div><div>Регион: Тверская область</div><div>Начальная цена ', amount, ' ₽</div><div>Размещено ', {_DAY20}, '</div><div>Окончание подачи заявок ', {_DAY20}, ' 09:30</div></div>')"""
+_CARD_ID = "CASE WHEN o_orderkey % 5 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 19, '3') ELSE lpad(CAST(o_orderkey AS VARCHAR), 11, '0') END"
 
 
-@query("extract_cards", "SELECT o_custkey AS page_id, lpad(CAST(o_orderkey AS VARCHAR), 11, '0') AS external_id, o_orderpriority || ' & Co' AS title, round(o_totalprice, 2) AS price, o_orderdate AS published_at, '44-ФЗ' AS law_type FROM orders")
+@query(
+    "extract_cards",
+    f"""SELECT o_custkey AS page_id, {_CARD_ID} AS external_id, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'https://zakupki.example/epz/order/notice/view?x=1&regNumber=' || {_CARD_ID} END AS url, CASE WHEN o_orderkey % 7 = 0 THEN 'Закупка ' || {_CARD_ID} ELSE o_orderpriority || ' & Co' END AS title, round(o_totalprice, 2) AS price,
+    'ООО Вектор ' || o_custkey AS customer, {_AT20.format(12, 0)} AS published_at, {_AT20.format(9, 30)} AS deadline, 'Тверская область' AS region, CASE o_orderkey % 2 WHEN 0 THEN '44-ФЗ' ELSE '223-ФЗ' END AS law_type, {_PROCEDURE} AS procurement_method,
+    CASE o_orderstatus WHEN 'F' THEN 'Контракт исполнен' ELSE 'Подача заявок' END AS status FROM orders""",
+)
 def extract_cards(spark, sf_dir):
-    rows = x.cards(_pages(spark, sf_dir, _CARD), '<div class="registry-entry">').withColumn("txt", x.strip_tags(F.col("card")))
-    law = F.when(F.rlike("txt", F.lit(r"(?iU)44\s*-?\s*фз")), "44-ФЗ").when(F.rlike("txt", F.lit(r"(?iU)223\s*-?\s*фз")), "223-ФЗ").otherwise("")
-    return rows.select(
-        "page_id",
-        F.regexp_extract("card", r"regNumber=(\d{11,})", 1).alias("external_id"),
-        x.labelled(F.col("txt"), "Объект закупки", ("Начальная цена",)).alias("title"),
-        x.money(x.labelled(F.col("txt"), "Начальная цена", ("₽",))).alias("price"),
-        t.dotted_time(x.labelled(F.col("txt"), "Размещено")).alias("published_at"),
-        law.alias("law_type"),
-    )
+    cards = x.cards(_pages(spark, sf_dir, _CARD), '<div class="registry-entry">', keep=("url",))
+    return box.registry_cards(cards.drop("card_no"))
+
+
+_LISTING = f"""concat('<html><body><div class="page"><h1>Результаты поиска</h1><div class="outer CARD"><h3>Поставка муфт ', o_orderpriority, '</h3>Опубликовано ', {_DAY20}, ' 10:15 <a class="t" href="/tender-', lpad(CAST(o_orderkey AS STRING), 7, '1'), '/">Тендер</a> Заказчик: ООО ', o_orderpriority, '; цена ', amount, ' руб.',
+  '<ul><li>Размещено ', {_DAY20}, '<p>до ', {_DAY20}, ' 17:00</p><a href="/procedure-', lpad(CAST(o_custkey AS STRING), 8, '2'), '?a=1&amp;b=2">Насосы ', o_orderpriority, '</a></ul>',
+  '<table><tr><td><b>x</b></td><td><a href="/tender-', lpad(CAST(o_orderkey AS STRING), 7, '1'), '/again">Повтор</a></td></tr></table></div><a href="https://other.example/tender-7777777/">чужой</a><a href="/news/8888888/">новость</a><script>var a = "<a href=/tender-9999999>x</a>";</script><!-- <a href="/tender-6666666">y</a> --></body></html>') AS html"""
+_MOSCOW = "timezone('UTC', timezone('Europe/Moscow', {}))"
+
+
+@query(
+    "extract_container_links",
+    f"""WITH o AS (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS amount FROM orders)
+    SELECT o_orderkey AS page_id, lpad(o_orderkey::VARCHAR, 7, '1') AS external_id, 'https://www.b2b.example/tender-' || lpad(o_orderkey::VARCHAR, 7, '1') || '/' AS url, 'Поставка муфт ' || o_orderpriority AS title,
+    'Поставка муфт ' || o_orderpriority || ' Опубликовано ' || {_DAY20} || ' 10:15 Тендер Заказчик: ООО ' || o_orderpriority || '; цена ' || amount || ' руб. Размещено ' || {_DAY20} || ' до ' || {_DAY20} || ' 17:00 Насосы ' || o_orderpriority || ' x Повтор' AS description,
+    {_MOSCOW.format(_AT20.format(10, 15))} AS published_at, {_MOSCOW.format(_AT20.format(17, 0))} AS deadline, round(o_totalprice, 2) AS price, 'ООО ' || o_orderpriority AS customer FROM o
+    UNION ALL SELECT o_orderkey, lpad(o_custkey::VARCHAR, 8, '2'), 'https://www.b2b.example/procedure-' || lpad(o_custkey::VARCHAR, 8, '2') || '?a=1&b=2', 'Насосы ' || o_orderpriority, 'Размещено ' || {_DAY20} || ' до ' || {_DAY20} || ' 17:00 Насосы ' || o_orderpriority,
+    {_MOSCOW.format(_AT20.format(0, 0))}, {_MOSCOW.format(_AT20.format(17, 0))}, NULL, '' FROM o""",
+)
+def extract_container_links(spark, sf_dir):
+    """Nested cards: each procedure with the text and the dates of its own container, the first link of an id."""
+    pages = spread(_order_rows(spark, sf_dir)).selectExpr("o_orderkey AS page_id", "'https://www.b2b.example/market/' AS url", _LISTING)
+    return box.listed_cards(pages)
+
+
+_NAV = """concat('<ul><li><a href="/lot/purchase/', lpad(CAST(o_orderkey AS STRING), 7, '3'), '">', o_orderpriority, ' &amp; Co</a></li><li><span data-href="lots/', lpad(CAST(o_custkey AS STRING), 6, '5'), '/"><b>Лот</b> ', o_orderpriority, '</span></li>',
+  '<li>Аукцион ', o_orderpriority, " <button onclick=\\"window.location.href = '/auction/", lpad(CAST(o_orderkey AS STRING), 8, '4'), "';\\">ok</button></li>", '<li><a href="#top">Наверх страницы</a><a href="javascript:go(1234567)">Дальше по списку</a><a href="/about">О площадке</a></li>',
+  '<li><a href="https://else.example/purchase/1234567">Чужая закупка</a><a data-routerlink="/again/tender/', lpad(CAST(o_orderkey AS STRING), 7, '3'), '">Повтор закупки</a></li></ul>') AS html"""
+
+
+@query(
+    "extract_page_links",
+    """SELECT o_orderkey AS page_id, lpad(o_orderkey::VARCHAR, 7, '3') AS external_id, 'https://rts.example/lot/purchase/' || lpad(o_orderkey::VARCHAR, 7, '3') AS url, o_orderpriority || ' & Co' AS title FROM orders
+    UNION ALL SELECT o_orderkey, lpad(o_custkey::VARCHAR, 6, '5'), 'https://rts.example/lots/' || lpad(o_custkey::VARCHAR, 6, '5') || '/', 'Лот ' || o_orderpriority FROM orders
+    UNION ALL SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 8, '4'), 'https://rts.example/auction/' || lpad(o_orderkey::VARCHAR, 8, '4'), 'Аукцион ' || o_orderpriority || ' ok' FROM orders""",
+)
+def extract_page_links(spark, sf_dir):
+    """Procedures behind links, data attributes and click handlers of a page's own host."""
+    pages = spread(_order_rows(spark, sf_dir)).selectExpr("o_orderkey AS page_id", "'https://rts.example/search' AS url", _NAV)
+    return box.listed_links(pages)
 
 
 _SQL_LINKS = r"""unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\b(?:href|data-href|routerlink)=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1))"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import for_matching, tokens
 from ..operators import criteria as c
 from ..operators import keywords as k
+from ..operators import profiles as pr
 from ..operators import settings
 from ..sources.tables import NOW_SPARK, NOW_SQL, PROFILES_SQL, RUNS_SQL, WITH, items, profile_runs, profiles, table, tenders
 from .registry import query
@@ -216,19 +217,49 @@ def _sql_words() -> str:
     WHERE list_contains(p.regions, t.region)""",
 )
 def match_profiles(spark, sf_dir):
-    ps, ts = profiles(spark, sf_dir).where("enabled"), _texts(spark, sf_dir)
-    found = k.keyword_matches(ts, ps.select(F.explode("keywords").alias("keyword")), id_col="tender_id", text_col="txt")
-    # regions are put in normal form once a tender and once a profile, and a tender's keywords are one row
-    said = found.groupBy("tender_id").agg(F.collect_set("keyword").alias("said"))
-    asking = ps.withColumn("asked", c.wanted_regions(F.col("regions"))).drop("name")
-    with_region = ts.withColumn("mine", c.own_regions(F.col("region"))).join(said, "tender_id")
-    rows = with_region.withColumn("keyword", F.explode("said")).join(asking.withColumn("keyword", F.explode("keywords")), "keyword")
-    # of the keywords that a profile and a tender share, the first in order makes the pair
-    shared = F.array_min(F.array_intersect("keywords", "said")) == F.col("keyword")
-    kept = rows.where(shared & c.regions_overlap(F.col("region"), F.col("mine"), F.col("asked")))
+    kept = pr.match_keywords(_texts(spark, sf_dir), profiles(spark, sf_dir).where("enabled"), text_col="txt")
     return kept.select("profile_id", "tender_id", c.reject_reason(F.expr(NOW_SPARK)).alias("reason"))
 
 
+#: Profiles of which some have no keywords, some exclude words, some ask for a time before the deadline, and few have limits besides.
+_OPEN = {
+    "keywords": "CASE WHEN profile_id % 3 = 0 THEN CAST({l}{r} AS {t}) WHEN profile_id % 3 = 1 THEN CAST({l}' '{r} AS {t}) ELSE CAST(keywords AS {t}) END", "exclusions": "CASE WHEN profile_id % 2 = 0 THEN CAST({l}'кресло', 'Ремонт'{r} AS {t}) ELSE CAST({l}{r} AS {t}) END",
+    "min_submission_days": "CAST(CASE WHEN profile_id % 4 = 0 THEN 2 ELSE 0 END AS INT)", "max_postpayment_days": "CASE WHEN profile_id % 5 = 0 THEN max_postpayment_days END", "want_advance": "profile_id % 7 = 0", "min_advance_percent": "0.0",
+    "max_application_security_percent": "CAST(NULL AS DOUBLE)", "min_contract_security_percent": "0.0", "max_contract_security_percent": "CAST(NULL AS DOUBLE)",
+}
+_OPEN_SQL = f"o AS (SELECT * REPLACE ({', '.join(f'{v.format(l="[", r="]", t="VARCHAR[]")} AS {x}' for x, v in _OPEN.items() if x != 'exclusions')}), {_OPEN['exclusions'].format(l='[', r=']', t='VARCHAR[]')} AS exclusions FROM profiles WHERE enabled)"
+
+
+@query(
+    "match_profiles_open",
+    f"""{_P}, {_OPEN_SQL}, {_sql_words().replace("FROM profiles", "FROM (SELECT keywords FROM o UNION ALL SELECT exclusions FROM o)")},
+    says AS (SELECT tender_id, list(keyword) AS said FROM m GROUP BY 1), tt AS (SELECT tenders.*, coalesce(said, []) AS said, {_TEXT} AS txt FROM tenders LEFT JOIN says ON tenders.tender_id = says.tender_id),
+    r AS (SELECT p.profile_id, t.tender_id, {_sql_reason()} AS reason FROM o p JOIN tt t ON (list_contains(p.regions, t.region))
+      AND CASE WHEN len(list_filter(keywords, lambda x: trim(x) <> '')) > 0 THEN list_has_any(keywords, said) ELSE length(txt) >= 10 AND {_GATE} AND NOT list_has_any(exclusions, said) END)
+    SELECT profile_id, tender_id FROM r WHERE reason IS NULL""",
+)
+def match_profiles_open(spark, sf_dir):
+    """Pairs that pass, of profiles with keywords and of profiles without any."""
+    asked = {x: F.expr(v.format(l="array(", r=")", t="array<string>")) for x, v in _OPEN.items()}
+    ps = profiles(spark, sf_dir).where("enabled")
+    return pr.match_all(_texts(spark, sf_dir), ps.select(*[x for x in ps.columns if x not in asked], *[v.alias(x) for x, v in asked.items()]), F.expr(NOW_SPARK), text_col="txt")
+
+
+@query(
+    "substring_matches",
+    f"""{_P}, q AS (SELECT DISTINCT unnest(keywords) AS query FROM profiles UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 10 = 0 UNION SELECT * FROM (VALUES ('станками'), ('ав'), ('№ 5%'), ('  '))),
+    f AS (SELECT query, trim(regexp_replace(lower(query), '[^0-9a-zа-яё]+', ' ', 'g')) AS plain FROM q),
+    g AS (SELECT query, plain, CASE {" ".join("WHEN plain IN (" + ", ".join(repr(x) for x in forms) + ") THEN [" + ", ".join(repr(x) for x in forms) + "]" for forms in k.QUERY_FORMS.values())} ELSE [plain] END AS forms FROM f WHERE plain <> ''),
+    s AS (SELECT tender_id, external_id, trim(regexp_replace(lower({_TEXT}), '[^0-9a-zа-яё]+', ' ', 'g')) AS said FROM tenders)
+    SELECT tender_id, query FROM s JOIN g ON CASE WHEN regexp_full_match(plain, '[0-9]+') THEN external_id = plain ELSE len(list_filter(forms, lambda x: contains(said, x))) > 0 END""",
+)
+def substring_matches(spark, sf_dir):
+    """All profiles' keywords, some ids and some odd queries at once."""
+    ids = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").cast("string").alias("query"))
+    asked = profiles(spark, sf_dir).select(F.explode("keywords").alias("query")).unionByName(ids).unionByName(spark.createDataFrame([("станками",), ("ав",), ("№ 5%",), ("  ",)], "query string"))
+    return k.substring_matches(_texts(spark, sf_dir), asked, id_col="tender_id", text_col="txt", external_id_col="external_id")
+
+
 @query(
     "run_funnel",
     f"""{_TOK}, s AS (SELECT *, {_LIMITS}, date_diff('second', published_at, {NOW_SQL}) <= ({_DAYS}) * 86400 AS recent, {_SOFT} AS soft_ok, detail_status <> 'failed' AS detail_ok, {_STRICT} AS strict_ok FROM w),

@@ -185,3 +185,12 @@ def test_json_texts_of_any_length_and_depth(spark):
     got = {r["name"]: r for r in spark.createDataFrame(rows, "name string, j string").select("name", t.flatten_json(F.col("j")).alias("flat")).selectExpr("name", "length(flat) AS n", "left(flat, 20) AS head").collect()}
     assert {k: v["n"] for k, v in got.items()} == {"long": 1_000_000, "escaped": 500_000, "deep": 6, "plain": 1_000_000, "wide": 2 * 50_000 - 1}
     assert got["deep"]["head"] == "внутри" and got["escaped"]["head"] == '"' * 20
+
+
+def test_upsert_takes_new_rows_whose_time_is_unknown(spark):
+    schema = "k long, price double, first_seen_at timestamp, updated_at timestamp"
+    at = dt.datetime(2026, 1, 1)
+    old = spark.createDataFrame([(1, 5.0, at, at), (3, 9.0, at, at)], schema)
+    new = spark.createDataFrame([(1, None, at, None), (2, 7.0, None, None)], schema)
+    got = {r["k"]: (r["price"], r["first_seen_at"], r["updated_at"]) for r in state.upsert(old, new, "k").collect()}
+    assert got == {1: (None, at, None), 2: (7.0, None, None), 3: (9.0, at, at)}
