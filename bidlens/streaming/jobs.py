@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import board, state
+from ..operators import board, criteria, state
 
 #: The status events so far as JSON: [nanoseconds, event_id, value, force], in that order.
 BOARD_STATE = "events string"
@@ -92,8 +92,25 @@ def alert_once(alerts: DataFrame, time: str = "sent_at", horizon: str = "90 days
 
 
 def drop_late(rows: DataFrame, now: Column, days: Column) -> DataFrame:
-    """The lookback as a rule for late rows: the days of each platform decide, row by row, so no state is kept."""
-    return rows.where(F.timestamp_diff("SECOND", F.col("published_at"), now) <= days * 86400)
+    """The lookback as a rule for late rows: the days of each platform decide, row by row, so no state is kept; rows of unknown date stay."""
+    return rows.where(criteria.in_lookback(now, days))
+
+
+def split_late(rows: DataFrame, now: Column, days: Column, target: str, checkpoint: str):
+    """Two outputs of one stream: ``target``/kept/batch=N as :func:`drop_late` keeps them, ``target``/late/batch=N the others with ``delay_seconds`` beyond the lookback.
+
+    A batch that is run again overwrites its own output.
+    """
+    fresh = criteria.in_lookback(now, days)
+    delay = F.timestamp_diff("SECOND", F.col("published_at"), now) - days * 86400
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        marked = batch.withColumns({"_fresh": fresh, "delay_seconds": delay}).persist()
+        marked.where("_fresh").drop("_fresh", "delay_seconds").write.mode("overwrite").parquet(f"{target}/kept/batch={batch_id}")
+        marked.where("not _fresh").drop("_fresh").write.mode("overwrite").parquet(f"{target}/late/batch={batch_id}")
+        marked.unpersist()
+
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
