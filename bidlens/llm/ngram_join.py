@@ -268,8 +268,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
     # Nodes are named by their set's signature; a component by its smallest document id.
     joined = classes.join(roots.withColumnRenamed("node", "lo"), "lo", "left").withColumn("root", F.coalesce("root", "lo"))
     smallest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = joined.join(smallest, "root").where("class_size > 1 or component_id <> rep").select("hi", "lo", "root", "component_id", "class_size")
-    out = rows.join(named, ["hi", "lo"], "left").select(
+    named = materialize(joined.join(smallest, "root").where("class_size > 1 or component_id <> rep").select("hi", "lo", "root", "component_id", "class_size"), "named")
+    # Rows of one set meet its name, and a set may have a third of all rows: the few such sets are broadcast, and empty sets have no name.
+    empty = F.col("n") == 0
+    bound = max(1, rows.count() // 5_000)
+    hot = F.broadcast(named.where(F.col("class_size") >= bound))
+    met = rows.where(~empty).join(hot, ["hi", "lo"])
+    rest = rows.where(~empty).join(hot.select("hi", "lo"), ["hi", "lo"], "left_anti").join(named.where(F.col("class_size") < bound), ["hi", "lo"], "left")
+    out = met.unionByName(rest).unionByName(rows.where(empty), allowMissingColumns=True).select(
         "doc_id",
         "lo",
         F.col("n").alias("n_shingles"),
@@ -278,7 +284,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, d
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
     )
     out = materialize(out, "components")
-    release(base, classes, chosen, roots)
+    release(base, classes, chosen, roots, named)
     return out
 
 
