@@ -139,3 +139,50 @@ def next_statuses(status: Column) -> Column:
     """Allowed next statuses in board order."""
     by = F.create_map(*[x for a, bs in ALLOWED.items() for x in (F.lit(a), F.array(*[F.lit(b) for b in sorted(bs, key=STATUSES.index)]).cast("array<string>"))])
     return by[status]
+
+
+# Display names of statuses, and the words of commands.
+STATUS_NAMES = {
+    "new": "Новый", "reviewing": "Проверить", "participating": "Участвуем", "docs_preparation": "Документы", "submitted": "Подано", "waiting_result": "Ожидание результата", "won": "Победа",
+    "lost": "Проигрыш", "skipped": "Пропускаем",
+}
+VERBS = {"/crm_status": "status", "/статус_тендера": "status", "/assign": "assign", "/ответственный": "assign", "/label": "label_add", "/метка": "label_add"}
+
+
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for item in pairs.items() for x in item])
+
+
+def status_code(said: Column) -> Column:
+    """The status that a code or a display name stands for, in any case; null for anything else."""
+    known = {s: s for s in STATUSES} | {name.lower(): s for s, name in STATUS_NAMES.items()}
+    return _map(known)[F.lower(F.trim(said))]
+
+
+def commands(messages: DataFrame, tenders: DataFrame) -> DataFrame:
+    """Typed board events out of message texts and button payloads: (message_id, kind, tender_id, value, force, reject).
+
+    ``messages`` has message_id, text and payload, of which one is null.  ``/crm_status``, ``/assign`` and ``/label``, or their other names, take a
+    positive id and a value, a status by code or display name.  The payload ``crm:participate:platform:external_id`` finds its tender by natural
+    key and forces the move to participating; ``crm:status:id:status`` moves like the command.  What is no command has no row; a command that cannot be carried out has
+    ``reject``: usage, id, status, value or tender.
+    """
+    shape = r"(?sU)^\s*(\S+)(?:\s+(\S+)(?:\s+(.*))?)?$"
+    part = lambda i: F.regexp_extract("text", shape, i)
+    typed = messages.where("text is not null").select("message_id", _map(VERBS)[F.lower(part(1))].alias("kind"), part(2).alias("id"), F.trim(F.regexp_replace(part(3), r"(?U)^\s+|\s+$", "")).alias("said"))
+    typed = typed.where("kind is not null").select("message_id", "kind", "id", "said", F.when((F.col("id") == "") | (F.col("said") == ""), "usage").alias("early"), F.lit(None).cast("string").alias("natural"))
+    fields = F.split("payload", ":")
+    pressed = messages.where("payload is not null").withColumn("f", fields)
+    joins = pressed.where("f[0] = 'crm' and f[1] = 'participate' and size(f) >= 4")
+    joins = joins.select("message_id", F.lit("status").alias("kind"), F.lit(None).cast("string").alias("id"), F.lit("participating").alias("said"), F.lit(None).cast("string").alias("early"), F.concat_ws(":", F.trim(F.get("f", 2)), F.trim(F.array_join(F.slice("f", F.lit(4), F.size("f")), ":"))).alias("natural"))
+    joins = joins.where(~F.startswith("natural", F.lit(":")) & ~F.endswith("natural", F.lit(":")))
+    moves = pressed.where("size(f) = 4 and f[0] = 'crm' and f[1] = 'status'").select("message_id", F.lit("status").alias("kind"), F.get("f", 2).alias("id"), F.get("f", 3).alias("said"), F.lit(None).cast("string").alias("early"), F.lit(None).cast("string").alias("natural"))
+    rows = typed.unionByName(joins).unionByName(moves)
+    known = tenders.select("tender_id", F.concat_ws(":", "platform", "external_id").alias("natural"))
+    by_key = rows.where("natural is not null").join(known, "natural", "left").select("message_id", "kind", "said", "early", "tender_id", F.lit(True).alias("force"), F.col("tender_id").isNotNull().alias("found"), F.lit(True).alias("id_ok"))
+    number = F.when(F.rlike("id", F.lit(r"^[1-9]\d*$")), F.col("id").try_cast("bigint"))
+    by_id = rows.where("natural is null").withColumn("tender_id", number).join(known.select("tender_id", F.lit(True).alias("found")), "tender_id", "left")
+    by_id = by_id.select("message_id", "kind", "said", "early", "tender_id", F.lit(False).alias("force"), F.coalesce("found", F.lit(False)).alias("found"), F.col("tender_id").isNotNull().alias("id_ok"))
+    value = F.when(F.col("kind") == "status", status_code(F.col("said"))).otherwise(F.nullif(F.col("said"), F.lit("")))
+    reject = F.coalesce("early", F.when(~F.col("id_ok"), "id").when(value.isNull(), F.when(F.col("kind") == "status", "status").otherwise("value")).when(~F.col("found"), "tender"))
+    return by_key.unionByName(by_id).select("message_id", "kind", "tender_id", value.alias("value"), "force", reject.alias("reject"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as t
 
@@ -134,3 +135,20 @@ def feed_items(df: DataFrame, column: str) -> DataFrame:
     """Items of RSS texts in a column: one row per item, other columns kept."""
     rows = df.withColumn("_item", F.explode(F.regexp_extract_all(column, F.lit(r"(?is)<item\b[^>]*>.*?</item>"), 0))).drop(column)
     return rows.withColumn("_r", feed_record(F.from_xml("_item", FEED_SCHEMA))).select(*[c for c in rows.columns if c != "_item"], "_r.*")
+
+
+def walk_stop(visits: DataFrame, listing: DataFrame, walk: str, page: str, item: str, page_size: int) -> DataFrame:
+    """Where each walk ends: (walk, stop_page, reason, pages, items), pages counted from 0.
+
+    ``visits`` has the pages that were read, ``listing`` their items.  A walk runs over its unbroken pages from the first on and ends at the first one after page 0 that is
+    empty, shorter than ``page_size`` or without an item that no earlier page had; an empty page 0 ends it at once.  Later pages do not count.
+    """
+    numbered = visits.select(walk, page).distinct().withColumn("_island", F.col(page) - F.row_number().over(Window.partitionBy(walk).orderBy(page)))
+    unbroken = numbered.where("_island = -1").drop("_island")
+    rows = listing.groupBy(walk, page).agg(F.count("*").alias("_rows"))
+    fresh = listing.groupBy(walk, item).agg(F.min(page).alias(page)).groupBy(walk, page).agg(F.count("*").alias("_new"))
+    each = unbroken.join(rows, [walk, page], "left").join(fresh, [walk, page], "left").na.fill(0, ["_rows", "_new"])
+    why = F.when(F.col("_rows") == 0, "empty").when((F.col(page) > 0) & (F.col("_rows") < page_size), "short").when((F.col(page) > 0) & (F.col("_new") == 0), "nothing new")
+    marked = each.withColumn("_why", why).withColumn("_at", F.min(F.when(F.col("_why").isNotNull(), F.col(page))).over(Window.partitionBy(walk)))
+    read = marked.where(F.col("_at").isNull() | (F.col(page) <= F.col("_at")))
+    return read.groupBy(walk).agg(F.max(page).alias("stop_page"), F.coalesce(F.max_by("_why", page), F.lit("end")).alias("reason"), F.count("*").alias("pages"), F.sum("_new").alias("items"))

@@ -90,3 +90,39 @@ def evolve(old: DataFrame, new_columns: dict[str, tuple[str, object]]) -> DataFr
     return old.withColumns(
         {c: (F.coalesce(F.col(c), F.lit(d).cast(kind)) if c in old.columns else F.lit(d).cast(kind)) for c, (kind, d) in new_columns.items()}
     )
+
+
+# The fields that a detail page's value replaces.
+MERGED = (
+    "title", "description", "price", "currency", "start_date", "end_date", "deadline", "published_at", "region", "customer", "customer_inn", "law_type",
+    "advance_percent", "postpayment_days", "application_security_percent", "contract_security_percent", "url",
+)
+DIAGNOSTICS_MOST = 4000
+
+
+def merge_detail_full(listing: DataFrame, detail: DataFrame, key: str) -> DataFrame:
+    """A listing's rows with what their detail pages say: all MERGED fields, the advance flag, provenance, documents, status and diagnostics.
+
+    A value that is neither null nor '' wins.  A known advance percentage decides the flag.  Provenance maps are merged key by key, the detail's value first; documents are the
+    detail's where it has some.  An unknown status counts as success, diagnostics are cut to 4,000 characters.  A deadline that is still unknown is the
+    end date.  Rows without a detail page stay as they are, but for the deadline.
+    """
+    kinds = dict(listing.dtypes)
+    joined = listing.alias("l").join(detail.withColumn("_detailed", F.lit(True)).alias("d"), key, "left")
+    has = F.col("d._detailed").isNotNull()
+
+    def won(c: str) -> Column:
+        mine = F.nullif(F.col(f"d.{c}"), F.lit("")) if kinds[c] == "string" else F.col(f"d.{c}")
+        return F.coalesce(mine, F.col(f"l.{c}"))
+
+    out = {c: won(c) for c in MERGED}
+    out["deadline"] = F.coalesce(out["deadline"], out["end_date"])
+    percent = F.col("d.advance_percent")
+    out["advance_required"] = F.when(percent.isNotNull(), percent > 0).when(F.col("d.advance_required"), True).otherwise(F.col("l.advance_required"))
+    none = F.create_map().cast("map<string,string>")
+    out["field_sources"] = F.map_zip_with(F.coalesce("l.field_sources", none), F.coalesce("d.field_sources", none), lambda k, a, b: F.coalesce(b, a))
+    out["documents"] = F.when(F.size("d.documents") > 0, F.col("d.documents")).otherwise(F.col("l.documents"))
+    status = F.lower(F.coalesce(F.nullif(F.col("d.detail_status"), F.lit("")), F.lit("success")))
+    out["detail_status"] = F.when(~has, F.col("l.detail_status")).when(status.isin(*DETAIL_STATUSES), status).otherwise("success")
+    out["detail_diagnostics"] = F.when(has, F.left(F.coalesce("d.detail_diagnostics", F.lit("")), F.lit(DIAGNOSTICS_MOST))).otherwise(F.col("l.detail_diagnostics"))
+    return joined.select(key, *[(out[c] if c in out else F.col(f"l.{c}")).alias(c) for c in listing.columns if c != key])

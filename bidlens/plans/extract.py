@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 from ..functions import text as t
 from ..operators import containers as box
 from ..operators import extract as x
-from ..sources.tables import spread, table
+from ..operators import messages as m
+from ..operators import normalize as norm
+from ..sources.tables import WITH, spread, table, tenders
 from .registry import query
 
 def _order_rows(spark, sf_dir):
@@ -240,3 +242,65 @@ def scan_feed(spark, sf_dir):
     item = "concat('<item><title>', o_orderpriority, '</title><link>https://x.example/notice?regNumber=', lpad(CAST(o_orderkey AS STRING), 8, '9'), '</link><pubDate>Fri, ', date_format(o_orderdate, 'd MMM yyyy'), ' 00:00:00 +0300</pubDate></item>')"
     rows = table(spark, sf_dir, "orders").selectExpr("o_custkey", f"concat('<rss><channel>', {item}, '</channel></rss>') AS xml")
     return x.feed_items(rows, "xml").select("o_custkey", "external_id", "title", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+#: Walks over listings: customers read pages 0 to 6, some of which are missing, empty or short, or bring what was there before.
+_WALK = "o_custkey % 60 AS walk, CAST((o_orderkey * 31) % 7 AS INT) AS page, (o_orderkey * 7) % (20 + o_custkey % 60) AS item"
+_VISITS = "SELECT DISTINCT o_custkey % 60 AS walk, p AS page FROM orders, (SELECT unnest(generate_series(0, 6))::INT AS p) WHERE (o_custkey % 60) % 9 <> p + 1"
+
+
+@query(
+    "page_walk_stop",
+    f"""WITH v AS ({_VISITS}), r AS (SELECT {_WALK} FROM orders WHERE NOT ((o_custkey % 60) % 4 = 0 AND (o_orderkey * 31) % 7 = (o_custkey % 60) % 5)),
+    u AS (SELECT walk, page FROM v a WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(generate_series(0, 6))::INT AS p) g WHERE g.p < a.page AND NOT EXISTS (SELECT 1 FROM v b WHERE b.walk = a.walk AND b.page = g.p))),
+    x AS (SELECT u.walk, u.page, (SELECT count(*) FROM r WHERE r.walk = u.walk AND r.page = u.page) AS n, (SELECT count(DISTINCT item) FROM r WHERE r.walk = u.walk AND r.page = u.page AND NOT EXISTS (SELECT 1 FROM r q WHERE q.walk = u.walk AND q.page < u.page AND q.item = r.item)) AS fresh FROM u),
+    w AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN page > 0 AND n < 3 THEN 'short' WHEN page > 0 AND fresh = 0 THEN 'nothing new' END AS why FROM x),
+    s AS (SELECT walk, min(page) FILTER (WHERE why IS NOT NULL) AS ended FROM w GROUP BY 1)
+    SELECT w.walk, max(page) AS stop_page, coalesce(arg_max(why, page) FILTER (WHERE page = ended), 'end') AS reason, count(*) AS pages, sum(fresh)::BIGINT AS items FROM w JOIN s ON w.walk = s.walk WHERE ended IS NULL OR page <= ended GROUP BY 1""",
+)
+def page_walk_stop(spark, sf_dir):
+    """Where walks over listing pages end, and why."""
+    orders = table(spark, sf_dir, "orders")
+    listing = orders.where("not (o_custkey % 60 % 4 = 0 and (o_orderkey * 31) % 7 = o_custkey % 60 % 5)").selectExpr("o_custkey % 60 AS walk", "CAST((o_orderkey * 31) % 7 AS INT) AS page", "(o_orderkey * 7) % (20 + o_custkey % 60) AS item")
+    visits = orders.selectExpr("o_custkey % 60 AS walk").distinct().selectExpr("walk", "explode(sequence(0, 6)) AS page").where("walk % 9 <> page + 1")
+    return x.walk_stop(visits, listing, "walk", "page", "item", 3)
+
+
+_ESC = "replace(replace({}, '&', '&amp;'), '\"', '&quot;')"
+_SHOWN = "strftime({}, '%d.%m.%Y')"
+_SPACED = "replace(format('{{:,}}', round_even({}, 0)::BIGINT), ',', ' ')"
+
+
+@query(
+    "render_result_messages",
+    f"""{WITH}, k AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY price DESC NULLS LAST, tender_id) AS k FROM tenders)
+    SELECT tender_id, k::INT AS k, '<b>' || k || '. ' || {_ESC.format("title")} || '</b>' || chr(10) || '📅 дата закупки: ' || {_SHOWN.format("coalesce(published_at, start_date)")} || chr(10) || '🏢 ' || coalesce(nullif(customer, ''), 'не указан') || chr(10) || '📍 регион: ' || region
+    || chr(10) || '💰 ' || coalesce({_SPACED.format("price")} || ' ' || currency, 'не указана') || chr(10) || '⏰ до ' || coalesce({_SHOWN.format("deadline")}, 'не указан') || chr(10) || '🔗 <a href="' || url || '">Открыть тендер</a>' AS message FROM k""",
+)
+def render_result_messages(spark, sf_dir):
+    """The numbered results of each customer as messages."""
+    k = F.row_number().over(Window.partitionBy("customer").orderBy(F.desc_nulls_last("price"), "tender_id"))
+    return tenders(spark, sf_dir).withColumn("k", k).select("tender_id", "k", m.result_message(F.col("k")).alias("message"))
+
+
+_NUM = "regexp_replace(CAST(CAST({} AS DECIMAL(24, 6)) AS VARCHAR), '(\\.\\d+?)0+$', '\\1')"
+_CONTEXT_OF = "CASE WHEN tender_id % 3 = 0 THEN concat('Интересуют: ', customer) WHEN tender_id % 3 = 1 THEN '' END"
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(
+    "build_prompts_full",
+    f"""{WITH}, x AS (SELECT *, concat_ws(chr(10), 'Площадка: ' || platform, 'Название: ' || title, 'Статус деталей: ' || detail_status, CASE WHEN tender_id % 5 = 0 THEN {_sql_text(m.DIAGNOSED)} END, CASE WHEN customer <> '' THEN 'Заказчик: ' || customer END,
+    CASE WHEN customer_inn <> '' THEN 'ИНН заказчика: ' || customer_inn END, 'Регион: ' || region, 'Начальная цена: ' || {_NUM.format("price")} || ' ' || currency, 'Срок подачи: ' || strftime(deadline, '%Y-%m-%dT%H:%M:%S') || '+00:00', CASE WHEN law_type <> '' THEN 'Тип закупки: ' || law_type END,
+    CASE WHEN advance_required THEN 'Аванс: да (' || coalesce({_NUM.format("advance_percent")}, '?') || '%)' END, 'Постоплата/отсрочка: ' || postpayment_days || ' дней', 'Обеспечение заявки: ' || {_NUM.format("application_security_percent")} || '%', 'Обеспечение контракта: ' || {_NUM.format("contract_security_percent")} || '%',
+    CASE WHEN detail_status = 'partial' THEN {_sql_text(m.PARTIAL)} END, 'Описание/предмет закупки: ' || array_to_string(list_filter([title, trim(description), customer, region, customer_inn,
+    CASE WHEN tender_id % 4 = 1 THEN 'Срок поставки 30 дней x1' END, CASE WHEN tender_id % 4 = 0 THEN 'Лот 1' END, CASE WHEN tender_id % 4 = 0 THEN 'Предоплата 30%. Отсрочка платежа 45 календарных дней.' END], lambda v: v IS NOT NULL AND v <> ''), ' ')) AS t, {_CONTEXT_OF} AS c FROM tenders)
+    SELECT tender_id, {_sql_text(m.QUESTION)} || CASE WHEN c <> '' THEN {_sql_text(m.CONTEXT[0])} || c || {_sql_text(m.CONTEXT[1])} ELSE '' END || {_sql_text(m.DATA[0])} || t || {_sql_text(m.DATA[1])} AS prompt FROM x""",
+)
+def build_prompts_full(spark, sf_dir):
+    """The whole question on each tender, with its full text and the user's requirements."""
+    rows = tenders(spark, sf_dir).withColumn("detail_diagnostics", F.expr("CASE WHEN tender_id % 5 = 0 THEN 'x' END"))
+    return rows.select("tender_id", m.user_prompt(m.tender_text(norm.full_text()), F.expr(_CONTEXT_OF)).alias("prompt"))

@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators import answers as ans
 from ..operators import normalize as n
 from ..operators import risk
-from ..sources.tables import NOW_SPARK, NOW_SQL, WITH, table, tenders
+from ..sources.tables import NOW_SPARK, NOW_SQL, WITH, items, table, tenders
 from .registry import query
 
 
@@ -122,6 +122,57 @@ def merge_detail(spark, sf_dir):
     return n.merge_detail(listing, detail, "tender_id", ["title", "price", "customer"])
 
 
+#: What the detail page says of each merged field; some say nothing.
+_SAID = {
+    "title": "CASE WHEN tender_id % 5 = 0 THEN '' ELSE concat(title, '!') END", "description": "CASE WHEN tender_id % 2 = 0 THEN NULL ELSE concat('о: ', title) END", "price": "CASE WHEN tender_id % 7 = 0 THEN 0.0 WHEN tender_id % 7 = 1 THEN NULL ELSE price END",
+    "currency": "CASE WHEN tender_id % 6 = 0 THEN 'EUR' ELSE '' END", "start_date": "CAST(NULL AS TIMESTAMP{ntz})", "end_date": "CASE WHEN tender_id % 2 = 0 THEN end_date END", "deadline": "CASE WHEN tender_id % 3 = 0 THEN deadline END", "published_at": "published_at",
+    "region": "CASE WHEN tender_id % 4 = 0 THEN 'Тверь' ELSE '' END", "customer": "customer", "customer_inn": "''", "law_type": "'44-ФЗ'", "advance_percent": "CASE WHEN tender_id % 3 = 1 THEN CAST(tender_id % 2 AS DOUBLE) END",
+    "postpayment_days": "CASE WHEN tender_id % 4 = 1 THEN 5 END", "application_security_percent": "CAST(NULL AS DOUBLE)", "contract_security_percent": "CAST(tender_id % 3 AS DOUBLE)", "url": "concat(url, '/d')",
+}
+_SAID_MORE = "CASE WHEN tender_id % 8 = 0 THEN true END AS advance_required, CASE tender_id % 5 WHEN 0 THEN 'PARTIAL' WHEN 1 THEN 'strange' WHEN 2 THEN '' ELSE 'failed' END AS detail_status, repeat('ж', CAST(tender_id % 5000 AS INT)) AS detail_diagnostics"
+_DOCS = "CASE WHEN tender_id % 5 = 0 THEN {l}{m}'name', 'b.pdf'{n}, {m}'name', 'c.pdf'{n}{r} END AS documents, CASE WHEN tender_id % 2 = 0 THEN {m}'price', 'page', 'region', 'page'{n} END AS field_sources"
+_LIST_DOCS = "CASE WHEN tender_id % 4 = 0 THEN {l}{m}'name', 'a.pdf'{n}{r} END AS documents, CASE WHEN tender_id % 3 = 0 THEN {m}'title', 'list', 'price', 'list'{n} END AS field_sources, 'old' AS detail_diagnostics"
+
+
+def _duck(text: str) -> str:
+    """Array and map literals as DuckDB writes them."""
+    pairs = {"{m}'name', ": "MAP {'name': ", "{m}'price', 'page', 'region', 'page'": "MAP {'price': 'page', 'region': 'page'", "{m}'title', 'list', 'price', 'list'": "MAP {'title': 'list', 'price': 'list'"}
+    for a, b in pairs.items():
+        text = text.replace(a, b)
+    return text.replace("{n}", "}").replace("{l}", "[").replace("{r}", "]")
+
+
+def _spark(text: str) -> str:
+    return text.replace("{m}", "map(").replace("{n}", ")").replace("{l}", "array(").replace("{r}", ")")
+
+
+_STRINGS = ("title", "description", "currency", "region", "customer", "customer_inn", "law_type", "url")
+_WON = {c: f"coalesce(nullif(d.{c}, ''), l.{c})" if c in _STRINGS else f"coalesce(d.{c}, l.{c})" for c in n.MERGED}
+_WON["deadline"] = f"coalesce({_WON['deadline']}, {_WON['end_date']})"
+
+
+@query(
+    "merge_detail_full",
+    f"""{WITH}, l AS (SELECT * EXCLUDE (documents, field_sources, detail_diagnostics), documents, field_sources, detail_diagnostics FROM (SELECT *, {_duck(_LIST_DOCS)} FROM tenders)),
+    d AS (SELECT tender_id, {", ".join(f"{v.format(ntz='')} AS {k}" for k, v in _SAID.items())}, {_SAID_MORE}, {_duck(_DOCS)} FROM tenders WHERE tender_id % 4 <> 3)
+    SELECT l.tender_id, {", ".join(f"{v} AS {k}" for k, v in _WON.items())}, CASE WHEN d.advance_percent IS NOT NULL THEN d.advance_percent > 0 WHEN d.advance_required THEN true ELSE l.advance_required END AS advance_required,
+    coalesce(array_to_string(list_sort(list_transform(map_entries(map_concat(coalesce(l.field_sources, MAP {{}}), coalesce(d.field_sources, MAP {{}}))), lambda e: e.key || '=' || e.value)), ','), '') AS field_sources,
+    coalesce(array_to_string(list_transform(CASE WHEN len(d.documents) > 0 THEN d.documents ELSE l.documents END, lambda m: m['name']), ','), '') AS documents,
+    CASE WHEN d.tender_id IS NULL THEN l.detail_status WHEN lower(d.detail_status) IN ('success', 'partial', 'failed') THEN lower(d.detail_status) ELSE 'success' END AS detail_status,
+    CASE WHEN d.tender_id IS NULL THEN l.detail_diagnostics ELSE left(d.detail_diagnostics, 4000) END AS detail_diagnostics FROM l LEFT JOIN d ON l.tender_id = d.tender_id""",
+)
+def merge_detail_full(spark, sf_dir):
+    """All merged fields, maps and documents of listings and their detail pages."""
+    rows = tenders(spark, sf_dir)
+    listing = rows.selectExpr("*", *items(_spark(_LIST_DOCS)))
+    said = [f"{v.format(ntz='_NTZ')} AS {k}" for k, v in _SAID.items()]
+    detail = rows.where("tender_id % 4 <> 3").selectExpr("tender_id", *said, *items(_SAID_MORE), *items(_spark(_DOCS)))
+    out = n.merge_detail_full(listing, detail, "tender_id")
+    sources = F.array_join(F.array_sort(F.transform(F.map_entries("field_sources"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    names = F.coalesce(F.array_join(F.transform("documents", lambda m: m["name"]), ","), F.lit(""))
+    return out.select("tender_id", *n.MERGED, "advance_required", sources.alias("field_sources"), names.alias("documents"), "detail_status", "detail_diagnostics")
+
+
 @query("detail_fallback", f"""{WITH} SELECT tender_id, CASE WHEN detail_status = 'failed' THEN concat('Тендер № ', external_id) ELSE title END AS title, detail_status <> 'failed' AS details_loaded FROM tenders""")
 def detail_fallback(spark, sf_dir):
     rows = tenders(spark, sf_dir)

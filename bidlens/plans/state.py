@@ -243,6 +243,26 @@ def parse_board_commands(spark, sf_dir):
     return parsed.where("verb <> '' and tender_id > 0")
 
 
+_TEXTS = """CASE event_id % 10 WHEN 0 THEN concat('/crm_status ', CAST(event_id AS STRING), ' Победа') WHEN 1 THEN concat(' /Статус_Тендера  ', CAST(event_id AS STRING), ' WAITING_RESULT ') WHEN 2 THEN concat('/assign ', CAST(event_id AS STRING), ' Анна  Ивановна')
+  WHEN 3 THEN '/метка 0 VIP' WHEN 4 THEN '/label abc VIP' WHEN 5 THEN concat('/crm_status ', CAST(event_id AS STRING), ' неизвестно') WHEN 6 THEN '/assign 5' WHEN 7 THEN 'привет /assign 5 x' END"""
+_PRESSED = """CASE event_id % 20 WHEN 8 THEN concat('crm:participate:eis:', CAST(event_id AS STRING)) WHEN 18 THEN concat('crm:status:', CAST(event_id AS STRING), ':docs_preparation') WHEN 9 THEN 'crm:participate: :5' WHEN 19 THEN concat('crm:participate:tmk:no:', CAST(event_id AS STRING)) END"""
+_KNOWN = "EXISTS (SELECT 1 FROM orders WHERE o_orderkey = event_id)"
+
+
+@query(
+    "board_commands",
+    f"""SELECT event_id AS message_id, CASE WHEN event_id % 10 IN (2, 6) THEN 'assign' WHEN event_id % 10 IN (3, 4) THEN 'label_add' ELSE 'status' END AS kind,
+    CASE WHEN event_id % 10 IN (3, 4) OR event_id % 20 = 19 THEN NULL WHEN event_id % 10 = 6 THEN 5 WHEN event_id % 20 = 8 THEN CASE WHEN {_KNOWN} AND event_id % 6 = 0 THEN event_id END WHEN event_id = 0 THEN NULL ELSE event_id END AS tender_id,
+    CASE WHEN event_id % 10 = 0 THEN 'won' WHEN event_id % 10 = 1 THEN 'waiting_result' WHEN event_id % 10 = 2 THEN 'Анна  Ивановна' WHEN event_id % 10 IN (3, 4) THEN 'VIP' WHEN event_id % 20 IN (8, 19) THEN 'participating' WHEN event_id % 20 = 18 THEN 'docs_preparation' END AS value,
+    event_id % 20 IN (8, 19) AS force, CASE WHEN event_id % 10 = 6 THEN 'usage' WHEN event_id % 10 IN (3, 4) OR event_id = 0 THEN 'id' WHEN event_id % 10 = 5 THEN 'status' WHEN event_id % 20 = 19 OR (event_id % 20 = 8 AND event_id % 6 <> 0) OR NOT {_KNOWN} THEN 'tender' END AS reject
+    FROM events WHERE event_id % 10 < 7 OR event_id % 20 IN (8, 18, 19)""",
+)
+def board_commands(spark, sf_dir):
+    """Commands and buttons of a message log as typed events; what cannot be carried out is kept with its reason."""
+    said = table(spark, sf_dir, "events").selectExpr("event_id AS message_id", f"{_TEXTS} AS text", f"{_PRESSED} AS payload")
+    return b.commands(said, tenders(spark, sf_dir).select("tender_id", "platform", "external_id"))
+
+
 @query("tender_timeline", f"{WITH} SELECT tender_id, 'created' AS event, first_seen_at AS at FROM tenders UNION ALL SELECT tender_id, 'analysed', analyzed_at FROM analyses UNION ALL SELECT tender_id, 'updated', updated_at FROM tenders WHERE updated_at > first_seen_at")
 def tender_timeline(spark, sf_dir):
     rows = tenders(spark, sf_dir)
