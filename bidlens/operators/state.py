@@ -75,3 +75,16 @@ def undelivered(alerts: DataFrame, deliveries: DataFrame) -> DataFrame:
 def mark_delivered(deliveries: DataFrame, sent: DataFrame) -> DataFrame:
     """One row per delivery key with its latest time."""
     return deliveries.unionByName(sent).groupBy(*DELIVERY_KEY).agg(F.max("sent_at").alias("sent_at"))
+
+
+def rename_recipient(deliveries: DataFrame, current: DataFrame, legacy: str, recipient: str) -> DataFrame:
+    """Deliveries of a legacy recipient moved to the one that took over, under the fingerprint that the tender has now (``current``: tender_id, event_key).
+
+    What the new recipient already has under that key stays; of several legacy rows of a key the first by id counts.  Rows of other recipients, and legacy rows of tenders that are gone,
+    which keep their key, lose nothing.  ``deliveries`` has the key, delivery_id, sent_at and payload.
+    """
+    key = list(DELIVERY_KEY)
+    kept, old = deliveries.where(F.col("recipient_key") != legacy), deliveries.where(F.col("recipient_key") == legacy)
+    renewed = old.join(current.select("tender_id", F.col("event_key").alias("_now")), "tender_id", "left")
+    renewed = renewed.withColumns({"event_key": F.coalesce("_now", "event_key"), "recipient_key": F.lit(recipient)}).drop("_now").select(*deliveries.columns)
+    return kept.unionByName(first_wins(renewed, key, [F.col("delivery_id")]).join(kept.select(*key), key, "left_anti").select(*deliveries.columns))

@@ -188,6 +188,17 @@ def validate_profiles(spark, sf_dir):
     return profiles(spark, sf_dir).select("profile_id", F.array_join(c.violations(), ",").alias("violations"))
 
 
+@query(
+    "clamped_criteria",
+    f"""{_P} SELECT profile_id, least(100, greatest(0, min_ai_score - 20))::INT AS min_ai_score, CASE WHEN len(list_filter(regions, lambda x: trim(x) <> '')) = 0 THEN '' ELSE trim(list_filter(regions, lambda x: trim(x) <> '')[1]) END AS regions FROM profiles""",
+)
+def clamped_criteria(spark, sf_dir):
+    """Criteria bring a score into range where a profile with it is refused, and clean their lists."""
+    rows = profiles(spark, sf_dir).withColumn("min_ai_score", F.col("min_ai_score") - 20).withColumn("regions", F.flatten(F.array("regions", F.transform("regions", F.lower))))
+    kept = rows.withColumns(c.clamped(("regions",)))
+    return kept.select("profile_id", "min_ai_score", F.array_join("regions", ",").alias("regions"))
+
+
 @query("list_profiles", f"{_P} SELECT profile_id, user_id, name, enabled, min_price FROM profiles")
 def list_profiles(spark, sf_dir):
     return profiles(spark, sf_dir).orderBy(F.desc("enabled"), F.lower("name"), "profile_id").select("profile_id", "user_id", "name", "enabled", "min_price")

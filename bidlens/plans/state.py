@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import board as b
+from ..operators import requests as rq
 from ..operators import state as s
-from ..sources.tables import BOARD_SQL, NOW_SPARK, NOW_SQL, VERSIONS_SQL, WITH, analyses, as_board_events, board_events, table, tenders, versions
+from ..sources.tables import BOARD_SQL, NOW_SPARK, NOW_SQL, VERSIONS_SQL, WITH, analyses, as_board_events, board_events, items, table, tenders, versions
 from .registry import query
 
 
@@ -321,3 +322,38 @@ def rank_requests(spark, sf_dir):
     weights = {"en": 5, "feed": 3, "blog": 2}
     score = sum((F.when(F.contains(F.lower("url"), F.lit(w)), n).otherwise(0) for w, n in weights.items()), F.lit(0))
     return table(spark, sf_dir, "pages").groupBy("url").agg(F.max(score).alias("score")).orderBy(F.desc("score"), "url").limit(40)
+
+
+_LOG = """event_id, CASE event_id % 3 WHEN 0 THEN 'POST' WHEN 1 THEN 'get' END AS method, concat('https://h.example/', CASE user_id % 6 WHEN 0 THEN 'API/search' WHEN 1 THEN 'market-search' WHEN 2 THEN 'tender-' WHEN 3 THEN 'graphql' WHEN 4 THEN 'feed/purchase' ELSE 'static' END, '?u=', CAST(user_id AS STRING)) AS url,
+  CASE event_id % 4 WHEN 0 THEN 'xhr' WHEN 1 THEN 'document' END AS type, CASE WHEN event_id % 5 = 0 THEN event_type ELSE '' END AS post_data"""
+_POINTS = " + ".join(f"CASE WHEN contains(lower(url), '{part}') THEN {weight} ELSE 0 END" for part, weight in rq.URL_WEIGHTS.items())
+
+
+@query(
+    "top_requests",
+    f"""WITH l AS (SELECT {_LOG} FROM events), s AS (SELECT *, coalesce(method, '') AS mm, {_POINTS} + CASE WHEN upper(method) = 'POST' THEN 3 ELSE 0 END + CASE WHEN post_data <> '' THEN 2 ELSE 0 END + CASE WHEN type = 'xhr' THEN 3 ELSE 0 END AS score FROM l),
+    f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY mm, url ORDER BY score DESC, event_id) = 1), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, event_id) AS place FROM f)
+    SELECT place::INT AS place, score::INT AS score, mm AS method, url, type, post_data FROM p WHERE place <= 40 AND score > 0""",
+)
+def top_requests(spark, sf_dir):
+    """The forty requests of a log that most likely carry search results, each method and address once."""
+    return rq.top_requests(table(spark, sf_dir, "events").selectExpr(*items(_LOG)), "event_id")
+
+
+@query(
+    "rename_recipient",
+    f"""{WITH}, c AS (SELECT tender_id, concat('k', title) AS now FROM tenders WHERE tender_id % 11 <> 0),
+    d AS (SELECT tender_id, 'old' AS event_key, 'legacy' AS recipient_key, tender_id * 2 AS delivery_id, 'a' AS payload FROM tenders WHERE tender_id % 3 = 0
+      UNION ALL SELECT tender_id, 'older', 'legacy', tender_id * 2 + 1, 'b' FROM tenders WHERE tender_id % 6 = 0 UNION ALL SELECT tender_id, concat('k', title), 'default', -tender_id, 'c' FROM tenders WHERE tender_id % 4 = 0),
+    n AS (SELECT d.tender_id, coalesce(now, event_key) AS event_key, 'default' AS recipient_key, delivery_id, payload FROM d LEFT JOIN c ON d.tender_id = c.tender_id WHERE recipient_key = 'legacy'),
+    o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY tender_id, event_key ORDER BY delivery_id) = 1)
+    SELECT * FROM d WHERE recipient_key <> 'legacy' UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.recipient_key = 'default' AND d.tender_id = o.tender_id AND d.event_key = o.event_key)""",
+)
+def rename_recipient(spark, sf_dir):
+    """Legacy deliveries under the recipient that took over and the tender's present fingerprint, nothing delivered twice or lost."""
+    rows = tenders(spark, sf_dir)
+    current = rows.where("tender_id % 11 <> 0").selectExpr("tender_id", "concat('k', title) AS event_key")
+    made = lambda df, key, who, number, load: df.selectExpr("tender_id", f"{key} AS event_key", "'telegram' AS channel", f"'{who}' AS recipient_key", f"{number} AS delivery_id", f"'{load}' AS payload")
+    sent = made(rows.where("tender_id % 3 = 0"), "'old'", "legacy", "tender_id * 2", "a").unionByName(made(rows.where("tender_id % 6 = 0"), "'older'", "legacy", "tender_id * 2 + 1", "b"))
+    sent = sent.unionByName(made(rows.where("tender_id % 4 = 0"), "concat('k', title)", "default", "-tender_id", "c"))
+    return s.rename_recipient(sent, current, "legacy", "default").drop("channel")
