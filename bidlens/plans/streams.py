@@ -107,3 +107,24 @@ def stream_board_state(spark, sf_dir):
     """Status, assignee and labels of a tender as one keyed state."""
     found = _board_state(spark, sf_dir, ("status", "assign", "unassign", "label_add", "label_remove"))
     return found.select("tender_id", "status", "assignee", "changes", F.array_join("labels", ",").alias("labels"))
+
+
+#: The last order of a customer says its deadline; a third of the customers have left the active statuses.
+_NEAR_DAYS = 60
+_DUE = "o_custkey AS tender_id, o_orderdate + {seconds} AS told, o_orderdate + {days}(CAST(o_orderkey % 400 AS INT)) AS deadline, CASE WHEN o_custkey % 3 = 0 THEN 'won' ELSE 'reviewing' END AS value"
+
+
+@query(
+    "stream_deadlines",
+    f"""WITH d AS (SELECT {_DUE.format(seconds="to_milliseconds(o_orderkey)", days="to_days")} FROM orders), w AS (SELECT max(told) AS now FROM d), t AS (SELECT tender_id, arg_max(deadline, told) AS deadline, arg_max(value, told) AS value FROM d GROUP BY 1)
+    SELECT tender_id, deadline FROM t, w WHERE value = 'reviewing' AND deadline >= now AND deadline <= now + INTERVAL {_NEAR_DAYS} DAY""",
+)
+def stream_deadlines(spark, sf_dir):
+    """What has come near by the end of the input, by timers: the rows that upcoming_deadlines would give at that time."""
+    orders = jobs.source(spark, f"{sf_dir}/order[s].parquet", table(spark, sf_dir, "orders").schema, maxFilesPerTrigger="1000000")
+    rows = orders.selectExpr(*items(_DUE.format(seconds="make_dt_interval(0, 0, 0, CAST(o_orderkey / 1000 AS DECIMAL(18, 6)))", days="make_dt_interval")))
+    utc = {"at": F.col("told").cast("timestamp"), "deadline": F.col("deadline").cast("timestamp")}
+    said = rows.withColumns(utc).withColumn("kind", F.explode(F.array(F.lit("tender"), F.lit("status"))))
+    written = _finish(keyed.deadlines(said, _NEAR_DAYS), spark, "deadlines", "update")
+    last = s.last_wins(written, ["tender_id"], [F.col("at"), F.col("batch")])
+    return last.where("action = 'near'").select("tender_id", F.col("deadline").cast("timestamp_ntz").alias("deadline"))
