@@ -41,6 +41,8 @@ QUERY_FORMS = {
 STEM_FROM = 6
 #: Rows of expanded word forms that may be broadcast.
 BROADCAST_FORMS = 500_000
+#: So many forms may stand in the plan, where they sort out tokens before these become rows.
+LITERAL_FORMS = 2_000
 
 
 def forms(word: Column) -> Column:
@@ -60,9 +62,13 @@ def keyword_forms(keywords: DataFrame, column: str = "keyword") -> DataFrame:
 def keyword_matches(texts: DataFrame, keywords: DataFrame, *, id_col: str, text_col: str, keyword_col: str = "keyword") -> DataFrame:
     """(id, keyword): a keyword matches where each of its words does, in any order and distance."""
     expanded = keyword_forms(keywords, keyword_col)
+    words = tokens(for_matching(F.col(text_col)))
+    few = [r[0] for r in expanded.select("form").distinct().limit(LITERAL_FORMS + 1).collect()]
+    if len(few) <= LITERAL_FORMS:
+        words = F.filter(words, lambda w: w.isin(few))
     if expanded.limit(BROADCAST_FORMS + 1).count() <= BROADCAST_FORMS:
         expanded = F.broadcast(expanded)  # tokens that no keyword knows are gone before the shuffle
-    said = texts.select(id_col, F.explode(tokens(for_matching(F.col(text_col)))).alias("form"))
+    said = texts.select(id_col, F.explode(words).alias("form"))
     hits = said.join(expanded, "form").groupBy(id_col, "keyword", "n_words")
     return hits.agg(F.size(F.collect_set("word")).alias("k")).where("k = n_words").select(id_col, "keyword")
 
