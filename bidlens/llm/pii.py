@@ -28,7 +28,7 @@ WIDE = 8
 
 _WORD = r"\p{L}\p{N}"
 EMAIL = rf"(?<![{_WORD}._%+-])[{_WORD}._%+-]++@[{_WORD}-]++(?:\.[{_WORD}-]++)++"
-SECRET = r"(?i:(?<=token = \")|(?<=token=\")|(?<=token=)|(?<=password=)|(?<=password = )|(?<=secret=)|(?<=api_key=)|(?<=apikey=))[A-Za-z0-9_\-]{8,128}"
+SECRET = r"(?i:(?<=token = \")|(?<=token=\")|(?<=token=)|(?<=password=)|(?<=password = )|(?<=password:)|(?<=password: )|(?<=passwd=)|(?<=passwd: )|(?<=secret=)|(?<=api_key=)|(?<=apikey=))[A-Za-z0-9_\-]{8,128}"
 # How keys of well-known services begin.
 SERVICE = r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[0-9A-Za-z_-]{35}|xox[abp]-[0-9A-Za-z-]{10,72}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9_-])"
 SERVICE_HEAD = r"^(?:AKIA|gh[pousr]_|AIza|xox[abp]-|sk-)"
@@ -49,7 +49,7 @@ _TITLES = "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
 NAME = rf"\b(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
 _FIRST = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
 # What starts with a letter starts a word, and numbers start with one of a few characters: most places of a text are passed by one look.
-ANY = rf"(?<![{_WORD}])(?:{EMAIL}|(?<=[=\" ]){SECRET}|(?=[Agxs]){SERVICE}|(?=[{_FIRST}]){NAME}|(?=[A-Z]){IBAN})|(?=[\d+(])(?:{PHONE}|{CARD}|{SSN}|{IP})"
+ANY = rf"(?<![{_WORD}])(?:{EMAIL}|(?<=[=:\" ]){SECRET}|(?=[Agxs]){SERVICE}|(?=[{_FIRST}]){NAME}|(?=[A-Z]){IBAN})|(?=[\d+(])(?:{PHONE}|{CARD}|{SSN}|{IP})"
 
 GIVEN_MALE = ["Adam", "Boris", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leon", "Marco", "Niels", "Oscar", "Paul"]
 GIVEN_FEMALE = ["Alma", "Bella", "Clara", "Diana", "Emma", "Freya", "Greta", "Hanna", "Irina", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Paula"]

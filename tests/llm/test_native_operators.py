@@ -238,3 +238,10 @@ def test_chat_odd_rows(spark):
     rows = odd_rows(spark).withColumnRenamed("doc_id", "conv_id").withColumnRenamed("n_chars", "turn")
     assert unquote(rows).count() == 9
     assert unquote(empty_rows(spark).withColumnRenamed("doc_id", "conv_id").withColumnRenamed("n_chars", "turn")).count() == 0
+
+
+def test_secrets_after_words_with_a_colon(spark):
+    texts = ["password: hunter2secret", "PASSWD=abcdefgh12", "passwd: abcdefgh34 end", "password:qwertyuiop", "password: short"]
+    got = [r["text"] for r in replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(a != b for a, b in zip(texts[:4], got[:4], strict=True)) and got[4] == texts[4]
+    assert got[2].startswith("passwd: ") and got[2].endswith(" end")
