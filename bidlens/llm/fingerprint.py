@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The next document follows in id order, rows with one id in order of their text; after the last
     comes the first.  A row with a null id has no place there: its own text serves as the next.
-    Null and empty texts have an empty fingerprint.  ``parts`` id ranges have one task each: by default as many as shuffle partitions,
+    Null and empty texts have an empty fingerprint, and equal texts equal ones, so ties tell nothing apart.  ``parts`` id ranges have one task each: by default as many as shuffle partitions,
     and more, up to MOST_RANGES, where a range would exceed RANGE_ROWS; rows that repeat one id share a range.  A very long text is held by one task, with its next one.
     An empty table gives no rows.  Other columns, whatever their names, are not read.
     """

@@ -101,7 +101,9 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of digits, letters and non-ASCII characters with A-Z lowered.  score is 1
     with a base phrase, else the best template containment, 0 without.  Null and empty
-    texts have no words and no labels.  Rows that repeat an id share the labels found for it.
+    texts have no words and no labels.  Rows that repeat an id share the labels found for it.  A very long text is
+    one array of words; of equal scores any stands for the row, as the score alone is returned, and labels are distinct and sorted.  An
+    empty table gives no rows.  Other columns, whatever their names, are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spaced = _spaced(F.translate("text", UPPER, LOWER), "  ")
