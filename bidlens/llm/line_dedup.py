@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, unused
+from .common import join_sized, materialize, unused
 
 RATIO, LEAST_PAGES = 0.05, 5
 #: Boilerplate lines, all hosts together, that may be broadcast (about 8 bytes each).
@@ -96,6 +96,24 @@ def drop_boilerplate(
     return joined.select(*out, F.col(before).alias("n_lines"), gone.alias("n_dropped"))
 
 
+def near_pages(pages: DataFrame, *, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, class) of the pages most of whose text, by characters, stands in lines that other pages of their host have too; class is the rarest such line.
+
+    Near copies of a text leave most lines alone and share their rarest one but for the copies that changed it, so a group of any size has a few classes; a page
+    with a menu and a text of its own has none.  Rows with a null id, and null and empty texts, have no class; rows that repeat an id are one page.
+    An empty table has none.
+    """
+    said = F.filter(F.transform(F.split(F.col(f"`{text_col}`"), "\n"), _trimmed), lambda x: x != "")
+    each = F.array_distinct(F.transform(said, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("size"))))
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("")).alias("host"), each.alias("each")).where("id is not null")
+    lines = rows.select("id", "host", F.explode("each").alias("x")).select("id", "host", "x.line", "x.size")
+    counts = materialize(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = join_sized(lines, counts, ["host", "line"], "n", total).groupBy("id").agg(F.sum("size").alias("shared"), F.min(F.struct("n", "line"))["line"].alias("class"))
+    whole = rows.groupBy("id").agg(F.sum(F.aggregate("each", F.lit(0).cast("long"), lambda a, x: a + x["size"])).alias("size"))
+    return shared.join(whole, "id").where("2 * shared >= size").select(F.col("id").alias(id_col), "class")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: every page's text without its host's boilerplate."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", page_host(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from bidlens.llm.common import documents, materialize
 from bidlens.llm.decontamination import drop_leaky
-from bidlens.llm.line_dedup import drop_boilerplate
-from bidlens.llm.ngram_join import keep_one_of_each, ngram_jaccard_join
+from bidlens.llm.line_dedup import drop_boilerplate, near_pages
+from bidlens.llm.ngram_join import keep_one_of_each
 from bidlens.llm.packing import pack
 from bidlens.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
@@ -32,8 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays; a text may become empty.  n_chars is counted anew where lines go.  A null source is a source of its own,
     null texts stay null; rows that repeat an id are cut each in its own text.
     """
-    near = ngram_jaccard_join(docs).select("doc_id", F.col("component_id").alias("class"))
-    cut = drop_boilerplate(docs.select(*COLUMNS), host_col="source", text_col="text", page_class=near)
+    cut = drop_boilerplate(docs.select(*COLUMNS), host_col="source", text_col="text", page_class=near_pages(docs))
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
