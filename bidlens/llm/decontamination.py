@@ -27,7 +27,7 @@ from .common import by_ids, documents, materialize, slices, text_rows
 #: Edits allowed, as a share of the item's length.
 MOST_EDITS = 0.15
 #: Classes of items: least plain bytes, steps of the walk, steps sampled by a table, tables.
-CLASSES = ((120, 48, 14, 8), (80, 40, 16, 8), (48, 32, 14, 8), (24, 16, 9, 12))
+CLASSES = ((120, 48, 14, 8), (80, 36, 15, 10), (48, 24, 12, 10), (24, 16, 9, 12))
 SEED = 20_240_607
 #: Items searched in one pass; more are searched in several passes over the documents, one after the other.
 ITEMS_PER_PASS = 20_000

@@ -46,6 +46,17 @@ def edit(rng, text, rate):
     return "".join(s)
 
 
+def edit_by(rng, text, rate, kind):
+    s = list(text)
+    for _ in range(int(rate * len(text))):
+        p = rng.randrange(len(s))
+        if kind == "delete":
+            del s[p]
+        else:
+            s[p : p + (kind == "replace")] = rng.choice("abcdefgh")
+    return "".join(s)
+
+
 def short_sentence(rng, lo, hi):
     n, s = rng.randint(lo, hi), ""
     while len(s) < n:
@@ -75,6 +86,23 @@ def test_recall_against_all_pairs(spark, lo, hi, rate):
     assert sum(got[p] == want[p] for p in got) >= 0.99 * len(got)
 
 
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+def test_recall_of_each_kind_of_edit(spark, kind):
+    """At the limit, in every class of item lengths: of what the exact distance accepts, nine in ten are found."""
+    rng = random.Random(kind)
+    ranges = [(24, 44), (48, 76), (80, 116), (120, 350)]
+    items = [(100 * c + k, short_sentence(rng, *ranges[c]) + " " + sentence(rng, 0)) for c in range(4) for k in range(40)]
+    docs = [(1000 * c + i, sentence(rng, 12) + "\n" + edit_by(rng, plain(items[40 * c + i % 40][1]).decode(), MOST_EDITS, kind) + "! " + sentence(rng, 12)) for c in range(4) for i in range(200)]
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    texts, shares = dict(docs), []
+    for c in range(4):
+        own = [(1000 * c + i, *items[40 * c + i % 40]) for i in range(200)]
+        want = {(i, k) for i, k, item in own if edit_distance_within(plain(item), plain(texts[i]), int(MOST_EDITS * len(plain(item))))}
+        shares.append(len(got & want) / len(want))
+    assert min(shares) >= 0.9, shares
+
+
+
 def test_short_items_and_texts_without_blanks(spark):
     long = "東京都は日本の首都であり世界最大級の都市圏を形成している経済の中心地である"
     items = spark.createDataFrame([(1, "Tiny one"), (2, long), (3, "短い文"), (4, "one")], "item_id long, text string")
