@@ -245,3 +245,20 @@ def test_secrets_after_words_with_a_colon(spark):
     got = [r["text"] for r in replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert all(a != b for a, b in zip(texts[:4], got[:4], strict=True)) and got[4] == texts[4]
     assert got[2].startswith("passwd: ") and got[2].endswith(" end")
+
+
+def test_near_pages_have_few_classes(spark):
+    rng = random.Random(8)
+    article = [f"line {i} of an article that many sites copy" for i in range(8)]
+    rows = []
+    for i in range(200):  # copies with one or two lines of their own
+        own = {rng.randrange(8): f"changed {i}", rng.randrange(8): f"changed twice {i}"}
+        rows.append((i, "h", "\n".join(["Menu", *(own.get(k, x) for k, x in enumerate(article))])))
+    rows += [(1000 + i, "h", f"Menu\nan own text of page {i} that nobody else has\nand one more line {i}") for i in range(200)]
+    rows += [(5000, "h", None), (5001, "h", ""), (None, "h", article[0]), (5002, "g", article[0])]
+    found = {r["doc_id"]: r["class"] for r in line_dedup.near_pages(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert set(range(200)) == set(found) and len(set(found.values())) <= 8
+    classes = spark.createDataFrame(list(found.items()), "doc_id long, class long")
+    cut = drop_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), page_class=classes)
+    assert cut.where("text like '%Menu%'").count() == 0 and cut.where("doc_id < 200 and text like '%article%'").count() == 200
+    assert line_dedup.near_pages(empty_rows(spark)).count() == 0 and line_dedup.near_pages(odd_rows(spark)).where("doc_id = 6").count() == 0
