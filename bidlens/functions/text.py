@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ CONTRACT_SECURITY = ("обеспечение исполнения", "обесп
 _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&laquo;": "«", "&raquo;": "»", "&mdash;": "—", "&amp;": "&"}
 
 
+def once(value: Column, read: Callable[[Column], Column]) -> Column:
+    """read(value), where value is made once however often it is read."""
+    return F.get(F.transform(F.array(value), read), 0)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -117,6 +124,9 @@ def flatten_json(c: Column) -> Column:
         plain = F.when(~quoted, bare).when(F.contains(bare, F.lit("\\")), F.get(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>"), 0)).otherwise(F.substr(bare, F.lit(2), F.length(bare) - 2))
         return F.when(key, F.when(F.rlike(plain, F.lit("[ а-яА-ЯёЁ]")), plain)).when(token != "null", plain)
 
-    tokens = F.filter(F.transform(F.regexp_extract_all(c, F.lit(_JSON_TOKEN), 0), said), lambda x: F.trim(x) != "")
-    nested = F.rlike(c, F.lit(r"^\s*[\[{]")) & F.try_parse_json(c).isNotNull()
-    return F.trim(F.when(nested, F.array_join(tokens, " ")).otherwise(F.coalesce(c, F.lit(""))))
+    def read(text: Column) -> Column:
+        tokens = F.filter(F.transform(F.regexp_extract_all(text, F.lit(_JSON_TOKEN), 0), said), lambda x: F.trim(x) != "")
+        nested = F.rlike(text, F.lit(r"^\s*[\[{]")) & F.try_parse_json(text).isNotNull()
+        return F.trim(F.when(nested, F.array_join(tokens, " ")).otherwise(F.coalesce(text, F.lit(""))))
+
+    return once(c, read)

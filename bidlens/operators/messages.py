@@ -72,7 +72,7 @@ def tender_text(text: Column) -> Column:
     """A tender as lines for the model; what is unknown has no line.  ``text`` is its full text."""
 
     def line(head: str, value: Column, tail: str = "") -> Column:
-        return F.when(value.cast("string") != "", F.concat(F.lit(head), value.cast("string"), F.lit(tail)))
+        return t.once(value.cast("string"), lambda v: F.when(v != "", F.concat(F.lit(head), v, F.lit(tail))))
 
     advance = F.concat(F.lit("Аванс: да ("), F.coalesce(_plain(F.col("advance_percent")), F.lit("?")), F.lit("%)"))
     return F.concat_ws(
@@ -92,7 +92,7 @@ def tender_text(text: Column) -> Column:
         line("Обеспечение заявки: ", _plain(F.col("application_security_percent")), "%"),
         line("Обеспечение контракта: ", _plain(F.col("contract_security_percent")), "%"),
         F.when(F.col("detail_status") == "partial", PARTIAL),
-        line("Описание/предмет закупки: ", F.coalesce(F.nullif(text, F.lit("")), F.col("description"))),
+        line("Описание/предмет закупки: ", F.coalesce(t.once(text, lambda v: F.when(v != "", v)), F.col("description"))),
     )
 
 

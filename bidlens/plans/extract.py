@@ -302,5 +302,5 @@ def _sql_text(s: str) -> str:
 )
 def build_prompts_full(spark, sf_dir):
     """The whole question on each tender, with its full text and the user's requirements."""
-    rows = tenders(spark, sf_dir).withColumn("detail_diagnostics", F.expr("CASE WHEN tender_id % 5 = 0 THEN 'x' END"))
+    rows = tenders(spark, sf_dir, heavy=True).withColumn("detail_diagnostics", F.expr("CASE WHEN tender_id % 5 = 0 THEN 'x' END"))
     return rows.select("tender_id", m.user_prompt(m.tender_text(norm.full_text()), F.expr(_CONTEXT_OF)).alias("prompt"))

@@ -197,3 +197,10 @@ def test_upsert_takes_new_rows_whose_time_is_unknown(spark):
     new = spark.createDataFrame([(1, None, at, None), (2, 7.0, None, None)], schema)
     got = {r["k"]: (r["price"], r["first_seen_at"], r["updated_at"]) for r in state.upsert(old, new, "k").collect()}
     assert got == {1: (None, at, None), 2: (7.0, None, None), 3: (9.0, at, at)}
+
+
+def test_a_text_in_json_is_parsed_once_and_a_line_made_once(spark):
+    """Neither flattening nor a line of the prompt makes its value again for each test of it."""
+    df = spark.range(1).select(F.col("id").cast("string").alias("c"), F.col("id").alias("d"))
+    flat = df.select(t.flatten_json(F.get_json_object("c", "$.a")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert flat.count("get_json_object(") == 1
