@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import for_matching, for_search, tokens
+from ..functions.text import for_matching, for_search, once, tokens
 
 # Noun endings, generic keywords and the context words that they need.
 SUFFIXES = (
@@ -144,8 +144,7 @@ def _query_group(query: str) -> tuple[str, tuple[str, ...]]:
 def query_relevance(text: Column, query: str) -> Column:
     """The query as part of the text, or any form of its word group as a whole token."""
     query, group = _query_group(query)
-    found = F.contains(for_search(text), F.lit(query))
-    return found | F.arrays_overlap(F.split(for_search(text), " "), F.array(*[F.lit(g) for g in group]))
+    return once(for_search(text), lambda said: F.contains(said, F.lit(query)) | F.arrays_overlap(F.split(said, " "), F.array(*[F.lit(g) for g in group])))
 
 
 def query_relevance_substring(text: Column, query: str, external_id: Column | None = None) -> Column:
@@ -153,7 +152,7 @@ def query_relevance_substring(text: Column, query: str, external_id: Column | No
     query, group = _query_group(query)
     if query.isdigit() and external_id is not None:
         return external_id == query
-    return F.exists(F.array(*[F.lit(g) for g in group]), lambda g: F.contains(for_search(text), g))
+    return once(for_search(text), lambda said: F.exists(F.array(*[F.lit(g) for g in group]), lambda g: F.contains(said, g)))
 
 
 #: Letters of a gram; shorter forms are grams themselves.

@@ -59,3 +59,10 @@ def test_pages_that_are_broken_long_or_missing(spark):
     assert [r["external_id"] for r in box.listed_cards(_pages(spark, deep)).collect()] == ["5555555"]
     many = "".join(f'<li class="item"><a href="/tender-{1_000_000 + i}/">Закупка {i}</a></li>' for i in range(5_000))
     assert box.listed_cards(_pages(spark, many)).count() == 5_000
+
+
+def test_a_query_takes_a_text_to_search_form_once(spark):
+    """However many forms a query has, the text is put in search form once: outside the look for the forms."""
+    for test in (k.query_relevance, k.query_relevance_substring):
+        plan = spark.range(1).select(F.col("id").cast("string").alias("c")).select(test(F.col("c"), "станков").alias("ok"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_replace(") == 1 and "contains(trim(" not in plan, plan
