@@ -157,6 +157,8 @@ def query_relevance_substring(text: Column, query: str, external_id: Column | No
 
 #: Letters of a gram; shorter forms are grams themselves.
 GRAM = 3
+#: So many forms are looked for one after another in each text, which costs less than the text's grams.
+FEW_FORMS = 64
 #: Grams of all queries that may be broadcast.
 BROADCAST_GRAMS = 500_000
 
@@ -182,8 +184,8 @@ def query_forms(queries: DataFrame, column: str = "query") -> DataFrame:
 def substring_matches(texts: DataFrame, queries: DataFrame, *, id_col: str, text_col: str, external_id_col: str | None = None, query_col: str = "query") -> DataFrame:
     """(id, query): texts that hold any form of a query anywhere in their search form; a numeric query has to be the row's external id where one is given.
 
-    Each form is looked for by its rarest gram in an inverted index of the texts' grams, so a query costs what holds that gram and not a
-    look at every text.  The texts' grams are counted, and kept, only where some form has them.
+    A few forms (FEW_FORMS) are looked for in each text.  Of more, each is looked for by its rarest gram in an inverted index of the texts' grams, so a
+    query costs what holds that gram and not a look at every text.  The texts' grams are counted, and kept, only where some form has them.
     """
     forms = query_forms(queries, query_col)
     numeric = F.rlike("plain", F.lit("^[0-9]+$"))
@@ -191,15 +193,29 @@ def substring_matches(texts: DataFrame, queries: DataFrame, *, id_col: str, text
     if external_id_col is not None:
         exact = texts.select(id_col, F.col(external_id_col).alias("plain")).join(forms.where(numeric).select("query", "plain").distinct(), "plain").select(id_col, "query")
         forms = forms.where(~numeric)
+    said = texts.select(id_col, for_search(F.col(text_col)).alias("said"))
+    few = [r["form"] for r in forms.select("form").distinct().limit(FEW_FORMS + 1).collect()]
+    met = _met_by_looks(said, forms, few, id_col) if len(few) <= FEW_FORMS else _met_by_grams(said, forms, id_col)
+    return met if exact is None else met.unionByName(exact)
+
+
+def _met_by_looks(said: DataFrame, forms: DataFrame, few: list[str], id_col: str) -> DataFrame:
+    """(id, query) by a look for each form, no text leaves its task: a shuffle has ids and queries only."""
+    if not few:
+        return said.select(id_col, F.lit(None).cast("string").alias("query")).where(F.lit(False))
+    held = once(F.col("said"), lambda text: F.filter(F.array(*[F.lit(f) for f in few]), lambda f: F.contains(text, f)))
+    return said.select(id_col, F.explode(held).alias("form")).join(F.broadcast(forms.select("query", "form")), "form").select(id_col, "query").distinct()
+
+
+def _met_by_grams(said: DataFrame, forms: DataFrame, id_col: str) -> DataFrame:
+    """(id, query) by each form's rarest gram."""
     size = F.least(F.length("form"), F.lit(GRAM))
     parts = forms.select("query", "form", F.explode(F.when(size == 1, grams(F.col("form"), (1,))).when(size == 2, grams(F.col("form"), (2,))).otherwise(grams(F.col("form")))).alias("gram"))
     wanted = parts.select("gram").distinct()
     if wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
         wanted = F.broadcast(wanted)
     lengths = tuple(sorted(r[0] for r in forms.select(size).distinct().collect())) or (GRAM,)  # three at most
-    said = texts.select(id_col, for_search(F.col(text_col)).alias("said"))
     index = said.select(id_col, F.explode(grams(F.col("said"), lengths)).alias("gram")).join(wanted, "gram", "left_semi")
     held = index.groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = parts.join(held, "gram", "left").groupBy("query", "form").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("g")).where("g.texts > 0").select("query", "form", F.col("g.gram").alias("gram"))
-    met = index.join(rarest, "gram").select(id_col, "query", "form").join(said, id_col).where(F.contains("said", F.col("form"))).select(id_col, "query").distinct()
-    return met if exact is None else met.unionByName(exact)
+    return index.join(rarest, "gram").select(id_col, "query", "form").join(said, id_col).where(F.contains("said", F.col("form"))).select(id_col, "query").distinct()

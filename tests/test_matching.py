@@ -66,3 +66,14 @@ def test_a_query_takes_a_text_to_search_form_once(spark):
     for test in (k.query_relevance, k.query_relevance_substring):
         plan = spark.range(1).select(F.col("id").cast("string").alias("c")).select(test(F.col("c"), "станков").alias("ok"))._jdf.queryExecution().analyzed().toString()
         assert plan.count("regexp_replace(") == 1 and "contains(trim(" not in plan, plan
+
+
+def test_few_and_many_forms_give_the_same(spark, monkeypatch):
+    """A few forms are looked for without grams or a join of texts; the gram index gives the same pairs."""
+    df = spark.createDataFrame([(1, "станки и муфты"), (2, "поставка муфт"), (3, ""), (4, None)], "id long, txt string")
+    asked = spark.createDataFrame([("станок",), ("муфт",), ("нет",), (" ",)], "query string")
+    found = k.substring_matches(df, asked, id_col="id", text_col="txt")
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+    few = sorted(tuple(r) for r in found.collect())
+    monkeypatch.setattr(k, "FEW_FORMS", 0)
+    assert few == sorted(tuple(r) for r in k.substring_matches(df, asked, id_col="id", text_col="txt").collect()) == [(1, "муфт"), (1, "станок"), (2, "муфт")]
