@@ -9,11 +9,13 @@ numbers and times, and '' for texts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as t
+from .text import once
 
 # Labels of a page by what stands after them.
 LABELS = {
@@ -35,11 +37,11 @@ LABELS = {
 CUSTOMER_ENDS = ("address", "contact", "price", "region")
 #: Characters of a value that belong to its label.
 _LEAD, _EDGE = " :-–—", " ;,-:–—"
-# Words that name a term, the units of its number, and how far on in a sentence the number may stand.
-ADVANCE = ("аванс", r"предоплат[аы]", r"предварительн(?:ая|ой) оплат[аы]")
+# Words that name a term, with the stem that each begins with, the units of its number, and how far on in a sentence the number may stand.
+ADVANCE = {"аванс": "аванс", r"предоплат[аы]": "предоплат", r"предварительн(?:ая|ой) оплат[аы]": "предварительн"}
 ADVANCE_NAMED = ("аванс", r"предоплат[аы]", r"предварительн\w+ оплат\w*")
-APPLICATION = (r"обеспечени[ея] (?:заявки|заявления)",)
-CONTRACT = (r"обеспечени[ея] (?:исполнения|исполнение) (?:контракта|договора)",)
+APPLICATION = {r"обеспечени[ея] (?:заявки|заявления)": "обеспечени"}
+CONTRACT = {r"обеспечени[ея] (?:исполнения|исполнение) (?:контракта|договора)": "обеспечени"}
 PAYMENT, TERMS_OF_PAYMENT, DEFERRAL, RECEIPT = r"оплат[аы]", ("через", "в течение", "не позднее"), r"отсрочк[аи]", ("поставки", "приемки", "подписания")
 DAY_UNITS = ("календарн", "рабоч", "дн")
 GAP_PERCENT, GAP_SECURITY, GAP_PAYMENT, GAP_DEFERRAL = 250, 300, 250, 150
@@ -63,6 +65,10 @@ LONGER_PROCEDURES = (*PROCEDURES, "Мониторинг цен", "Процеду
 SITES, MARKS = ("Фабрикант", "Fabrikant"), ("СМП СОНО", "СМП", "СОНО")
 
 _ANY_CASE = "(?iU)"
+#: Letters and what they are in lower case; the last are rounded and tall forms, which a search in any case takes for plain ones.
+_UPPER, _LOWER = "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ\u1c80\u1c81\u1c82\u1c83\u1c84\u1c85\u1c86", "абвгдеёжзийклмнопрстуфхцчшщъыьэюявдосттъ"
+#: Put around labels; a text that holds one itself is parted by the pattern.
+_OPEN, _CLOSE = "\x01", "\x02"
 
 
 def _first(found: Column) -> Column:
@@ -70,15 +76,25 @@ def _first(found: Column) -> Column:
     return F.get(F.filter(found, lambda v: v.isNotNull() & (v != "")), 0)
 
 
-def _once(value: Column, read: Callable[[Column], Column]) -> Column:
-    """read(value), where value is made once however often it is read."""
-    return F.get(F.transform(F.array(value), read), 0)
-
-
 def _one_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
+def _unblank(c: Column) -> Column:
+    """Null for '', where nullif would make the value twice inside a lambda."""
+    return once(c, lambda v: F.when(v != "", v))
+
+
+def fold(c: Column) -> Column:
+    """Cyrillic letters in lower case, one for one, as a search in any case takes them."""
+    return F.translate(c, _UPPER, _LOWER)
+
+
+def _if_told(folded: Column, words: tuple[str, ...], value: Column) -> Column:
+    """The value where the folded text holds one of the words, else null: a look for fixed words saves most texts the search by patterns."""
+    return F.when(reduce(lambda a, b: a | b, [F.contains(folded, F.lit(w)) for w in words]), value)
+
+
 def segments(c: Column, labels: dict[str, tuple[str, ...]] = LABELS) -> Column:
     """The labels of a text in order, each with its kind and the text up to the next label: array<struct<kind, label, value>>.
 
@@ -86,12 +102,23 @@ def segments(c: Column, labels: dict[str, tuple[str, ...]] = LABELS) -> Column:
     """
     kind_of = {label.lower(): kind for kind, names in labels.items() for label in names}
     names = sorted(kind_of, key=lambda x: (-len(x), x))
-    spelled = "|".join(n.replace("(", r"\(").replace(")", r"\)") for n in names)
+    tails: dict[str, list[str]] = {}
+    for name in names:  # by first letter, so that a word is held against few labels
+        tails.setdefault(name[0], []).append(name[1:].replace("(", r"\(").replace(")", r"\)"))
+    spelled = "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in tails.items())
     pattern = rf"{_ANY_CASE}(?<!\p{{L}})(?:{spelled})(?!\p{{L}})"
     kinds = F.create_map(*[F.lit(x) for item in kind_of.items() for x in item])
     said = F.regexp_extract_all(c, F.lit(pattern), 0)
+
+    def of(label: Column, value: Column) -> Column:
+        return once(F.lower(label), lambda name: F.struct(kinds[name].alias("kind"), name.alias("label"), value.alias("value")))
+
+    # one scan writes marks around the labels, and parting at a mark needs no pattern
+    parts = F.filter(F.split(F.regexp_replace(c, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1), lambda p, i: i > 0)
+    marked = F.transform(parts, lambda p: once(F.split(p, _CLOSE, 2), lambda x: of(F.get(x, 0), F.get(x, 1))))
     # bound, as an expression inside the lambda would be made anew for every label
-    return _once(F.split(c, pattern, -1), lambda between: F.transform(said, lambda s, i: F.struct(kinds[F.lower(s)].alias("kind"), F.lower(s).alias("label"), F.get(between, i + 1).alias("value"))))
+    scanned = once(F.split(c, pattern, -1), lambda between: F.transform(said, lambda s, i: of(s, F.get(between, i + 1))))
+    return F.when(F.contains(c, F.lit(_OPEN)) | F.contains(c, F.lit(_CLOSE)), scanned).otherwise(marked)
 
 
 def _values(segs: Column, kind: str) -> Column:
@@ -100,30 +127,34 @@ def _values(segs: Column, kind: str) -> Column:
 
 
 def _after(sentence: Column, word: str, gap: int) -> Column:
-    """What follows a word in a sentence, as far as a number may stand; null without the word."""
-    found = F.regexp_extract(sentence, rf"{_ANY_CASE}{word}(.*)$", 1)
-    return F.when(F.rlike(sentence, F.lit(_ANY_CASE + word)), F.left(found, F.lit(gap + 12)))
+    """What follows a word in a folded sentence, as far as a number may stand; '' without the word."""
+    return F.left(F.regexp_extract(sentence, rf"(?U){word}(.*)$", 1), F.lit(gap + 12))
 
 
 def _percent(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(\d+(?:[.,]\d+)?)\s*%", 1), F.lit(""))
+    return F.regexp_extract(c, r"(\d+(?:[.,]\d+)?)\s*%", 1)
 
 
 def _days(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, rf"{_ANY_CASE}(\d+)\s*(?:{'|'.join(DAY_UNITS)})", 1), F.lit(""))
+    return F.regexp_extract(c, rf"(?U)(\d+)\s*(?:{'|'.join(DAY_UNITS)})", 1)
 
 
 def _number(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
 
 
-def _percent_after(sentences: Column, words: tuple[str, ...], gap: int) -> Column:
+def _percent_after(text: Column, sentences: Column, words: dict[str, str], gap: int) -> Column:
     """The percentage of the first word, in their order, that has one in a sentence that names it."""
-    return _number(F.coalesce(*[_in_sentences(sentences, w, gap, _percent) for w in words]))
 
+    def read(word: str) -> Callable[[Column], Column]:
+        return lambda s: _percent(_after(s, word, gap))
+
+    return once(F.coalesce(*[_if_told(text, (stem,), _in_sentences(sentences, stem, read(word))) for word, stem in words.items()]), _number)
 
-def _in_sentences(sentences: Column, word: str, gap: int, read: Callable[[Column], Column]) -> Column:
-    return _first(F.transform(sentences, lambda s: read(_after(s, word, gap))))
+
+def _in_sentences(sentences: Column, stem: str, read: Callable[[Column], Column]) -> Column:
+    """What is read first out of the sentences that hold the stem."""
+    return _first(F.transform(F.filter(sentences, lambda s: F.contains(s, F.lit(stem))), read))
 
 
 def sentence_terms(c: Column) -> Column:
@@ -132,29 +163,35 @@ def sentence_terms(c: Column) -> Column:
     A point between digits ends no sentence.
     """
 
-    def read(text: Column) -> Column:
-        return _once(F.split(text, r"\.(?!\d)", -1), lambda sentences: _terms(text, sentences))
-
-    return _once(_one_line(c), read)
+    return once(fold(_one_line(c)), lambda text: once(F.split(text, r"\.(?!\d)", -1), lambda sentences: _terms(text, sentences)))
 
 
 def _terms(text: Column, sentences: Column) -> Column:
-    advance = _percent_after(sentences, ADVANCE, GAP_PERCENT)
-    named = F.rlike(text, F.lit(rf"{_ANY_CASE}\b(?:{'|'.join(ADVANCE_NAMED)})\b"))
+    """The terms of a folded text and its sentences."""
+    named = _if_told(text, tuple(ADVANCE.values()), F.rlike(text, F.lit(rf"(?U)(?<!\w)(?:{'|'.join(ADVANCE_NAMED)})(?!\w)")))
     # a term of payment, a deferral, or days before what they count from
     stated = rf"(?:{'|'.join(TERMS_OF_PAYMENT)})\s*(?=\d)"
-    paid = F.transform(sentences, lambda s: _days(_after(_after(s, PAYMENT, GAP_PAYMENT), stated, 10)))
-    deferred = F.transform(sentences, lambda s: _days(_after(s, DEFERRAL, GAP_DEFERRAL)))
-    received = F.transform(sentences, lambda s: F.when(F.rlike(s, F.lit(rf"{_ANY_CASE}после (?:{'|'.join(RECEIPT)})")), _days(F.regexp_extract(s, rf"{_ANY_CASE}^(.*)после (?:{'|'.join(RECEIPT)})", 1))))
-    return F.struct(
-        F.coalesce(advance.isNotNull() | named, F.lit(False)).alias("advance_required"),
-        advance.alias("advance_percent"),
-        F.coalesce(_first(paid), _first(deferred), _first(received)).try_cast("int").alias("postpayment_days"),
-        _percent_after(sentences, APPLICATION, GAP_SECURITY).alias("application_security_percent"),
-        _percent_after(sentences, CONTRACT, GAP_SECURITY).alias("contract_security_percent"),
+    days = {
+        "оплат": lambda s: _days(_after(_after(s, PAYMENT, GAP_PAYMENT), stated, 10)),
+        "отсрочк": lambda s: _days(_after(s, DEFERRAL, GAP_DEFERRAL)),
+        "после ": lambda s: _days(F.regexp_extract(s, rf"^(.*)после (?:{'|'.join(RECEIPT)})", 1)),
+    }
+    return once(
+        _percent_after(text, sentences, ADVANCE, GAP_PERCENT),
+        lambda advance: F.struct(
+            F.coalesce(advance.isNotNull() | named, F.lit(False)).alias("advance_required"),
+            advance.alias("advance_percent"),
+            F.coalesce(*[_if_told(text, (stem,), _in_sentences(sentences, stem, read)) for stem, read in days.items()]).try_cast("int").alias("postpayment_days"),
+            _percent_after(text, sentences, APPLICATION, GAP_SECURITY).alias("application_security_percent"),
+            _percent_after(text, sentences, CONTRACT, GAP_SECURITY).alias("contract_security_percent"),
+        ),
     )
 
 
+def _unzero(c: Column) -> Column:
+    return once(c, lambda v: F.when(v != 0, v.cast("int")))
+
+
 _CLOCK = r"(?:[ T]+\d{1,2}:\d{2})?"
 NAMED_DAY, DOTTED_DAY, ISO_DAY = rf"\d{{1,2}} [а-яё]+ 20\d{{2}}{_CLOCK}", rf"\d{{1,2}}[./-]\d{{1,2}}[./-]20\d{{2}}{_CLOCK}", rf"20\d{{2}}[./-]\d{{1,2}}[./-]\d{{1,2}}{_CLOCK}"
 
@@ -164,16 +201,16 @@ def _time(found: Column, hour: int, year_first: bool = False) -> Column:
     year, day = (0, 2) if year_first else (2, 0)
 
     def read(parts: Column) -> Column:
-        month = F.coalesce(F.get(parts, 1).try_cast("int"), F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.get(parts, 1))), F.lit(0)).cast("int"))
+        month = F.coalesce(F.get(parts, 1).try_cast("int"), _unzero(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.get(parts, 1)))))
         clock = [F.get(parts, 3).try_cast("int"), F.get(parts, 4).try_cast("int")]
         return F.try_make_timestamp_ntz(F.get(parts, year).try_cast("int"), month, F.get(parts, day).try_cast("int"), F.coalesce(clock[0], F.lit(hour)), F.coalesce(clock[1], F.lit(0)), F.lit(0))
 
-    return _once(F.split(found, r"[./: T-]+"), read)
+    return once(F.split(found, r"[./: T-]+"), read)
 
 
 def _found(c: Column, pattern: str, group: int = 0) -> Column:
     """A group of the first match in any case, null without one."""
-    return F.nullif(F.regexp_extract(c, f"{_ANY_CASE}{pattern}", group), F.lit(""))
+    return _unblank(F.regexp_extract(c, f"{_ANY_CASE}{pattern}", group))
 
 
 def human_time(c: Column) -> Column:
@@ -186,7 +223,7 @@ def _publication(text: Column, segs: Column) -> Column:
     month = "|".join(MONTHS)
     named, dotted = NAMED_DAY.replace("[а-яё]+", f"(?:{month})"), DOTTED_DAY
     after = [_first(_heads(labelled, p)) for p in (named, dotted)]
-    begun = [_found(text, rf"({p}) *[•|-]? *начало", 1) for p in (named, dotted)]
+    begun = [F.when(F.contains(fold(text), F.lit("начало")), _found(text, rf"({p}) *[•|-]? *начало", 1)) for p in (named, dotted)]
     return F.coalesce(*[_time(x, 12) for x in (*after, *begun)])
 
 
@@ -197,12 +234,12 @@ def _heads(values: Column, pattern: str) -> Column:
 
 def publication_time(c: Column) -> Column:
     """The labelled day of publication, else the day on which applications begin."""
-    return _once(_one_line(c), lambda text: _publication(text, segments(text)))
+    return once(_one_line(c), lambda text: _publication(text, segments(text)))
 
 
 def day_in_text(c: Column) -> Column:
     """The first d.M.yyyy in a text, else the first yyyy-M-d, with separators . / -; midnight without a time; an impossible day is null."""
-    return _once(_found(c, DOTTED_DAY), lambda dotted: F.when(dotted.isNotNull(), _time(dotted, 0)).otherwise(_time(_found(c, ISO_DAY), 0, year_first=True)))
+    return once(_found(c, DOTTED_DAY), lambda dotted: F.when(dotted.isNotNull(), _time(dotted, 0)).otherwise(_time(_found(c, ISO_DAY), 0, year_first=True)))
 
 
 def iso_time(c: Column) -> Column:
@@ -221,12 +258,12 @@ def _customer(segs: Column) -> Column:
         named = [F.filter(_values(ended, kind), lambda v: F.length(F.trim(v)) >= 3) for kind in ("customer", "placed_by")]
         return F.coalesce(*[F.btrim(_first(n)) for n in named], F.lit(""))
 
-    return _once(F.array_max(F.transform(segs, lambda s, i: F.when(s["kind"].isin(*CUSTOMER_ENDS), i))), read)
+    return once(F.array_max(F.transform(segs, lambda s, i: F.when(s["kind"].isin(*CUSTOMER_ENDS), i))), read)
 
 
 def customer_in_text(c: Column) -> Column:
     """The labelled customer up to the next label, else the organisation that places the notice."""
-    return _once(segments(_one_line(c)), _customer)
+    return once(segments(_one_line(c)), _customer)
 
 
 def customer_in_cells(cells: Column) -> Column:
@@ -253,22 +290,32 @@ def _region(segs: Column) -> Column:
 
 def region_in_text(c: Column) -> Column:
     """The labelled region or place up to the next label, else the town of an address."""
-    return _once(segments(_one_line(c)), _region)
+    return once(segments(_one_line(c)), _region)
 
 
 _NAME, _MORE = "[а-яё][а-яё-]+", "(?: [а-яё-]+){0,2}"
 #: A republic, a republic named after its name, another kind of region after its name, a city; in the order in which they are looked for.
-_NAMED_REGIONS = (rf"\bреспублика {_NAME}{_MORE}", rf"\b{_NAME}{_MORE} респ(?:ублика)?\b", rf"\b{_NAME}{_MORE} (?:{'|'.join(REGION_KINDS)})\b", rf"\bг\.? ?(?:{'|'.join(REGION_CITIES)})\b")
+#: Each with words of which a text that has one holds one.
+_NAMED_REGIONS = {
+    rf"(?<!\w)республика {_NAME}{_MORE}": ("республика ",),
+    rf"(?<!\w){_NAME}{_MORE} респ(?:ублика)?(?!\w)": (" респ",),
+    rf"(?<!\w){_NAME}{_MORE} (?:{'|'.join(REGION_KINDS)})(?!\w)": tuple(f" {k}" for k in REGION_KINDS),
+    rf"(?<!\w)г\.? ?(?:{'|'.join(REGION_CITIES)})(?!\w)": tuple(x.lower() for x in REGION_CITIES),
+}
 
 
 def named_region(c: Column) -> Column:
     """A republic, an oblast or krai, or a city of federal rank, wherever it stands."""
-    return _once(_one_line(c), lambda text: F.left(F.coalesce(*[F.btrim(_found(text, p), F.lit(" ,.;:")) for p in _NAMED_REGIONS], F.lit("")), F.lit(REGION_MOST)))
+
+    def read(text: Column) -> Column:
+        return once(fold(text), lambda low: F.coalesce(*[_if_told(low, words, F.btrim(_found(text, p), F.lit(" ,.;:"))) for p, words in _NAMED_REGIONS.items()], F.lit("")))
+
+    return once(_one_line(c), lambda text: F.left(read(text), F.lit(REGION_MOST)))
 
 
 def first_phrase(c: Column, phrases: tuple[str, ...]) -> Column:
     """The first of the phrases, in their order, that the text holds in whatever case."""
-    return _once(F.lower(F.coalesce(c, F.lit(""))), lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(p.lower())), p) for p in phrases], F.lit("")))
+    return once(F.lower(F.coalesce(c, F.lit(""))), lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(p.lower())), p) for p in phrases], F.lit("")))
 
 
 def _without_head(c: Column) -> Column:
@@ -297,19 +344,19 @@ def _without_marks(c: Column) -> Column:
 def clean_title(c: Column, external_id: Column) -> Column:
     """A title without the procedure's kind and number at its ends, site names and registry marks; a title said twice is said once."""
 
-    def once(title: Column) -> Column:
+    def halves(title: Column) -> Column:
         words = F.split(title, " ")
         half = (F.size(words) / 2).cast("int")
         first, second = F.slice(words, F.lit(1), half), F.slice(words, half + 1, half)
         return F.left(F.when((F.size(words) >= 6) & (F.size(words) % 2 == 0) & (first == second), F.array_join(first, " ")).otherwise(title), F.lit(1000))
 
     def marks(title: Column) -> Column:
-        return _once(_without_marks(title), once)
+        return once(_without_marks(title), halves)
 
     def tail(title: Column) -> Column:
-        return _once(F.trim(_without_tail(title, external_id)), marks)
+        return once(F.trim(_without_tail(title, external_id)), marks)
 
-    return _once(t.collapse(c), lambda title: _once(F.trim(_without_head(title)), tail))
+    return once(t.collapse(c), lambda title: once(F.trim(_without_head(title)), tail))
 
 
 def law(c: Column, url: Column | None = None) -> Column:
@@ -333,7 +380,7 @@ TERMS = ("advance_required", "advance_percent", "postpayment_days", "application
 
 def _details(text: Column, segs: Column, terms: Column, url: Column) -> Column:
     inn = _first(F.transform(F.filter(segs, lambda s: s["kind"] == "inn"), lambda s: t.tax_id(F.regexp_extract(s["value"], r"^[\s:№]*(\d(?: ?\d){9}(?: ?\d ?\d)?)(?!\d)", 1))))
-    region = F.coalesce(F.nullif(_region(segs), F.lit("")), named_region(text))
+    region = F.coalesce(_unblank(_region(segs)), named_region(text))
     return F.struct(
         law(text, url).alias("law_type"),
         first_phrase(text, METHODS).alias("procurement_method"),
@@ -350,7 +397,7 @@ def _details(text: Column, segs: Column, terms: Column, url: Column) -> Column:
 
 def details(c: Column, url: Column) -> Column:
     """All fields of a detail page's text as one struct; the text is scanned for labels once."""
-    return _once(_one_line(c), lambda text: _once(segments(text), lambda segs: _once(sentence_terms(text), lambda terms: _details(text, segs, terms, url))))
+    return once(_one_line(c), lambda text: once(segments(text), lambda segs: once(sentence_terms(text), lambda terms: _details(text, segs, terms, url))))
 
 
 RECOVERED = ("customer", "customer_inn", "law_type", "region")
@@ -358,4 +405,4 @@ RECOVERED = ("customer", "customer_inn", "law_type", "region")
 
 def recovered(c: Column, url: Column, **known: Column) -> Column:
     """The fields of RECOVERED, each from its column where that is not blank and from the page's text else."""
-    return _once(details(c, url), lambda found: F.struct(*[F.coalesce(t.blank_to_null(known[f]), found[f]).alias(f) for f in RECOVERED]))
+    return once(details(c, url), lambda found: F.struct(*[F.coalesce(t.blank_to_null(known[f]), found[f]).alias(f) for f in RECOVERED]))

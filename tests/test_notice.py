@@ -188,3 +188,12 @@ def test_long_texts(spark):
     df = spark.createDataFrame([("Заказчик: ООО Вектор ИНН 7701234567 Регион: Тверь " * 3_000 + "слово " * 200_000 + "Аванс 5%.",)], "c string")
     row = df.select(n.details(F.col("c"), F.lit("")).alias("d")).first()["d"]
     assert (row["customer"], row["region"], row["advance_percent"]) == ("ООО Вектор", "Тверь", 5.0)
+
+
+def test_marks_in_a_text_and_unusual_letters(spark):
+    """A text that holds the marks put around labels is parted like any other; rounded letters count as plain ones."""
+    texts = ["Регион: Тве\x01рь ИНН 5", "Регион: Тве\x02рь ИНН 5", "ПРЕДᲂПЛАТА 5%", "АВАНС 7%. после ПОСТАВКИ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, c string").select("k", n.segments(F.col("c")).alias("s"), n.sentence_terms(F.col("c"))["advance_percent"].alias("a")).orderBy("k").collect()
+    assert [x["value"] for x in rows[0]["s"]] == [": Тве\x01рь ", " 5"] and [x["value"] for x in rows[1]["s"]] == [": Тве\x02рь ", " 5"]
+    assert [r["a"] for r in rows[2:]] == [5.0, 7.0]
+
