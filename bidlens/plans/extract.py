@@ -14,7 +14,7 @@ from ..sources.tables import WITH, spread, table, tenders
 from .registry import query
 
 def _order_rows(spark, sf_dir):
-    return table(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "dd.MM.yyyy")).withColumn("amount", F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"))
+    return spread(table(spark, sf_dir, "orders")).withColumn("day", F.date_format("o_orderdate", "dd.MM.yyyy")).withColumn("amount", F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"))
 
 
 def _pages(spark, sf_dir, row: str, head: str = "", tail: str = ""):
@@ -87,7 +87,7 @@ _MOSCOW = "timezone('UTC', timezone('Europe/Moscow', {}))"
 )
 def extract_container_links(spark, sf_dir):
     """Nested cards: each procedure with the text and the dates of its own container, the first link of an id."""
-    pages = spread(_order_rows(spark, sf_dir)).selectExpr("o_orderkey AS page_id", "'https://www.b2b.example/market/' AS url", _LISTING)
+    pages = _order_rows(spark, sf_dir).selectExpr("o_orderkey AS page_id", "'https://www.b2b.example/market/' AS url", _LISTING)
     return box.listed_cards(pages)
 
 
@@ -104,7 +104,7 @@ _NAV = """concat('<ul><li><a href="/lot/purchase/', lpad(CAST(o_orderkey AS STRI
 )
 def extract_page_links(spark, sf_dir):
     """Procedures behind links, data attributes and click handlers of a page's own host."""
-    pages = spread(_order_rows(spark, sf_dir)).selectExpr("o_orderkey AS page_id", "'https://rts.example/search' AS url", _NAV)
+    pages = _order_rows(spark, sf_dir).selectExpr("o_orderkey AS page_id", "'https://rts.example/search' AS url", _NAV)
     return box.listed_links(pages)
 
 

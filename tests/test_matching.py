@@ -77,3 +77,18 @@ def test_few_and_many_forms_give_the_same(spark, monkeypatch):
     few = sorted(tuple(r) for r in found.collect())
     monkeypatch.setattr(k, "FEW_FORMS", 0)
     assert few == sorted(tuple(r) for r in k.substring_matches(df, asked, id_col="id", text_col="txt").collect()) == [(1, "муфт"), (1, "станок"), (2, "муфт")]
+
+
+def test_links_are_written_in_parts_and_in_order(spark, monkeypatch):
+    """One batch holds the links of many pages; where its texts grow long it is written in parts."""
+    pages = spark.createDataFrame([(i, f"https://h.example/{i}", f'<li><a href="/tender-{1_000_000 + i}/">Закупка {i}</a></li>' if i % 3 else None) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    whole = box.container_links(pages).collect()
+    assert box.container_links(pages).rdd.getNumPartitions() == 1 and len(whole) == 13
+    monkeypatch.setattr(box, "MOST_HELD", 10)
+    assert box.container_links(pages).collect() == whole and all(r["url"].endswith(f"/{r['page_id']}") for r in whole)
+
+
+def test_pages_of_few_files_are_dealt_over_all_cores(spark):
+    for name in ("extract_cards", "extract_table_rows", "build_prompts_full"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan, name
