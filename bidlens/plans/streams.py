@@ -124,7 +124,7 @@ def stream_deadlines(spark, sf_dir):
     orders = jobs.source(spark, f"{sf_dir}/order[s].parquet", table(spark, sf_dir, "orders").schema, maxFilesPerTrigger="1000000")
     rows = orders.selectExpr(*items(_DUE.format(seconds="make_dt_interval(0, 0, 0, CAST(o_orderkey / 1000 AS DECIMAL(18, 6)))", days="make_dt_interval")))
     utc = {"at": F.col("told").cast("timestamp"), "deadline": F.col("deadline").cast("timestamp")}
-    said = rows.withColumns(utc).withColumn("kind", F.explode(F.array(F.lit("tender"), F.lit("status"))))
+    said = rows.withColumns(utc).withColumn("kind", F.lit("both"))
     written = _finish(keyed.deadlines(said, _NEAR_DAYS), spark, "deadlines", "update")
     last = s.last_wins(written, ["tender_id"], [F.col("at"), F.col("batch")])
     return last.where("action = 'near'").select("tender_id", F.col("deadline").cast("timestamp_ntz").alias("deadline"))

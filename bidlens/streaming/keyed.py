@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import board
@@ -96,63 +98,98 @@ def board_state(events: DataFrame, horizon: str = "30 days") -> DataFrame:
     return keyed.transformWithStateInPandas(BoardProcessor(), BOARD_ROW, "Update", "EventTime")
 
 
-DEADLINE_ROW = "tender_id long, at timestamp, action string, deadline timestamp"
-DAY_MS = 86_400_000
+#: Deadlines keep their state by parts of up to 2^SLOT_BITS tenders, so that calls to the state store are one a part and not one a tender.  A block of ids
+#: in a row is dealt over 2^LANE_BITS parts, so that new tenders, whose ids follow one another, meet in no single part; the number of parts grows with the ids.
+SLOT_BITS, LANE_BITS = 10, 6
+SLOTS, LANES = 1 << SLOT_BITS, 1 << LANE_BITS
+#: The part of rows without a tender's id: beyond the parts of all ids.
+NO_PART = 1 << 60
+DAY_US = 86_400_000_000
+#: The time of what has not been said: before all times.
+NEVER = -(1 << 63)
+#: What a row says.
+DEADLINE, STATUS = 1, 2
+#: What is known of a tender, as arrays of a part: types and values of a new tender, times in microseconds.
+KNOWN = {"deadline": ("long", NEVER), "said": ("long", NEVER), "active": ("boolean", "new" in board.ACTIVE), "since": ("long", NEVER), "told": ("boolean", False)}
 
 
 class DeadlineProcessor(StatefulProcessor):
-    """State of a tender: its deadline and last status by time; timers tell when the deadline comes near and when it has passed."""
+    """State of a part: deadline and status of its tenders by time; its timer tells when the next deadline comes near or has passed."""
 
     def __init__(self, days: int):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "deadline long, status string, since long, told boolean")
-
-    def _answer(self, tender: int, now: int) -> list[tuple]:
-        """What has to be said now, in milliseconds, and the next timer."""
-        deadline, status, since, told = self.known.get()
-        active = status in board.ACTIVE and deadline is not None and deadline >= now
-        near = active and deadline <= now + self.days * DAY_MS
+        self.known = handle.getValueState("known", "slot array<int>, " + ", ".join(f"{c} array<{t}>" for c, (t, _) in KNOWN.items()))
+
+    def _known(self) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Which slots have a tender, and the columns by slot."""
+        used = np.zeros(SLOTS, bool)
+        columns = {c: np.full(SLOTS, new, "int64" if t == "long" else bool) for c, (t, new) in KNOWN.items()}
+        found = self.known.get() if self.known.exists() else None
+        if found is not None:
+            slots = np.asarray(found[0], "int64")
+            used[slots] = True
+            for column, values in zip(columns.values(), found[1:], strict=True):
+                column[slots] = values
+        return used, columns
+
+    def _answer(self, part: int, used: np.ndarray, known: dict[str, np.ndarray], now_ms: int) -> Iterator[pd.DataFrame]:
+        """What has to be said now, and the next timer."""
+        now, ahead, deadline = now_ms * 1000, self.days * DAY_US, known["deadline"]
+        active = known["active"] & (deadline >= now)
+        near = active & (deadline <= now + ahead)
+        # the first millisecond after a deadline that is near, or at which one comes near
+        due = np.where(near[active], deadline[active] // 1000 + 1, -((ahead - deadline[active]) // 1000))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if active:
-            self.handle.registerTimer(deadline - self.days * DAY_MS if not near else deadline + 1)
-        self.known.update((deadline, status, since, near))
-        return [] if near == bool(told) else [(tender, now, "near" if near else "gone", deadline)]
+        if due.size:
+            self.handle.registerTimer(int(due.min()))
+        changed = np.flatnonzero(near != known["told"])
+        known["told"] = near
+        slots = np.flatnonzero(used)
+        self.known.update((slots.tolist(), *(column[slots].tolist() for column in known.values())))
+        if changed.size:
+            yield pd.DataFrame({"part": part, "slot": changed, "at": now, "action": np.where(near[changed], "near", "gone"), "deadline": deadline[changed]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        deadline, status, since, told = self.known.get() if self.known.exists() else (None, "new", None, False)
+        used, known = self._known()
         for df in rows:
-            for row in df.sort_values("at").itertuples():
-                at = row.at.value // 1_000_000
-                if row.kind == "tender":
-                    deadline = None if pd.isna(row.deadline) else row.deadline.value // 1_000_000
-                elif since is None or at >= since:
-                    status, since = row.value, at
-        self.known.update((deadline, status, since, bool(told)))
-        yield _said(self._answer(key[0], timerValues.getCurrentWatermarkInMs()))
+            used[df["slot"].to_numpy()] = True
+            # the last row by time counts, of one instant the largest value; what is older than the known changes nothing
+            for says, value, time in ((DEADLINE, "deadline", "said"), (STATUS, "active", "since")):
+                last = df[(df["says"].to_numpy() & says) > 0].sort_values(["time", value]).drop_duplicates("slot", keep="last")
+                slots, times, values = (last[c].to_numpy() for c in ("slot", "time", value))
+                newer = times >= known[time][slots]
+                known[value][slots[newer]], known[time][slots[newer]] = values[newer], times[newer]
+        yield from self._answer(key[0], used, known, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield _said(self._answer(key[0], timerValues.getCurrentWatermarkInMs()))
+        yield from self._answer(key[0], *self._known(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def _said(rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=["tender_id", "at", "action", "deadline"])
-    for c in ("at", "deadline"):
-        df[c] = pd.to_datetime(df[c], unit="ms").astype("datetime64[us]")
-    return df
-
-
 def deadlines(changes: DataFrame, days: int, horizon: str = "0 seconds") -> DataFrame:
     """(tender_id, at, action, deadline): ``near`` as an active tender's deadline is at most so many days away, ``gone`` as it passes or the tender leaves the active statuses.
 
-    ``changes`` has tender_id, at, kind, deadline and value: rows of kind ``tender`` say the deadline, others the status.  The clock is the watermark of ``at``.
+    ``changes`` has tender_id, at, kind, deadline and value: rows of kind ``tender`` say the deadline, of kind ``both`` deadline and status, others the status.
+    The clock is the watermark of ``at``; a row of unknown time says nothing.
     """
     use_state_store(changes.sparkSession)
-    keyed = changes.select("tender_id", "at", "kind", "deadline", "value").withWatermark("at", horizon).groupBy("tender_id")
-    return keyed.transformWithStateInPandas(DeadlineProcessor(days), DEADLINE_ROW, "Update", "EventTime")
+    ident, block = F.col("tender_id"), SLOT_BITS + LANE_BITS
+    part = F.shiftleft(F.shiftright(ident, block), LANE_BITS).bitwiseOR(ident.bitwiseAND(F.lit(LANES - 1)))
+    slot = F.shiftright(ident, LANE_BITS).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    rows = changes.where("at is not null").withWatermark("at", horizon).select(
+        F.coalesce(part, F.lit(NO_PART)).alias("part"), F.coalesce(slot, F.lit(0)).alias("slot"), "at", F.unix_micros("at").alias("time"),
+        F.when(F.col("kind") == "tender", DEADLINE).when(F.col("kind") == "both", DEADLINE | STATUS).otherwise(STATUS).alias("says"),
+        F.coalesce(F.unix_micros("deadline"), F.lit(NEVER)).alias("deadline"), F.coalesce(F.col("value").isin(*board.ACTIVE), F.lit(False)).alias("active"),
+    )
+    said = rows.groupBy("part").transformWithStateInPandas(DeadlineProcessor(days), "part long, slot long, at long, action string, deadline long", "Update", "EventTime")
+    ident = F.shiftleft(F.shiftright("part", LANE_BITS), block).bitwiseOR(F.shiftleft("slot", LANE_BITS)).bitwiseOR(F.col("part").bitwiseAND(F.lit(LANES - 1)))
+    return said.select(
+        F.when(F.col("part") != NO_PART, ident).alias("tender_id"), F.timestamp_micros("at").alias("at"), "action",
+        F.when(F.col("deadline") != NEVER, F.timestamp_micros("deadline")).alias("deadline"),
+    )

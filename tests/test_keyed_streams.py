@@ -67,6 +67,51 @@ def test_deadlines_come_near_and_go(spark, tmp_path):
     assert not [x for x in said if x[0] in (3, 9)]
 
 
+CHANGES = "tender_id long, at timestamp, kind string, deadline timestamp, value string"
+
+
+def _deadlines(spark, tmp_path, files, horizon="0 seconds"):
+    """What is said of files that come one a batch, and the rows of state in the end."""
+    src, out = str(tmp_path / "ch"), str(tmp_path / "out")
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.parquet(f"{src}/b{i}")
+    stream = keyed.deadlines(jobs.source(spark, f"{src}/*", spark.createDataFrame([], CHANGES).schema, maxFilesPerTrigger="1"), 3, horizon)
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{out}/b={i}")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    said = [(r["tender_id"], r["action"], r["deadline"]) for r in spark.read.parquet(out).orderBy("batch", "tender_id").collect()]
+    return said, max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+
+
+def test_deadlines_of_many_tenders_have_few_rows_of_state(spark, tmp_path):
+    """State and timers are kept by parts of tenders; ids of any size, negative and missing ones come back as they were."""
+    at, due = dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 10)
+    ids = [*range(3_000), -1, -70_000, 2**62 + 5, -(2**63), None]
+    said, kept = _deadlines(spark, tmp_path, [[(i, at, "both", due, "reviewing") for i in ids], [(0, dt.datetime(2026, 1, 8), "clock", None, "reviewing")]])
+    assert sorted(said, key=str) == sorted([(i, "near", due) for i in ids], key=str)
+    assert kept <= 3 * (keyed.LANES + 5)
+
+
+def test_deadlines_that_are_told_late_change_nothing(spark, tmp_path):
+    """Within the horizon an older row may come after a newer one."""
+    day = lambda n: dt.datetime(2026, 1, n)
+    files = [[(1, day(5), "both", day(10), "reviewing")], [(1, day(4), "both", day(30), "won")], [(1, None, "both", day(31), "won"), (9, day(18), "clock", None, "new")]]
+    assert _deadlines(spark, tmp_path, files, "10 days")[0] == [(1, "near", day(10))]
+
+
+def test_deadlines_come_near_on_the_millisecond_in_any_time_zone(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Vladivostok")
+    try:
+        at, due = dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 10, 0, 0, 0, 1_500)
+        clock = [(due - dt.timedelta(days=3, microseconds=500), []), (due - dt.timedelta(days=3, microseconds=-500), ["near"])]
+        for n, (now, want) in enumerate(clock):
+            said, _ = _deadlines(spark, tmp_path / str(n), [[(1, at, "both", due, "reviewing")], [(2, now, "clock", None, "new")]])
+            assert [x[1] for x in said] == want, (n, said)
+            assert all(x[2] == due for x in said)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_late_rows_go_to_an_output_of_their_own(spark, tmp_path):
     src = str(tmp_path / "l")
     rows = [(1, dt.datetime(2026, 1, 1)), (2, dt.datetime(2026, 3, 1)), (3, None)]
