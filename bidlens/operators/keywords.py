@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,36 @@ def keyword_matches(texts: DataFrame, keywords: DataFrame, *, id_col: str, text_
     return hits.agg(F.size(F.collect_set("word")).alias("k")).where("k = n_words").select(id_col, "keyword")
 
 
+def said_keywords(texts: DataFrame, keywords: DataFrame, *, id_col: str, text_col: str, keyword_col: str = "keyword") -> DataFrame:
+    """Texts with ``said``, the array of the keywords that match them as in :func:`keyword_matches`.
+
+    While the keywords have few forms (LITERAL_FORMS) these stand in the plan: a text is parted into tokens once, and neither it nor its tokens are shuffled.
+    """
+    rows = keyword_forms(keywords, keyword_col).limit(LITERAL_FORMS + 1).collect()
+    if len(rows) > LITERAL_FORMS:
+        found = keyword_matches(texts, keywords, id_col=id_col, text_col=text_col, keyword_col=keyword_col).groupBy(id_col).agg(F.collect_set("keyword").alias("said"))
+        return texts.join(found, id_col, "left").withColumn("said", F.coalesce("said", F.array().cast("array<string>")))
+    forms_of, words_of = {}, {}
+    for r in rows:
+        forms_of.setdefault(r["word"], set()).add(r["form"])
+        words_of.setdefault(r["keyword"], set()).add(r["word"])
+    known = sorted(set().union(*forms_of.values()))
+
+    def whole(held: Column, words: set[str]) -> Column:
+        return reduce(Column.__and__, [F.exists(held, _one_of(forms_of[w])) for w in sorted(words)])
+
+    def matching(held: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(whole(held, words), F.lit(keyword)) for keyword, words in sorted(words_of.items())]).cast("array<string>"))
+
+    # blanks part tokens however many they are, so they need not be collapsed
+    words = tokens(F.translate(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "ё", "е"))
+    return texts.withColumn("said", once(F.filter(words, _one_of(known)), matching))
+
+
+def _one_of(values) -> Callable[[Column], Column]:
+    return lambda w: w.isin(sorted(values))
+
+
 def normal(keyword: str) -> str:
     """A literal keyword in the form in which texts are compared."""
     return " ".join(keyword.lower().replace("ё", "е").split())

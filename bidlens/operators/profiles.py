@@ -18,6 +18,8 @@ from . import keywords as k
 PRICE_BANDS, DAY_BANDS = 62, 20
 #: The band and the region of a profile that has no such limit.
 ANY, ANY_REGION = -2, "*"
+#: The keyword of a profile that has none; no text is matched by a blank one.
+ANY_KEYWORD = ""
 #: Rows of profiles in bands that may be broadcast.
 BROADCAST_BANDS = 500_000
 
@@ -43,14 +45,30 @@ def in_bands(profiles: DataFrame) -> DataFrame:
     return rows.withColumn("day_key", F.explode(F.when(F.coalesce(F.col("min_submission_days"), F.lit(0)) <= 0, F.array(F.lit(ANY))).otherwise(days)))
 
 
-def tenders_in_bands(tenders: DataFrame, now: Column) -> DataFrame:
-    """Tenders with mine (normal forms of their regions) and the keys under which profiles may ask for them."""
+def keywords_in_bands(profiles: DataFrame) -> DataFrame:
+    """Profiles with a row for each keyword and region that they ask for, in the bands "any"."""
+    asked = c.wanted_regions(F.col("regions"))
+    free = asked.isNull() | (F.size(asked) == 0)
+    rows = profiles.withColumn("asked", asked).withColumn("region_key", F.explode(F.when(free, F.array(F.lit(ANY_REGION))).otherwise(F.array_distinct("asked"))))
+    return rows.withColumns({"keyword_key": F.explode(F.array_distinct("keywords")), "price_key": F.lit(ANY), "day_key": F.lit(ANY)})
+
+
+def tenders_in_bands(tenders: DataFrame, now: Column, open_to: Column) -> DataFrame:
+    """Tenders with mine (normal forms of their regions) and the keys under which profiles may ask for them: those with keywords by ``said``, those without where ``open_to`` holds."""
     left = F.timestamp_diff("SECOND", now, F.col("deadline")) / 86400
-    rows = tenders.withColumn("mine", c.own_regions(F.col("region")))
-    rows = rows.withColumn("region_key", F.explode(F.array_distinct(F.concat(F.array(F.lit(ANY_REGION)), "mine"))))
     # an unknown price or deadline passes no limit, so it has the band "any" alone
-    rows = rows.withColumn("price_key", F.explode(F.array_compact(F.array(F.lit(ANY), F.when(F.col("price").isNotNull(), band(F.col("price"), PRICE_BANDS))))))
-    return rows.withColumn("day_key", F.explode(F.array_compact(F.array(F.lit(ANY), F.when(F.col("deadline").isNotNull(), band(left, DAY_BANDS))))))
+    prices = F.array_compact(F.array(F.lit(ANY), F.when(F.col("price").isNotNull(), band(F.col("price"), PRICE_BANDS))))
+    days = F.array_compact(F.array(F.lit(ANY), F.when(F.col("deadline").isNotNull(), band(left, DAY_BANDS))))
+
+    def key(keyword: Column, price: Column, day: Column) -> Column:
+        return F.struct(keyword.alias("keyword_key"), price.alias("price_key"), day.alias("day_key"))
+
+    limits = F.flatten(F.transform(prices, lambda p: F.transform(days, lambda d: key(F.lit(ANY_KEYWORD), p, d))))
+    named = F.transform("said", lambda x: key(x, F.lit(ANY), F.lit(ANY)))
+    rows = tenders.withColumn("mine", c.own_regions(F.col("region")))
+    # outer, since of a plain explode Spark takes a filter that makes the array, and so what it comes from, once more
+    rows = rows.select("*", F.explode_outer(F.when(open_to, F.concat(limits, named)).otherwise(named)).alias("_key")).select("*", "_key.*").drop("_key")
+    return rows.withColumn("region_key", F.explode_outer(F.array_distinct(F.concat(F.array(F.lit(ANY_REGION)), "mine"))))
 
 
 def match_open(tenders: DataFrame, profiles: DataFrame, now: Column, *, text_col: str, least: int = 10) -> DataFrame:
@@ -58,36 +76,36 @@ def match_open(tenders: DataFrame, profiles: DataFrame, now: Column, *, text_col
 
     Profiles have ``exclusions`` and the limits of :func:`criteria.reject_reason`.  A blank region passes only profiles that ask for none.
     """
-    banded = in_bands(profiles.drop("name", "keywords"))
-    if banded.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
-        banded = F.broadcast(banded)
-    fit = tenders.where(k.quality_gate() & (F.length(text_col) >= least))
-    excluded = k.keyword_matches(fit, profiles.select(F.explode("exclusions").alias("keyword")), id_col="tender_id", text_col=text_col)
-    banned = excluded.groupBy("tender_id").agg(F.collect_set("keyword").alias("banned"))
-    keyed = tenders_in_bands(fit.join(banned, "tender_id", "left").drop(text_col), now)
-    met = keyed.join(banded, ["region_key", "price_key", "day_key"])
-    # of the regions that both name, the first in order makes the pair
-    once = (F.col("region_key") == ANY_REGION) | (F.array_min(F.array_intersect("mine", "asked")) == F.col("region_key"))
-    region = c.regions_overlap(F.col("region"), F.col("mine"), F.col("asked"))
-    allowed = F.coalesce(~F.arrays_overlap("banned", "exclusions"), F.lit(True))
-    return met.where(once & region & allowed & c.reject_reason(now).isNull()).select("profile_id", "tender_id")
+    return match_all(tenders, profiles.withColumn("keywords", F.array().cast("array<string>")), now, text_col=text_col, least=least)
 
 
 def match_keywords(tenders: DataFrame, profiles: DataFrame, *, text_col: str) -> DataFrame:
     """Tenders with the profiles that share a keyword and a region with them, a row a pair, with the columns of both."""
-    found = k.keyword_matches(tenders, profiles.select(F.explode("keywords").alias("keyword")), id_col="tender_id", text_col=text_col)
     # regions are put in normal form once a tender and once a profile, and a tender's keywords are one row
-    said = found.groupBy("tender_id").agg(F.collect_set("keyword").alias("said"))
+    said = k.said_keywords(tenders, profiles.select(F.explode("keywords").alias("keyword")), id_col="tender_id", text_col=text_col)
     asking = profiles.withColumn("asked", c.wanted_regions(F.col("regions"))).drop("name")
-    with_region = tenders.withColumn("mine", c.own_regions(F.col("region"))).join(said, "tender_id")
-    rows = with_region.withColumn("keyword", F.explode("said")).join(asking.withColumn("keyword", F.explode("keywords")), "keyword")
+    with_region = said.withColumn("mine", c.own_regions(F.col("region")))
+    rows = with_region.withColumn("keyword", F.explode_outer("said")).join(asking.withColumn("keyword", F.explode("keywords")), "keyword")
     # of the keywords that a profile and a tender share, the first in order makes the pair
     shared = F.array_min(F.array_intersect("keywords", "said")) == F.col("keyword")
     return rows.where(shared & c.regions_overlap(F.col("region"), F.col("mine"), F.col("asked")))
 
 
 def match_all(tenders: DataFrame, profiles: DataFrame, now: Column, *, text_col: str, least: int = 10) -> DataFrame:
-    """(profile_id, tender_id) that pass, whether a profile has keywords or none."""
+    """(profile_id, tender_id) that pass, whether a profile has keywords or none; each tender is read, and its text parted into words, once for all profiles."""
     blank = F.size(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda x: F.trim(x) != "")) == 0
-    asked = match_keywords(tenders, profiles.where(~blank), text_col=text_col).where(c.reject_reason(now).isNull()).select("profile_id", "tender_id")
-    return asked.unionByName(match_open(tenders, profiles.where(blank), now, text_col=text_col, least=least))
+    asked = profiles.drop("name")
+    banded = in_bands(asked.where(blank)).withColumn("keyword_key", F.lit(ANY_KEYWORD)).unionByName(keywords_in_bands(asked.where(~blank)))
+    if banded.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
+        banded = F.broadcast(banded)
+    words = asked.where(~blank).select(F.explode("keywords").alias("keyword")).unionByName(asked.where(blank).select(F.explode("exclusions").alias("keyword")))
+    said = k.said_keywords(tenders, words, id_col="tender_id", text_col=text_col)
+    keyed = tenders_in_bands(said, now, k.quality_gate() & (F.length(text_col) >= least))
+    met = keyed.join(banded, ["keyword_key", "region_key", "price_key", "day_key"])
+    # of the regions that both name, and of the keywords, the first in order makes the pair
+    once = (F.col("region_key") == ANY_REGION) | (F.array_min(F.array_intersect("mine", "asked")) == F.col("region_key"))
+    region = c.regions_overlap(F.col("region"), F.col("mine"), F.col("asked"))
+    by_limits = F.coalesce(~F.arrays_overlap("said", "exclusions"), F.lit(True))
+    by_words = F.array_min(F.array_intersect("keywords", "said")) == F.col("keyword_key")
+    allowed = F.when(F.col("keyword_key") == ANY_KEYWORD, by_limits).otherwise(by_words)
+    return met.where(once & region & allowed & c.reject_reason(now).isNull()).select("profile_id", "tender_id")

@@ -92,3 +92,28 @@ def test_pages_of_few_files_are_dealt_over_all_cores(spark):
     for name in ("extract_cards", "extract_table_rows", "build_prompts_full"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition" in plan, name
+
+
+def test_open_profiles_read_tenders_and_their_words_once(spark):
+    """One pass for profiles with and without keywords: the orders are read once and no text is parted twice or shuffled by tender."""
+    plan = QUERIES["match_profiles_open"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("o_orderkey#") and sum("Relation" in x and "o_orderkey" in x for x in plan.splitlines()) == 1, plan
+    assert "collect_set" not in plan
+
+
+def test_keywords_said_equal_keyword_matches(spark, monkeypatch):
+    """By forms in the plan, by the join, and as keyword_matches gives them."""
+    texts = [(1, "Ремонт  станков и\u00a0ПОЛУМУФТА"), (2, "поставка насосов; оборудования"), (3, ""), (4, None), (5, "станок-автомат, ёлка"), (6, "Ёлки, кресло")]
+    df = spark.createDataFrame(texts, "id long, txt string")
+    asked = spark.createDataFrame([("Ремонт станка",), ("ремонт",), ("поставка оборудования",), ("елка",), ("кресло",), (" ",), ("",), (None,), ("станок",), ("полумуфта",)], "keyword string")
+
+    def said():
+        rows = k.said_keywords(df, asked, id_col="id", text_col="txt").collect()
+        assert len(rows) == len(texts)
+        return sorted((r["id"], x) for r in rows for x in r["said"])
+
+    want = sorted(tuple(r) for r in k.keyword_matches(df, asked, id_col="id", text_col="txt").collect())
+    assert said() == want and len(want) >= 6
+    monkeypatch.setattr(k, "LITERAL_FORMS", 0)
+    assert said() == want
+    assert [r["said"] for r in k.said_keywords(df, asked.limit(0), id_col="id", text_col="txt").collect()] == [[]] * len(texts)
