@@ -80,7 +80,7 @@ def _one_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
-def _unblank(c: Column) -> Column:
+def unblank(c: Column) -> Column:
     """Null for '', where nullif would make the value twice inside a lambda."""
     return once(c, lambda v: F.when(v != "", v))
 
@@ -205,12 +205,13 @@ def _time(found: Column, hour: int, year_first: bool = False) -> Column:
         clock = [F.get(parts, 3).try_cast("int"), F.get(parts, 4).try_cast("int")]
         return F.try_make_timestamp_ntz(F.get(parts, year).try_cast("int"), month, F.get(parts, day).try_cast("int"), F.coalesce(clock[0], F.lit(hour)), F.coalesce(clock[1], F.lit(0)), F.lit(0))
 
-    return once(F.split(found, r"[./: T-]+"), read)
+    # one-letter separators need no pattern made for each row; a run of them leaves '' between
+    return once(F.array_remove(F.split(F.translate(found, "/: T-", "....."), r"\."), ""), read)
 
 
 def _found(c: Column, pattern: str, group: int = 0) -> Column:
     """A group of the first match in any case, null without one."""
-    return _unblank(F.regexp_extract(c, f"{_ANY_CASE}{pattern}", group))
+    return unblank(F.regexp_extract(c, f"{_ANY_CASE}{pattern}", group))
 
 
 def human_time(c: Column) -> Column:
@@ -242,6 +243,12 @@ def day_in_text(c: Column) -> Column:
     return once(_found(c, DOTTED_DAY), lambda dotted: F.when(dotted.isNotNull(), _time(dotted, 0)).otherwise(_time(_found(c, ISO_DAY), 0, year_first=True)))
 
 
+def day_after(c: Column, words: tuple[str, ...], gap: int) -> Column:
+    """The first d.M.yyyy in a text that follows one of the words, in any case, after at most ``gap`` characters that are no digits; midnight without a time."""
+    begins = "".join(sorted({w[0] for w in words}))
+    return _time(_found(c, rf"(?=[{begins}])(?:{'|'.join(words)})[^0-9]{{0,{gap}}}({DOTTED_DAY})", 1), 0)
+
+
 def iso_time(c: Column) -> Column:
     """ISO text to UTC: an offset counts, a text without one is UTC, anything else is null."""
     shape = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
@@ -320,10 +327,13 @@ def first_phrase(c: Column, phrases: tuple[str, ...]) -> Column:
 
 def _without_head(c: Column) -> Column:
     """A title without a procedure's kind and number before it."""
-    low = F.lower(c)
-    rests = [F.when(F.startswith(low, F.lit(p.lower())), F.regexp_extract(F.substr(c, F.lit(len(p) + 1)), r"^\s*№?\s*\d+\s*[:—-]?\s*(.*)$", 1)) for p in LONGER_PROCEDURES]
-    numbered = [F.when(F.startswith(low, F.lit(p.lower())), F.rlike(F.substr(c, F.lit(len(p) + 1)), F.lit(r"^\s*№?\s*\d"))) for p in LONGER_PROCEDURES]
-    return F.when(F.coalesce(*numbered, F.lit(False)), F.coalesce(*rests)).otherwise(c)
+
+    def read(low: Column) -> Column:
+        rests = [F.when(F.startswith(low, F.lit(p.lower())), F.regexp_extract(F.substr(c, F.lit(len(p) + 1)), r"^\s*№?\s*\d+\s*[:—-]?\s*(.*)$", 1)) for p in LONGER_PROCEDURES]
+        numbered = [F.when(F.startswith(low, F.lit(p.lower())), F.rlike(F.substr(c, F.lit(len(p) + 1)), F.lit(r"^\s*№?\s*\d"))) for p in LONGER_PROCEDURES]
+        return F.when(F.coalesce(*numbered, F.lit(False)), F.coalesce(*rests)).otherwise(c)
+
+    return once(F.lower(c), read)
 
 
 def _without_tail(c: Column, number: Column) -> Column:
@@ -338,17 +348,26 @@ def _without_tail(c: Column, number: Column) -> Column:
 def _without_marks(c: Column) -> Column:
     """A title without the site's name behind a dash or bar, and without registry marks at its end."""
     site = F.regexp_replace(c, rf"{_ANY_CASE} *[-|] *(?:{'|'.join(SITES)}).*$", "")
-    return F.trim(F.regexp_replace(site, rf"{_ANY_CASE} *(?:{'|'.join(MARKS)}) *$", ""))
+    # what no mark ends with in any case need not be searched for one
+    ends = sorted({x for mark in MARKS for x in (mark[-1], *(u for u, low in zip(_UPPER, _LOWER, strict=True) if low == mark[-1].lower()), mark[-1].lower())})
+    return once(site, lambda v: F.trim(F.when(F.right(F.rtrim(v), F.lit(1)).isin(*ends), F.regexp_replace(v, rf"{_ANY_CASE} *(?:{'|'.join(MARKS)}) *$", "")).otherwise(v)))
 
 
 def clean_title(c: Column, external_id: Column) -> Column:
     """A title without the procedure's kind and number at its ends, site names and registry marks; a title said twice is said once."""
+    return once(t.collapse(c), lambda title: bare_title(title, external_id))
+
+
+def bare_title(title: Column, external_id: Column) -> Column:
+    """clean_title of a title whose entities are decoded and blanks collapsed."""
 
     def halves(title: Column) -> Column:
-        words = F.split(title, " ")
-        half = (F.size(words) / 2).cast("int")
-        first, second = F.slice(words, F.lit(1), half), F.slice(words, half + 1, half)
-        return F.left(F.when((F.size(words) >= 6) & (F.size(words) % 2 == 0) & (first == second), F.array_join(first, " ")).otherwise(title), F.lit(1000))
+        def read(words: Column) -> Column:
+            half = (F.size(words) / 2).cast("int")
+            first, second = F.slice(words, F.lit(1), half), F.slice(words, half + 1, half)
+            return F.left(F.when((F.size(words) >= 6) & (F.size(words) % 2 == 0) & (first == second), F.array_join(first, " ")).otherwise(title), F.lit(1000))
+
+        return once(F.split(title, " "), read)
 
     def marks(title: Column) -> Column:
         return once(_without_marks(title), halves)
@@ -356,7 +375,7 @@ def clean_title(c: Column, external_id: Column) -> Column:
     def tail(title: Column) -> Column:
         return once(F.trim(_without_tail(title, external_id)), marks)
 
-    return once(t.collapse(c), lambda title: once(F.trim(_without_head(title)), tail))
+    return once(F.trim(_without_head(title)), tail)
 
 
 def law(c: Column, url: Column | None = None) -> Column:
@@ -380,7 +399,7 @@ TERMS = ("advance_required", "advance_percent", "postpayment_days", "application
 
 def _details(text: Column, segs: Column, terms: Column, url: Column) -> Column:
     inn = _first(F.transform(F.filter(segs, lambda s: s["kind"] == "inn"), lambda s: t.tax_id(F.regexp_extract(s["value"], r"^[\s:№]*(\d(?: ?\d){9}(?: ?\d ?\d)?)(?!\d)", 1))))
-    region = F.coalesce(_unblank(_region(segs)), named_region(text))
+    region = F.coalesce(unblank(_region(segs)), named_region(text))
     return F.struct(
         law(text, url).alias("law_type"),
         first_phrase(text, METHODS).alias("procurement_method"),

@@ -66,9 +66,18 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tupl
     return rows.select(key, *keep, "link_no", t.unescape(F.col("a.t")).alias("target"), strip_tags(F.col("a.l")).alias("label")).where("target <> ''")
 
 
+def root(url: Column) -> Column:
+    """Scheme and host of a url."""
+    return F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
+
+
 def absolute(target: Column, url: Column) -> Column:
     """A link's target against the page's url."""
-    root = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
+    return against(target, root(url))
+
+
+def against(target: Column, root: Column) -> Column:
+    """A link's target against the root of the page's url."""
     return F.when(F.rlike(target, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), target).when(F.startswith(target, F.lit("//")), F.concat(F.lit("https:"), target)).when(F.startswith(target, F.lit("/")), F.concat(root, target)).otherwise(F.concat(root, F.lit("/"), target))
 
 

@@ -117,3 +117,41 @@ def test_keywords_said_equal_keyword_matches(spark, monkeypatch):
     monkeypatch.setattr(k, "LITERAL_FORMS", 0)
     assert said() == want
     assert [r["said"] for r in k.said_keywords(df, asked.limit(0), id_col="id", text_col="txt").collect()] == [[]] * len(texts)
+
+
+def test_links_of_a_page_stay_where_the_page_is(spark):
+    """The first link of an id is told inside its page: neither shuffle nor aggregate, and a title is made once."""
+    pages = spark.createDataFrame([(1, "https://h.example/list", '<a href="/tender-1111111/">Закупка 1</a>')], "page_id long, url string, html string")
+    for listed in (box.listed_cards, box.listed_links):
+        df = listed(pages)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan and df.count() == 1, plan
+    plan = box.listed_cards(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Fabrikant") == 1, plan
+
+
+def test_rows_of_one_key_are_pages_of_their_own(spark):
+    """As the SQL has it: each row gives its links, also where another row has its key."""
+    page = '<li>до 05.03.2024 <a href="/tender-1111111/">Закупка раз</a><a href="/tender-1111111/x">Закупка два</a></li>'
+    pages = spark.createDataFrame([(1, "https://h.example/list", page), (1, "https://h.example/list", page)], "page_id long, url string, html string")
+    assert [r["title"] for r in box.listed_cards(pages).collect()] == ["Закупка раз"] * 2
+    assert [r["url"] for r in box.listed_links(pages).collect()] == ["https://h.example/tender-1111111/"] * 2
+
+
+def test_a_folded_page_is_as_long_as_the_page(spark):
+    """Links and headings that share a container hold places in the page's text, not copies of it."""
+    many = "".join(f'<h2>Раздел {i}</h2><a href="/tender-{1_000_000 + i}/">Закупка {i}</a>' for i in range(500))
+    row = box.folded(_pages(spark, f"<div>{many}</div>")).collect()[0]
+    assert len(row["text"]) < len(many) and len(row["titles"]) == len(row["links"]) == 500
+    rows = box.container_links(_pages(spark, f"<div>{many}</div>")).collect()
+    assert len(rows) == 500 and all(r["content"] == row["text"] and len(r["heads"]) == 500 for r in rows) and rows[7]["label"] == "Закупка 7" and rows[7]["heads"][7] == "h2|Раздел 7"
+
+
+def test_links_of_entities_hosts_and_headings(spark):
+    html = """<div class=item><h4>Лот&nbsp;&nbsp;1</h4><h3>123456789</h3><h2>Тендер</h2><h2>Поставка &quot;муфт&quot;  и 😀</h2> до 😀 31.02.2024, до 05.03.2024 10:15 Цена: 1 200,50
+      <a href="//H.example:80/tender-1111111/?a=1&amp;b=2">один</a><a href="http://h.example/tender-2222222/">два</a><a href="https://o.example/tender-3333333/">три</a><a href="tender-x">четыре 123456789</a></div>"""
+    got = {r["external_id"]: r.asDict() for r in box.listed_cards(_pages(spark, html)).collect()}
+    assert sorted(got) == ["1111111", "2222222"] and got["1111111"]["url"] == "https://H.example:80/tender-1111111/?a=1&b=2"
+    assert {r["title"] for r in got.values()} == {"Тендер"} and {r["deadline"] for r in got.values()} == {None}
+    assert {r["description"] for r in got.values()} == {'Лот 1 123456789 Тендер Поставка "муфт" и 😀 до 😀 31.02.2024, до 05.03.2024 10:15 Цена: 1 200,50 один два три четыре 123456789'}
+    assert {r["price"] for r in got.values()} == {1200.5}
